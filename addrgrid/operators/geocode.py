@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import cut_lineage
 from . import hierarchy, knn
 
 # Messages and the distance warning threshold (metres).
@@ -22,7 +23,7 @@ def address_for_coordinates(probes: DataFrame, addresses: DataFrame, suburbs: Da
     nn = knn.nearest_points(q, addresses.select("address_id", "gx", "gy"), key, "address_id",
                             qx="qx", qy="qy", px="gx", py="gy")
     a = addresses.select("address_id", "full_address", "x_coord", "y_coord", "gx", "gy")
-    hit = nn.join(a, "address_id", "left")
+    hit = cut_lineage(nn.join(a, "address_id", "left"))
     h = hierarchy.resolve_hierarchy(hit.select(key, "gx", "gy"), suburbs, districts, key=key, x="gx", y="gy")
     out = q.select(key).join(hit, key, "left").join(h, key, "left")
     found = F.col("address_id").isNotNull()

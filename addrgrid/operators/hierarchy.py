@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import cut_lineage
 from . import spatial
 
 # ---------------------------------------------------------------------------
@@ -39,11 +40,11 @@ def resolve_hierarchy(points: DataFrame, suburbs: DataFrame, districts: DataFram
     points whose suburb gives no district fall back to the containing
     district. Only that residue runs the second spatial join.
     """
-    pts = points.select(key, x, y)
+    pts = cut_lineage(points.select(key, x, y))
     sub = spatial.first_containing(
         pts, suburbs.select("suburb_id", F.col("district_id").alias("s_district_id"), "geom"),
         key, "suburb_id", x=x, y=y, carry=["s_district_id"], cell=suburb_cell)
-    p = pts.join(sub, key, "left")
+    p = cut_lineage(pts.join(sub, key, "left"))
     dims = districts.select(F.col("district_id").alias("_d"), F.col("region_id").alias("_r"))
     with_d = (p.where(F.col("s_district_id").isNotNull())
               .join(dims, F.col("s_district_id") == F.col("_d"), "left")

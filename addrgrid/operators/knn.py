@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def _extent(points: DataFrame, requests: DataFrame, px, py, qx, qy):
     a = points.agg(F.min(px).alias("x0"), F.min(py).alias("y0"), F.max(px).alias("x1"),
@@ -55,8 +57,9 @@ def nearest_points(requests: DataFrame, points: DataFrame, req_key: str, pt_key:
     if dedupe_coordinates:
         # identical coordinates: only the smallest key can win
         P = P.groupBy("_px", "_py").agg(F.min("_pid").alias("_pid"))
-    R = requests.where(F.col(qx).isNotNull() & F.col(qy).isNotNull()).select(
-        F.col(req_key).alias("_rid"), F.col(qx).cast("double").alias("_qx"), F.col(qy).cast("double").alias("_qy"))
+    P = cut_lineage(P)
+    R = cut_lineage(requests.where(F.col(qx).isNotNull() & F.col(qy).isNotNull()).select(
+        F.col(req_key).alias("_rid"), F.col(qx).cast("double").alias("_qx"), F.col(qy).cast("double").alias("_qy")))
     ox, oy, top = _extent(P, R, "_px", "_py", "_qx", "_qy")
     size = {k: top / float(fanout) ** (levels - k) for k in range(levels + 1)}
     f = F.lit(fanout)
@@ -64,15 +67,17 @@ def nearest_points(requests: DataFrame, points: DataFrame, req_key: str, pt_key:
     P0 = P.select("_pid", "_px", "_py",
                   F.floor((F.col("_px") - ox) / size[0]).alias("cx"),
                   F.floor((F.col("_py") - oy) / size[0]).alias("cy"))
-    # one representative per non-empty cell: the point with the smallest key
-    # (min_by on primitives keeps the aggregation hash-based)
-    def reps(df):
-        return [F.min("_pid").alias("_pid"), F.min_by("_px", "_pid").alias("_px"),
-                F.min_by("_py", "_pid").alias("_py")]
-    C = {0: P0.groupBy("cx", "cy").agg(*reps(P0))}
-    for k in range(1, levels):
-        C[k] = (C[k - 1].groupBy(F.floor(F.col("cx") / f).alias("cx"), F.floor(F.col("cy") / f).alias("cy"))
-                .agg(*reps(C[k - 1])))
+    # one representative per non-empty cell and level (the point with the
+    # smallest key), all levels in one aggregation; min_by on primitives keeps
+    # it hash based with map-side partial aggregation.
+    lv = P0.select("_pid", "_px", "_py", "cx", "cy",
+                   F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("lvl"))
+    div = F.pow(f, F.col("lvl")).cast("long")
+    lv = lv.select("_pid", "_px", "_py", "lvl", F.floor(F.col("cx") / div).alias("cx"),
+                   F.floor(F.col("cy") / div).alias("cy"))
+    cells = cut_lineage(lv.groupBy("lvl", "cx", "cy").agg(
+        F.min("_pid").alias("_pid"), F.min_by("_px", "_pid").alias("_px"), F.min_by("_py", "_pid").alias("_py")))
+    C = {k: cells.where(F.col("lvl") == k).drop("lvl") for k in range(levels)}
 
     def children(cand: DataFrame, k: int) -> DataFrame:
         """Expand candidates of level k+1 into non-empty cells of level k."""
@@ -110,4 +115,5 @@ def nearest_points(requests: DataFrame, points: DataFrame, req_key: str, pt_key:
         "_rid", F.struct(F.hypot(F.col("_px") - F.col("_qx"), F.col("_py") - F.col("_qy")).alias("d"),
                          F.col("_pid").alias("p")).alias("_h"))
     best = hits.groupBy("_rid").agg(F.min("_h").alias("_b"))
+    best = cut_lineage(best)
     return best.select(F.col("_rid").alias(req_key), F.col("_b.p").alias(pt_key), F.col("_b.d").alias("distance"))

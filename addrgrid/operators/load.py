@@ -41,10 +41,10 @@ def assert_unique(df: DataFrame, key: str, what: str = "key") -> DataFrame:
     """C11 guard: a key twice in one batch fails the job (as the database
     does for an upsert touching a row twice). Lazy: raises when evaluated."""
     n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    return df.withColumn("_n", n).withColumn(
-        "_n", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"duplicate {what} in batch: "),
-                                                              F.col(key).cast("string"))))
-        .otherwise(F.col("_n"))).drop("_n")
+    check = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"duplicate {what} in batch: "),
+                                                           F.col(key).cast("string")))).otherwise(F.lit(True))
+    # a filter (not a projection) so the optimizer cannot prune the check away
+    return df.withColumn("_n", n).where(check).drop("_n")
 
 
 def upsert(existing: DataFrame | None, incoming: DataFrame, key: str, check_unique: bool = True) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import cut_lineage
 from . import hierarchy, matching
 
 # Result messages.
@@ -40,7 +41,7 @@ def verify(raw: DataFrame, addresses: DataFrame, suburbs: DataFrame, districts:
     r = raw.select(key, text.is_blank(col).alias("blank"), text.normalize(col).alias("norm"))
     r = r.withColumn("toks", F.filter(F.split("norm", " "), lambda t: t != ""))
     r = r.withColumn("ntok", F.size("toks"))
-    r = text.with_smart_parse(text.with_exact_parse(r, "toks"), "toks").drop("toks")
+    r = cut_lineage(text.with_smart_parse(text.with_exact_parse(r, "toks"), "toks").drop("toks"))
     live = r.where(~F.col("blank"))
     null_s = F.lit(None).cast("string")
     pats = (live.select(F.explode(F.array(
@@ -73,6 +74,7 @@ def verify(raw: DataFrame, addresses: DataFrame, suburbs: DataFrame, districts:
     x = x.select(key, "norm", F.when(F.col("ntok") >= 3, F.coalesce(smart, exact))
                  .otherwise(F.coalesce(exact, smart)).alias("hit"))
 
+    x = cut_lineage(x)
     residue = x.where(F.col("hit").isNull()).select(key, "norm")
     fz = matching.similarity_join(residue, addresses, req_key=key, req_text="norm")
     x = x.join(fz.select(key, F.col("address_id").alias("f_id"), F.col("sim").alias("f_sim")), key, "left")
@@ -84,7 +86,7 @@ def verify(raw: DataFrame, addresses: DataFrame, suburbs: DataFrame, districts:
     a = addresses.select("address_id", "full_address", "x_coord", "y_coord", "gx", "gy")
     chosen = x.select(key, F.col("hit.address_id").alias("address_id"), F.col("hit.strategy").alias("strategy"),
                       F.col("hit.msg").alias("msg"), F.col("hit.sim").alias("sim"))
-    chosen = chosen.join(a, "address_id", "left")
+    chosen = cut_lineage(chosen.join(a, "address_id", "left"))
     ids = chosen.where(F.col("address_id").isNotNull()).select("address_id", "gx", "gy").distinct()
     h = hierarchy.resolve_hierarchy(ids, suburbs, districts, key="address_id", x="gx", y="gy")
     chosen = chosen.join(h, "address_id", "left")
