@@ -275,26 +275,20 @@ def polygons_from_vertices(df: DataFrame, key: str, seq: str = "seq", x: str = "
                            part: str | None = None, ring: str | None = None) -> DataFrame:
     """Build ``geom`` from a vertex table (one row per vertex), closing rings.
 
-    Grouping is per geometry: a polygon's vertex list is one geometry, never a
-    whole table.
+    One aggregation per geometry (its vertex list is one geometry, never a
+    whole table); parts and rings are nested with higher-order functions.
     """
     part_c = F.col(part) if part else F.lit(0)
     ring_c = F.col(ring) if ring else F.lit(0)
-    v = df.select(F.col(key), part_c.alias("_part"), ring_c.alias("_ring"),
-                  F.struct(F.col(seq).alias("s"), F.col(x).cast("double").alias("x"),
-                           F.col(y).cast("double").alias("y")).alias("_v"))
-    rings = (v.groupBy(key, "_part", "_ring")
-             .agg(F.array_sort(F.collect_list("_v")).alias("_vs"))
-             .select(key, "_part", "_ring",
-                     F.expr("transform(_vs, v -> named_struct('x', v.x, 'y', v.y))").alias("_r")))
-    rings = rings.withColumn(
-        "_r", F.expr("if(_r[0] = _r[size(_r) - 1], _r, concat(_r, array(_r[0])))"))
-    parts = (rings.groupBy(key, "_part")
-             .agg(F.array_sort(F.collect_list(F.struct("_ring", "_r"))).alias("_rs"))
-             .select(key, "_part", F.expr("transform(_rs, r -> r._r)").alias("_p")))
-    return (parts.groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct("_part", "_p"))).alias("_ps"))
-            .select(key, F.expr("transform(_ps, p -> p._p)").alias("geom")))
+    v = df.select(F.col(key), F.struct(part_c.alias("p"), ring_c.alias("r"), F.col(seq).alias("s"),
+                                       F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).alias("_v"))
+    g = v.groupBy(key).agg(F.array_sort(F.collect_list("_v")).alias("_vs"))
+    close = "if(rr[0] = rr[size(rr) - 1], rr, concat(rr, array(rr[0])))"
+    ring_of = ("transform(filter(_vs, v -> v.p = pp and v.r = ri), v -> named_struct('x', v.x, 'y', v.y))")
+    expr = (f"transform(array_distinct(transform(_vs, v -> v.p)), pp -> "
+            f"transform(array_distinct(transform(filter(_vs, v -> v.p = pp), v -> v.r)), ri -> "
+            f"aggregate(array({ring_of}), cast(null as array<struct<x:double,y:double>>), (acc, rr) -> {close})))")
+    return g.select(key, F.expr(expr).alias("geom"))
 
 
 # --------------------------------------------------------------------------

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text, trigram
-from ..operators import (geocode, hierarchy, knn, listings, load, reports, search, spatial, verify)
+from ..operators import (centroids, geocode, hierarchy, listings, load, localities, reports, search, spatial,
+                         verify)
+from ..sources import schemas
 from ..sources import fixtures as fx
 from ..sources.tables import table
 
@@ -252,6 +254,78 @@ def coverage_summary(spark, d):
     return reports.coverage_summary(fx.address_feed(spark, d), a, h)
 
 
+# ---------------------------------------------------------------------------
+# nested documents, centroids
+# ---------------------------------------------------------------------------
+
+def _locality_docs(spark, d):
+    """One JSON document per supplier: [aggregate element, region -> district
+    -> suburb]; parsed back with the declared nested schema."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    n = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = table(spark, d, "region").select("r_regionkey", "r_name")
+    j = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    sub = F.struct(F.col("s_suppkey").cast("int").alias("SuburbId"), F.col("s_name").alias("Name"))
+    dist = F.struct(F.col("n_nationkey").alias("DistrictId"), F.col("n_name").alias("Name"),
+                    F.when(F.col("s_suppkey") % 9 == 4, F.lit(None)).otherwise(F.array(sub)).alias("Suburbs"))
+    reg = F.struct(F.col("r_name").alias("Name"), F.array(dist).alias("Districts"))
+    agg = F.struct(F.lit("All").alias("Name"), F.lit(None).cast(schemas.LOCALITY_JSON.elementType["Districts"].dataType)
+                   .alias("Districts"))
+    txt = F.to_json(F.array(agg, reg))
+    return j.select(F.from_json(txt, schemas.LOCALITY_JSON).alias("doc"))
+
+
+def _region_map(spark, d):
+    r = table(spark, d, "region").where(F.col("r_regionkey") != 4)
+    return r.select(F.col("r_name").alias("name"), F.format_string("R%02d", (F.col("r_regionkey") + 1).cast("int"))
+                    .alias("region_id"))
+
+
+def extract_regions(spark, d):
+    return localities.regions_from_documents(_locality_docs(spark, d)).distinct()
+
+
+def extract_hierarchy(spark, d):
+    dists, subs, _unknown = localities.hierarchy_from_documents(_locality_docs(spark, d), _region_map(spark, d))
+    return subs.join(dists.select("district_id", "region_id").distinct(), "district_id")
+
+
+def _gazetteer(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    n = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = table(spark, d, "region").select("r_regionkey", "r_name")
+    j = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("s_suppkey")
+    q = (F.when(k % 3 == 0, F.concat(F.lit("Locality "), (k % 97).cast("string"), F.lit(", "), F.col("n_name")))
+         .when(k % 3 == 1, F.concat(F.lit("Mount Eden, "), F.col("r_name")))
+         .otherwise(F.concat(F.lit("Saint Heliers, "), F.col("n_name"))))
+    return j.select(F.concat(q, F.lit(", New Zealand")).alias("query_text"),
+                    (F.lit(-47.0) + (k % 100) / F.lit(10.0)).alias("lat"),
+                    (F.lit(167.0) + (k % 70) / F.lit(10.0)).alias("lon"))
+
+
+def _centroids(spark, d):
+    ab = spark.createDataFrame(centroids.DEFAULT_ABBREVIATIONS, schemas.ABBREVIATIONS)
+    return centroids.fill_centroids(fx.suburbs(spark, d), fx.districts(spark, d), fx.regions(spark, d),
+                                    _addresses(spark, d), ab, _gazetteer(spark, d))
+
+
+def fill_centroids(spark, d):
+    c = _centroids(spark, d)
+    return c.select("suburb_id", "source", "query_text", F.round("centroid_x", 2).alias("centroid_x"),
+                    F.round("centroid_y", 2).alias("centroid_y"))
+
+
+def centroid_coverage(spark, d):
+    c = _centroids(spark, d).select("suburb_id", F.col("centroid_x").alias("centroid"))
+    return reports.centroid_coverage(c)
+
+
+def centroid_job_summary(spark, d):
+    c = _centroids(spark, d).select(F.col("source").isNotNull().alias("success"))
+    return reports.job_summary(c)
+
+
 QUERIES = {
     "regions_browse": regions_browse,
     "districts_browse": districts_browse,
@@ -284,4 +358,9 @@ QUERIES = {
     "orphan_checks": orphan_checks,
     "entity_report": entity_report,
     "coverage_summary": coverage_summary,
+    "extract_regions": extract_regions,
+    "extract_hierarchy": extract_hierarchy,
+    "fill_centroids": fill_centroids,
+    "centroid_coverage": centroid_coverage,
+    "centroid_job_summary": centroid_job_summary,
 }

@@ -565,3 +565,72 @@ select (select count(*) from fx_address) feed_rows, (select count(*) from addr)
   round(100.0e0 * (select count(*) from addr where gx is not null) / (select count(*) from addr), 2) geocoded_pct,
   round(100.0e0 * (select count(*) from rh where suburb_id is not null) / (select count(*) from addr), 2)
     linked_suburb_pct""", _resolve("addr", "address_id", "gx", "gy"))
+
+# ---------------------------------------------------------------------------
+# nested documents, centroids
+# ---------------------------------------------------------------------------
+
+_SNR = ("supplier join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey")
+
+ORACLE["extract_regions"] = f"select distinct 'R02' region_id, r_name name from {_SNR}"
+
+ORACLE["extract_hierarchy"] = f"""
+select printf('S%05d', s_suppkey) suburb_id, printf('D%04d', n_nationkey) district_id, s_name name,
+  true is_major_suburb, 'high' population_category, printf('R%02d', r_regionkey + 1) region_id
+from {_SNR} where r_regionkey <> 4 and s_suppkey % 9 <> 4"""
+
+_GAZ = (f"select case when s_suppkey % 3 = 0 then 'Locality ' || cast(s_suppkey % 97 as varchar) || ', ' || n_name "
+        f"when s_suppkey % 3 = 1 then 'Mount Eden, ' || r_name else 'Saint Heliers, ' || n_name end "
+        f"|| ', New Zealand' query_text, -47.0e0 + (s_suppkey % 100) / 10.0e0 lat, "
+        f"167.0e0 + (s_suppkey % 70) / 10.0e0 lon from {_SNR}")
+
+
+def _variant(rank: int, expr: str) -> str:
+    return f"select suburb_id, {rank} rank, {expr} query_text from s2 where x1 is null and x2 is null"
+
+
+_CENTROIDS = [
+    ("s", "select f.suburb_id, f.name, n.n_name district_name, r.r_name region_name, "
+          "regexp_replace(regexp_replace(f.name, '\\bMt\\b', 'Mount', 'g'), '\\bSt\\b', 'Saint', 'g') expanded "
+          "from fx_suburb f join nation n on cast(n.n_nationkey as varchar) = f.district_id "
+          "left join region r on r.r_regionkey = n.n_regionkey"),
+    ("bn", "select lower(trim(suburb_locality)) k, arg_min(gx, address_id) ax, arg_min(gy, address_id) ay "
+           "from addr group by 1"),
+    ("s2", "select s.*, b1.ax x1, b1.ay y1, b2.ax x2, b2.ay y2 from s left join bn b1 on b1.k = lower(s.name) "
+           "left join bn b2 on s.expanded <> s.name and b2.k = lower(s.expanded)"),
+    ("qv", "select * from (" + " union all ".join([
+        _variant(1, "case when name = 'City Centre' then district_name || ', New Zealand' "
+                    "else name || ', ' || district_name || ', New Zealand' end"),
+        _variant(2, "case when name <> 'City Centre' and expanded <> name then "
+                    "expanded || ', ' || district_name || ', New Zealand' end"),
+        _variant(3, "case when district_name like '% City' then expanded || ', ' || "
+                    "regexp_replace(district_name, ' City$', '') || ', New Zealand' end"),
+        _variant(4, "case when district_name like '% Island' then expanded || ', ' || "
+                    "regexp_replace(district_name, ' Island$', '') || ', New Zealand' end"),
+        _variant(5, "case when district_name in ('Manukau City', 'North Shore City', 'Waitakere City', 'Rodney', "
+                    "'Franklin') then expanded || ', Auckland, New Zealand' end"),
+        _variant(6, "case when region_name is not null and region_name <> district_name then "
+                    "expanded || ', ' || region_name || ', New Zealand' end"),
+    ]) + ") where query_text is not null"),
+    ("gz", "select query_text, lat, lon from (" + _GAZ + ") qualify row_number() over "
+           "(partition by query_text order by lat, lon) = 1"),
+    ("gh", "select qv.suburb_id, qv.query_text, gz.lat, gz.lon from qv join gz on gz.query_text = qv.query_text "
+           "qualify row_number() over (partition by qv.suburb_id order by qv.rank, qv.query_text) = 1"),
+    ("gp", _nztm_stage("gh", "lon", "lat", "suburb_id, query_text")),
+    ("cres", "select s2.suburb_id, case when x1 is not null then 'address' when x2 is not null then "
+             "'address_expanded' when gp.gx is not null then 'gazetteer' end source, gp.query_text, "
+             "coalesce(x1, x2, gp.gx) cx, coalesce(y1, y2, gp.gy) cy from s2 left join gp on gp.suburb_id = s2.suburb_id"),
+]
+
+ORACLE["fill_centroids"] = with_fx(["fx_suburb", "addr"], """
+select suburb_id, source, query_text, round(cx, 2) centroid_x, round(cy, 2) centroid_y from cres""", _CENTROIDS)
+
+ORACLE["centroid_coverage"] = with_fx(["fx_suburb", "addr"], """
+select count(*) total, count(*) filter (where cx is not null) with_centroid,
+  count(*) filter (where cx is null) without_centroid,
+  round(100.0e0 * count(*) filter (where cx is not null) / count(*), 1) percentage from cres""", _CENTROIDS)
+
+ORACLE["centroid_job_summary"] = with_fx(["fx_suburb", "addr"], """
+select count(*) processed, count(*) filter (where source is not null) ok,
+  count(*) filter (where source is null) failed,
+  round(100.0e0 * count(*) filter (where source is not null) / count(*), 1) success_pct from cres""", _CENTROIDS)
