@@ -156,6 +156,12 @@ def place_query(*parts) -> Column:
     return F.concat_ws(", ", *[_c(p) for p in parts], F.lit("New Zealand"))
 
 
+def place_query_url(c) -> Column:
+    """The place query as sent to a search endpoint (blanks and commas
+    percent-encoded, the two characters the reference encodes)."""
+    return F.replace(F.replace(_c(c), F.lit(" "), F.lit("%20")), F.lit(","), F.lit("%2C"))
+
+
 def format_id(prefix: str, width: int, n) -> Column:
     """Ids like R01, D0001, S00001."""
     return F.format_string(f"{prefix}%0{width}d", _c(n).cast("int"))

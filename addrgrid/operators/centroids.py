@@ -52,7 +52,8 @@ def query_variants(s: DataFrame) -> DataFrame:
     ]
     arr = F.array(*[F.struct(F.lit(r).alias("rank"), c.alias("query_text")) for r, c in v])
     return (s.select("suburb_id", F.explode(arr).alias("v"))
-            .select("suburb_id", "v.rank", "v.query_text").where(F.col("query_text").isNotNull()))
+            .select("suburb_id", "v.rank", "v.query_text", text.place_query_url("v.query_text").alias("query_url"))
+            .where(F.col("query_text").isNotNull()))
 
 
 def fill_centroids(suburbs: DataFrame, districts: DataFrame, regions: DataFrame, addresses: DataFrame,
@@ -73,7 +74,7 @@ def fill_centroids(suburbs: DataFrame, districts: DataFrame, regions: DataFrame,
          .join(c2, (F.col("expanded") != F.col("name")) & (F.lower(F.col("expanded")) == F.col("k2")), "left"))
     # gazetteer: one point per query text (rule D: smallest lat, lon)
     gz = gazetteer.groupBy("query_text").agg(F.min(F.struct("lat", "lon")).alias("p"))
-    hits = (query_variants(s.where(F.col("x1").isNull() & F.col("x2").isNull()))
+    hits = (query_variants(s.where(F.col("x1").isNull() & F.col("x2").isNull())).drop("query_url")
             .join(gz, "query_text")
             .groupBy("suburb_id").agg(F.min(F.struct("rank", "query_text", "p")).alias("h")))
     hits = hits.select("suburb_id", F.col("h.query_text").alias("g_query"), F.col("h.p.lat").alias("g_lat"),

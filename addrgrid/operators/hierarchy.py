@@ -154,3 +154,35 @@ def children(view: DataFrame, parent_col: str, parents: DataFrame) -> DataFrame:
 
 def normalized_key(c):
     return text.norm_key(c)
+
+
+# ---------------------------------------------------------------------------
+# API-shaped browse calls (ordered), batch form: one row per child of every
+# requested parent
+# ---------------------------------------------------------------------------
+
+def browse_regions(view: DataFrame) -> DataFrame:
+    """regions() ordered by name."""
+    return view.select("region_id", "name", "district_count").orderBy("name", "region_id")
+
+
+def browse_districts(view: DataFrame, region_ids: DataFrame) -> DataFrame:
+    """districts(region_id) ordered by display name."""
+    return (children(view, "region_id", region_ids)
+            .select("district_id", "region_id", F.col("display_name").alias("name"), "suburb_count")
+            .orderBy("region_id", "name", "district_id"))
+
+
+def browse_suburbs(view: DataFrame, district_ids: DataFrame) -> DataFrame:
+    """suburbs(district_id) ordered by sort priority then name; name_ascii is
+    always null and major_name repeats the name, as the service returns."""
+    return (children(view, "district_id", district_ids)
+            .select("suburb_id", "district_id", "name", F.lit(None).cast("string").alias("name_ascii"),
+                    F.col("name").alias("major_name"), "street_count", "is_major_suburb", "population_category",
+                    "sort_priority")
+            .orderBy("district_id", "sort_priority", "name", "suburb_id"))
+
+
+def browse_streets(streets: DataFrame, suburb_ids: DataFrame) -> DataFrame:
+    """streets(suburb_id) ordered by street name."""
+    return children(streets, "suburb_id", suburb_ids).orderBy("suburb_id", "street_name")

@@ -181,3 +181,48 @@ def _trapezoid_overlap():
     integral = F.when(d0 * d1 < 0, crossed).otherwise(same * w / 2)
     # shift: areas are relative to y = 0; orientation product gives the sign.
     return F.col("c_s") * F.col("p_s") * integral
+
+
+def project_geometry(df: DataFrame, key: str, geom: str = "geom", flip: bool = False) -> DataFrame:
+    """I2 on every vertex (degrees -> NZTM), optionally after swapping
+    lat/lon order (I14): vertices become rows, are projected with the staged
+    column expressions and regrouped per geometry."""
+    p = df.select(key, F.posexplode(geom).alias("part", "rings"))
+    r = p.select(key, "part", F.posexplode("rings").alias("ring", "verts"))
+    v = r.select(key, "part", "ring", F.posexplode("verts").alias("seq", "v"))
+    lon, lat = (F.col("v.y"), F.col("v.x")) if flip else (F.col("v.x"), F.col("v.y"))
+    v = geo.with_nztm(v.select(key, "part", "ring", "seq", lon.alias("_lon"), lat.alias("_lat")),
+                      "_lon", "_lat", "x", "y")
+    return geo.polygons_from_vertices(v, key, "seq", "x", "y", part="part", ring="ring")
+
+
+def load_suburbs_cascade(stage: DataFrame, districts: DataFrame, id_col: str = "id", name_col: str = "name",
+                         major_col: str = "major_name", flip: bool = True, project: bool = True,
+                         default_district: str = "99") -> DataFrame:
+    """J4 mode 'cascade' (C7): district containing the suburb's point on
+    surface (boundary excluded, smallest id); else the district at the
+    smallest polygon distance (the within-10-km step and the absolute
+    nearest step pick the same district). Output adds ``method`` and the
+    distance used."""
+    from .polydist import nearest_polygon
+    s = stage.select(F.substring(F.col(id_col).cast("string"), 1, 50).alias("suburb_id"),
+                     F.substring(F.col(name_col), 1, 200).alias("name"),
+                     F.coalesce(F.substring(F.col(major_col), 1, 200), F.lit("")).alias("major_name"), "geom")
+    if project:
+        g = project_geometry(s.select("suburb_id", "geom"), "suburb_id", flip=flip)
+        s = s.drop("geom").join(g, "suburb_id")
+    elif flip:
+        s = s.withColumn("geom", geo.flip_coordinates("geom"))
+    s = s.withColumn("geom", geo.largest_part("geom"))
+    pos = s.select("suburb_id", geo.point_on_surface("geom").alias("p")).select(
+        "suburb_id", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+    inside = spatial.first_containing(pos, districts.select("district_id", "geom"), "suburb_id", "district_id",
+                                      x="px", y="py", predicate="within")
+    rest = s.select("suburb_id", "geom").join(inside, "suburb_id", "left_anti")
+    near = nearest_polygon(rest, districts.select("district_id", "geom"), "suburb_id", "district_id")
+    chosen = (inside.select("suburb_id", "district_id", F.lit("contains").alias("method"),
+                            F.lit(0.0).alias("distance"))
+              .unionByName(near.select("suburb_id", "district_id", F.lit("nearest").alias("method"), "distance")))
+    return (s.join(chosen, "suburb_id", "left")
+            .select("suburb_id", F.coalesce("district_id", F.lit(default_district)).alias("district_id"),
+                    "name", "major_name", "geom", "method", "distance"))

@@ -135,3 +135,12 @@ def job_summary(results: DataFrame, ok_col: str = "success") -> DataFrame:
     return results.agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col(ok_col)).alias("ok"),
                        F.count_if(~F.col(ok_col)).alias("failed")).select(
         "*", F.round(F.lit(100.0) * F.col("ok") / F.col("processed"), 1).alias("success_pct"))
+
+
+def addresses_per_suburb(resolved: DataFrame, suburbs: DataFrame, k: int = 10) -> DataFrame:
+    """Suburbs with most address points (ties: suburb_id), top k.
+    Counting happens before the join (map-side partial aggregation)."""
+    cnt = resolved.where(F.col("suburb_id").isNotNull()).groupBy("suburb_id").agg(
+        F.count(F.lit(1)).alias("address_count"))
+    return (cnt.join(suburbs.select("suburb_id", F.col("name").alias("suburb_name")), "suburb_id")
+            .orderBy(F.desc("address_count"), "suburb_id").limit(k))

@@ -326,6 +326,42 @@ def centroid_job_summary(spark, d):
     return reports.job_summary(c)
 
 
+def _suburb_stage(spark, d):
+    """Suburb boundaries as a feed: every 7th suburb moved west of the
+    district grid (so the nearest-district step is exercised)."""
+    c = fx.suburb_cells(spark, d).select("suburb_id", "name", "major_name")
+    v = fx.suburb_vertices(spark, d).join(fx.suburb_cells(spark, d).select("suburb_id", "nk"), "suburb_id")
+    moved = F.col("suburb_id").cast("long") % 7 == 0
+    v = v.withColumn("x", F.when(moved, F.col("x") - F.lit(200000.0) * (F.col("nk") % 5) - F.lit(250000.0))
+                     .otherwise(F.col("x")))
+    g = geo.polygons_from_vertices(v, "suburb_id")
+    return c.join(g, "suburb_id").select(F.col("suburb_id").alias("id"), "name", "major_name", "geom")
+
+
+def suburb_district_cascade(spark, d):
+    out = load.load_suburbs_cascade(_suburb_stage(spark, d), fx.districts(spark, d), flip=False, project=False)
+    return out.select("suburb_id", "district_id", "method", F.round("distance", 1).alias("distance"))
+
+
+def polygon_distance(spark, d):
+    """Distance of every moved suburb to every district within 300 km."""
+    from ..operators import polydist
+    st = _suburb_stage(spark, d).select(F.col("id").alias("suburb_id"), "geom")
+    moved = st.where(F.col("suburb_id").cast("long") % 7 == 0)
+    dis = fx.districts(spark, d).select("district_id", "geom")
+    r = 300000.0
+    pairs = polydist.candidate_pairs(moved, dis, "suburb_id", "district_id", r)
+    dist = polydist.pair_distance(pairs, moved, dis, "suburb_id", "district_id", r)
+    return dist.where(F.col("distance") <= r).select("suburb_id", "district_id",
+                                                     F.round("distance", 1).alias("distance"))
+
+
+def addresses_per_suburb(spark, d):
+    h = hierarchy.resolve_hierarchy(fx.points(spark, d), fx.suburbs(spark, d), fx.districts(spark, d),
+                                    key="address_id")
+    return reports.addresses_per_suburb(h, fx.suburbs(spark, d))
+
+
 QUERIES = {
     "regions_browse": regions_browse,
     "districts_browse": districts_browse,
@@ -363,4 +399,7 @@ QUERIES = {
     "fill_centroids": fill_centroids,
     "centroid_coverage": centroid_coverage,
     "centroid_job_summary": centroid_job_summary,
+    "suburb_district_cascade": suburb_district_cascade,
+    "polygon_distance": polygon_distance,
+    "addresses_per_suburb": addresses_per_suburb,
 }

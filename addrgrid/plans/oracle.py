@@ -634,3 +634,47 @@ ORACLE["centroid_job_summary"] = with_fx(["fx_suburb", "addr"], """
 select count(*) processed, count(*) filter (where source is not null) ok,
   count(*) filter (where source is null) failed,
   round(100.0e0 * count(*) filter (where source is not null) / count(*), 1) success_pct from cres""", _CENTROIDS)
+
+# ---------------------------------------------------------------------------
+# suburb -> district cascade, polygon distance (brute force over vertex x edge)
+# ---------------------------------------------------------------------------
+
+FX["mv_vertex"] = ("select v.suburb_id, v.seq, case when cast(v.suburb_id as bigint) % 7 = 0 then "
+                   "v.x - 200000.0e0 * (s.nk % 5) - 250000.0e0 else v.x end x, v.y "
+                   "from fx_suburb_vertex v join fx_suburb s on s.suburb_id = v.suburb_id")
+DEPS["mv_vertex"] = ["fx_suburb_vertex", "fx_suburb"]
+FX["mv_edge"] = _edges("mv_vertex", "suburb_id")
+DEPS["mv_edge"] = ["mv_vertex"]
+ORDER[:] = list(FX.keys())
+
+
+def _pseg(px, py, e):
+    t = (f"greatest(0.0e0, least(1.0e0, (({px} - {e}.ax) * ({e}.bx - {e}.ax) + ({py} - {e}.ay) * ({e}.bny - {e}.ay)) / "
+         f"(({e}.bx - {e}.ax) * ({e}.bx - {e}.ax) + ({e}.bny - {e}.ay) * ({e}.bny - {e}.ay))))")
+    return (f"sqrt(({px} - ({e}.ax + {t} * ({e}.bx - {e}.ax))) * ({px} - ({e}.ax + {t} * ({e}.bx - {e}.ax))) + "
+            f"({py} - ({e}.ay + {t} * ({e}.bny - {e}.ay))) * ({py} - ({e}.ay + {t} * ({e}.bny - {e}.ay))))")
+
+
+_PD = [
+    ("mv", "select distinct suburb_id from fx_suburb where cast(suburb_id as bigint) % 7 = 0"),
+    ("pd", "select suburb_id, district_id, min(d) distance from ("
+           "select v.suburb_id, e.district_id, " + _pseg("v.x", "v.y", "e") + " d from mv_vertex v "
+           "join mv using (suburb_id) join dis_edge e on true "
+           "union all select e.suburb_id, v.district_id, " + _pseg("v.x", "v.y", "e") + " d from fx_district_vertex v "
+           "join mv_edge e on true join mv on mv.suburb_id = e.suburb_id) group by suburb_id, district_id"),
+]
+
+ORACLE["polygon_distance"] = with_fx(["mv_vertex", "mv_edge", "dis_edge", "fx_district_vertex"], """
+select suburb_id, district_id, round(distance, 1) distance from pd where distance <= 300000.0e0""", _PD)
+
+ORACLE["suburb_district_cascade"] = with_fx(["mv_vertex", "mv_edge", "dis_edge", "fx_district_vertex"], """
+select suburb_id, district_id, 'contains' method, 0.0e0 distance from fx_suburb
+where cast(suburb_id as bigint) % 7 <> 0
+union all
+select suburb_id, district_id, 'nearest', round(distance, 1) from pd
+qualify row_number() over (partition by suburb_id order by distance, district_id) = 1""", _PD)
+
+ORACLE["addresses_per_suburb"] = with_fx(["fx_point"] + RESOLVE_DEPS, """
+select rh.suburb_id, s.name suburb_name, count(*) address_count from rh join fx_suburb s on s.suburb_id = rh.suburb_id
+where rh.suburb_id is not null group by rh.suburb_id, s.name order by address_count desc, rh.suburb_id limit 10""",
+                                        _resolve("fx_point", "address_id", "x", "y"))
