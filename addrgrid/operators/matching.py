@@ -2,10 +2,11 @@
 
 Number + street substring (C14/C15)
     Requests are reduced to distinct patterns (number, street, city) before
-    the join, so a thousand identical requests cost one probe. The join is an
-    equi-join on ``address_number`` with the substring test as residual; the
-    per-pattern winner is a partial (map-side) aggregate, so a hot house
-    number never gathers its matches into one group.
+    the join, so a thousand identical requests cost one probe. The join key is
+    (house number, rarest literal 3-gram of the street) against a road-gram
+    index, with the substring test as residual; the per-pattern winner is a
+    partial (map-side) aggregate, so a hot house number never gathers its
+    matches into one group.
 
 Trigram similarity (C16)
     Prefix-filtered set-similarity join: grams are ordered globally by
@@ -17,12 +18,26 @@ Trigram similarity (C16)
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, trigram
+from ..session import cut_lineage
+
+
+def _windows(s, n: int):
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(0))),
+                       lambda i: F.substring(s, i, n))
+
+
+def road_grams(addresses: DataFrame) -> DataFrame:
+    """(address_number, gram, address_id): distinct lower-case 3-grams of the
+    road name and its ASCII form -- the inverted index of the substring join
+    (reusable across request batches)."""
+    a = addresses.where(F.col("address_number").isNotNull())
+    g = F.array_distinct(F.concat(F.coalesce(_windows(F.lower("full_road_name"), 3), F.array()),
+                                  F.coalesce(_windows(F.lower("full_road_name_ascii"), 3), F.array())))
+    return a.select("address_number", "address_id", F.explode(g).alias("gram"))
 
 
 def match_patterns(patterns: DataFrame, addresses: DataFrame) -> DataFrame:
@@ -33,11 +48,33 @@ def match_patterns(patterns: DataFrame, addresses: DataFrame) -> DataFrame:
     orders by city priority (1 = city text in suburb or town, 2 otherwise;
     0 without a city), then street quality (1 exact case-sensitive road name,
     2 prefix, 3 other; 0 without a city), then address_id.
+
+    Candidate generation never pairs a pattern with every address of its
+    house number:
+    * street with a literal 3-gram: equi-join on (number, rarest gram) with
+      the road-gram index, then the exact ILIKE test;
+    * empty street (number only, matches any named road): one per-number
+      aggregate, no pairs at all;
+    * 1-2 literal characters or wildcards only: number join + ILIKE (rare).
     """
     p = patterns.select("number", "street", "city").distinct()
     a = addresses.select("address_id", "address_number", "full_road_name", "full_road_name_ascii",
                          "suburb_locality", "town_city")
-    j = p.join(a, F.col("number") == F.col("address_number"))
+    low = F.lower(F.col("street"))
+    lit3 = F.filter(_windows(low, 3), lambda g: ~g.rlike(r"[%_\\]"))
+    p = p.withColumn("_g", lit3)
+    idx = road_grams(addresses)
+    freq = idx.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))  # bounded by the alphabet
+    keyed = (p.where(F.size("_g") > 0).select("number", "street", "city", F.explode("_g").alias("gram"))
+             .join(freq, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+             .groupBy("number", "street", "city").agg(F.min(F.struct("df", "gram")).alias("_k"))
+             .select("number", "street", "city", F.col("_k.gram").alias("gram")))
+    cand = keyed.join(idx.withColumnRenamed("gram", "_ig"),
+                      (F.col("number") == F.col("address_number")) & (F.col("gram") == F.col("_ig")))
+    cand = cand.select("number", "street", "city", "address_id").join(a, "address_id")
+    short = p.where((F.size("_g") == 0) & (F.col("street") != "")).drop("_g")
+    cand_short = short.join(a, F.col("number") == F.col("address_number"))
+    j = cand.unionByName(cand_short.select(*cand.columns))
     j = j.where(text.contains_ci("full_road_name_ascii", "street") | text.contains_ci("full_road_name", "street"))
     has_city = F.col("city").isNotNull() & (F.col("city") != "")
     prio = F.when(~has_city, F.lit(0)).when(
@@ -48,8 +85,18 @@ def match_patterns(patterns: DataFrame, addresses: DataFrame) -> DataFrame:
     j = j.select("number", "street", "city", F.struct(prio.alias("prio"), qual.alias("qual"),
                                                        F.col("address_id").alias("id")).alias("k"))
     g = j.groupBy("number", "street", "city").agg(F.count(F.lit(1)).alias("_n"), F.min("k").alias("_k"))
-    return g.select("number", "street", "city", F.least(F.col("_n"), F.lit(5)).cast("int").alias("n_match"),
-                    F.col("_k.id").alias("best_id"), F.col("_k.prio").alias("best_prio"))
+    matched = g.select("number", "street", "city", F.least(F.col("_n"), F.lit(5)).cast("int").alias("n_match"),
+                       F.col("_k.id").alias("best_id"), F.col("_k.prio").alias("best_prio"))
+    # number only: every address with a named road qualifies; city is null here
+    named = a.where(F.col("full_road_name").isNotNull() | F.col("full_road_name_ascii").isNotNull())
+    per_number = named.groupBy("address_number").agg(F.count(F.lit(1)).alias("_n"),
+                                                    F.min("address_id").alias("best_id"))
+    empty = (p.where(F.col("street") == "").drop("_g")
+             .join(per_number, F.col("number") == F.col("address_number"))
+             .select("number", "street", "city", F.least(F.col("_n"), F.lit(5)).cast("int").alias("n_match"),
+                     "best_id", F.when(F.col("city").isNull() | (F.col("city") == ""), F.lit(0))
+                     .otherwise(F.lit(2)).alias("best_prio")))
+    return matched.unionByName(empty)
 
 
 def prefix_len(n, t: float):
@@ -75,9 +122,10 @@ def similarity_join(requests: DataFrame, addresses: DataFrame, req_key: str = "r
     """
     t = threshold - 1e-6
     R = requests.select(F.col(req_key).alias("_rid"), trigram.trigrams(req_text).alias("g"))
-    R = R.where(F.size("g") > 0)
-    A = (addresses.where(F.col("full_address_ascii").isNotNull())
-         .select("address_id", trigram.trigrams("full_address_ascii").alias("g")).where(F.size("g") > 0))
+    R = cut_lineage(R.where(F.size("g") > 0))
+    # gram sets are read three times (frequencies, prefixes, verification)
+    A = cut_lineage(addresses.where(F.col("full_address_ascii").isNotNull())
+                    .select("address_id", trigram.trigrams("full_address_ascii").alias("g")).where(F.size("g") > 0))
     freq = A.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rp = _gram_rows(R, "_rid", "g", freq, t)
     ap = _gram_rows(A, "address_id", "g", freq, t)
