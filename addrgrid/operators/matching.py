@@ -105,11 +105,13 @@ def prefix_len(n, t: float):
 
 
 def _gram_rows(df: DataFrame, key: str, grams_col: str, freq: DataFrame, t: float) -> DataFrame:
+    """Prefix grams of each set with their 1-based position in the global
+    (frequency, gram) order and the set size."""
     e = df.select(key, F.size(grams_col).alias("_n"), F.explode(grams_col).alias("gram"))
     e = e.join(freq, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     w = Window.partitionBy(key).orderBy("df", "gram")
-    return (e.withColumn("_r", F.row_number().over(w))
-            .where(F.col("_r") <= prefix_len(F.col("_n"), t)).select(key, "gram"))
+    return (e.withColumn("_pos", F.row_number().over(w))
+            .where(F.col("_pos") <= prefix_len(F.col("_n"), t)).select(key, "gram", "_pos", "_n"))
 
 
 def similarity_join(requests: DataFrame, addresses: DataFrame, req_key: str = "rid",
@@ -118,6 +120,12 @@ def similarity_join(requests: DataFrame, addresses: DataFrame, req_key: str = "r
     ``full_address_ascii`` to the request text, only if similarity > threshold
     (single-precision value widened to double). Ties -> smallest address_id.
 
+    Filters before the exact check (all exact for Jaccard >= t):
+    prefix filter (join on prefix grams only), positional filter (the first
+    shared prefix gram at positions i, j caps the overlap at
+    min(|x|-i, |y|-j) + 1, which must reach t/(1+t)*(|x|+|y|)) and the length
+    filter t|x| <= |y| <= |x|/t.
+
     Output: (req_key, address_id, sim float).
     """
     t = threshold - 1e-6
@@ -127,13 +135,18 @@ def similarity_join(requests: DataFrame, addresses: DataFrame, req_key: str = "r
     A = cut_lineage(addresses.where(F.col("full_address_ascii").isNotNull())
                     .select("address_id", trigram.trigrams("full_address_ascii").alias("g")).where(F.size("g") > 0))
     freq = A.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    rp = _gram_rows(R, "_rid", "g", freq, t)
-    ap = _gram_rows(A, "address_id", "g", freq, t)
-    cand = rp.join(ap, "gram").select("_rid", "address_id").distinct()
+    rp = _gram_rows(R, "_rid", "g", freq, t).select("_rid", "gram", F.col("_pos").alias("i"), F.col("_n").alias("nr"))
+    ap = _gram_rows(A, "address_id", "g", freq, t).select("address_id", "gram", F.col("_pos").alias("j"),
+                                                          F.col("_n").alias("na"))
+    nr, na = F.col("nr"), F.col("na")
+    cand = (rp.join(ap, "gram").where((na >= F.lit(t) * nr) & (na * F.lit(t) <= nr))
+            .groupBy("_rid", "address_id", "nr", "na").agg(F.min("i").alias("i"), F.min("j").alias("j")))
+    need = F.ceil(F.lit(t / (1.0 + t)) * (nr + na))
+    cand = cand.where(F.least(nr - F.col("i"), na - F.col("j")) + 1 >= need).select("_rid", "address_id")
     c = (cand.join(R.withColumnRenamed("g", "rg"), "_rid").join(A.withColumnRenamed("g", "ag"), "address_id"))
-    nr, na = F.size("rg"), F.size("ag")
-    c = c.where((na >= F.lit(t) * nr) & (na * F.lit(t) <= nr))
-    c = c.select("_rid", "address_id", trigram.gram_similarity("rg", "ag").alias("sim"))
+    inter = F.size(F.array_intersect("rg", "ag"))
+    sim = (inter / (F.size("rg") + F.size("ag") - inter)).cast("float")
+    c = c.select("_rid", "address_id", sim.alias("sim"))
     c = c.where(trigram.above_threshold("sim", threshold))
     best = c.groupBy("_rid").agg(F.max("sim").alias("sim"))
     win = c.join(best, ["_rid", "sim"]).groupBy("_rid", "sim").agg(F.min("address_id").alias("address_id"))

@@ -37,6 +37,7 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         dt = time.time() - t0
         times[name] = round(dt, 3)
+        print(f"{name}: {dt:.1f}s", file=sys.stderr, flush=True)
         tbl = REQUESTS.get(name)
         if tbl:
             n = spark.read.parquet(f"{sf_dir}/{tbl}.parquet").count()
