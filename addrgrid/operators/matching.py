@@ -99,19 +99,19 @@ def match_patterns(patterns: DataFrame, addresses: DataFrame) -> DataFrame:
     return matched.unionByName(empty)
 
 
-def prefix_len(n, t: float):
-    """Prefix length for Jaccard >= t (t lowered a hair for float rounding)."""
-    return n - F.ceil(F.lit(t) * n).cast("int") + 1
+def prefix_len(n, t):
+    """Prefix length |x| - ceil(t|x|) + 1 for Jaccard >= t (t a number or Column)."""
+    tc = t if not isinstance(t, (int, float)) else F.lit(t)
+    return n - F.ceil(tc * n).cast("int") + 1
 
 
-def _gram_rows(df: DataFrame, key: str, grams_col: str, freq: DataFrame, t: float) -> DataFrame:
-    """Prefix grams of each set with their 1-based position in the global
-    (frequency, gram) order and the set size."""
+def _ranked(df: DataFrame, key: str, grams_col: str, freq: DataFrame) -> DataFrame:
+    """Grams of each set with df and 1-based position in the global
+    (frequency, gram) order, plus the set size."""
     e = df.select(key, F.size(grams_col).alias("_n"), F.explode(grams_col).alias("gram"))
     e = e.join(freq, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     w = Window.partitionBy(key).orderBy("df", "gram")
-    return (e.withColumn("_pos", F.row_number().over(w))
-            .where(F.col("_pos") <= prefix_len(F.col("_n"), t)).select(key, "gram", "_pos", "_n"))
+    return e.withColumn("_pos", F.row_number().over(w))
 
 
 def similarity_join(requests: DataFrame, addresses: DataFrame, req_key: str = "rid",
@@ -120,33 +120,56 @@ def similarity_join(requests: DataFrame, addresses: DataFrame, req_key: str = "r
     ``full_address_ascii`` to the request text, only if similarity > threshold
     (single-precision value widened to double). Ties -> smallest address_id.
 
-    Filters before the exact check (all exact for Jaccard >= t):
-    prefix filter (join on prefix grams only), positional filter (the first
-    shared prefix gram at positions i, j caps the overlap at
-    min(|x|-i, |y|-j) + 1, which must reach t/(1+t)*(|x|+|y|)) and the length
-    filter t|x| <= |y| <= |x|/t.
+    Top-1 search in two exact phases:
+    1. lower bound: similarities to the addresses that contain the request's
+       rarest gram present in the index (a short posting list);
+    2. set-similarity join at the request's own threshold
+       t_r = max(threshold, bound): prefix filter (request prefix of
+       |x| - ceil(t_r|x|) + 1 grams, address prefix at the base threshold),
+       length filter and positional filter (the first shared prefix gram at
+       positions i, j caps the overlap at min(|x|-i, |y|-j) + 1, which must
+       reach t_r/(1+t_r)*(|x|+|y|)).
+    A good match raises t_r close to 1, so its prefix shrinks to the few rare
+    grams and hot grams never become join keys.
 
     Output: (req_key, address_id, sim float).
     """
-    t = threshold - 1e-6
+    eps = 1e-6
     R = requests.select(F.col(req_key).alias("_rid"), trigram.trigrams(req_text).alias("g"))
     R = cut_lineage(R.where(F.size("g") > 0))
-    # gram sets are read three times (frequencies, prefixes, verification)
+    # gram sets are read several times (index, prefixes, verification)
     A = cut_lineage(addresses.where(F.col("full_address_ascii").isNotNull())
                     .select("address_id", trigram.trigrams("full_address_ascii").alias("g")).where(F.size("g") > 0))
-    freq = A.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    rp = _gram_rows(R, "_rid", "g", freq, t).select("_rid", "gram", F.col("_pos").alias("i"), F.col("_n").alias("nr"))
-    ap = _gram_rows(A, "address_id", "g", freq, t).select("address_id", "gram", F.col("_pos").alias("j"),
-                                                          F.col("_n").alias("na"))
-    nr, na = F.col("nr"), F.col("na")
-    cand = (rp.join(ap, "gram").where((na >= F.lit(t) * nr) & (na * F.lit(t) <= nr))
-            .groupBy("_rid", "address_id", "nr", "na").agg(F.min("i").alias("i"), F.min("j").alias("j")))
-    need = F.ceil(F.lit(t / (1.0 + t)) * (nr + na))
+    postings = A.select("address_id", F.explode("g").alias("gram"))
+    freq = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))  # bounded by the alphabet
+    rr = cut_lineage(_ranked(R, "_rid", "g", freq))
+    ar = _ranked(A, "address_id", "g", freq)
+
+    def verify_pairs(pairs: DataFrame) -> DataFrame:
+        c = pairs.join(R.withColumnRenamed("g", "rg"), "_rid").join(A.withColumnRenamed("g", "ag"), "address_id")
+        inter = F.size(F.array_intersect("rg", "ag"))
+        sim = (inter / (F.size("rg") + F.size("ag") - inter)).cast("float")
+        return c.select("_rid", "address_id", sim.alias("sim"))
+
+    # phase 1: the rarest gram that occurs in the index
+    seed = (rr.where(F.col("df") > 0).groupBy("_rid").agg(F.min(F.struct("df", "gram")).alias("k"))
+            .select("_rid", F.col("k.gram").alias("gram")))
+    p1 = verify_pairs(seed.join(postings, "gram").select("_rid", "address_id"))
+    lb = p1.groupBy("_rid").agg(F.max("sim").alias("lb"))
+    tr = (R.select("_rid").join(lb, "_rid", "left")
+          .select("_rid", (F.greatest(F.lit(threshold), F.coalesce(F.col("lb").cast("double"), F.lit(0.0)))
+                           - F.lit(eps)).alias("t")))
+    # phase 2: prefixes at the request's threshold / the base threshold
+    rp = (rr.join(tr, "_rid").where(F.col("_pos") <= prefix_len(F.col("_n"), F.col("t")))
+          .select("_rid", "gram", F.col("_pos").alias("i"), F.col("_n").alias("nr"), "t"))
+    ap = (ar.where(F.col("_pos") <= prefix_len(F.col("_n"), threshold - eps))
+          .select("address_id", "gram", F.col("_pos").alias("j"), F.col("_n").alias("na")))
+    nr, na, t = F.col("nr"), F.col("na"), F.col("t")
+    cand = (rp.join(ap, "gram").where((na >= t * nr) & (na * t <= nr))
+            .groupBy("_rid", "address_id", "nr", "na", "t").agg(F.min("i").alias("i"), F.min("j").alias("j")))
+    need = F.ceil(t / (F.lit(1.0) + t) * (nr + na))
     cand = cand.where(F.least(nr - F.col("i"), na - F.col("j")) + 1 >= need).select("_rid", "address_id")
-    c = (cand.join(R.withColumnRenamed("g", "rg"), "_rid").join(A.withColumnRenamed("g", "ag"), "address_id"))
-    inter = F.size(F.array_intersect("rg", "ag"))
-    sim = (inter / (F.size("rg") + F.size("ag") - inter)).cast("float")
-    c = c.select("_rid", "address_id", sim.alias("sim"))
+    c = verify_pairs(cand).unionByName(p1)
     c = c.where(trigram.above_threshold("sim", threshold))
     best = c.groupBy("_rid").agg(F.max("sim").alias("sim"))
     win = c.join(best, ["_rid", "sim"]).groupBy("_rid", "sim").agg(F.min("address_id").alias("address_id"))
