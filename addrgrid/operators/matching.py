@@ -105,6 +105,14 @@ def prefix_len(n, t):
     return n - F.ceil(tc * n).cast("int") + 1
 
 
+def salted_join(small: DataFrame, big: DataFrame, key: str, big_id: str, salts: int = 32) -> DataFrame:
+    """Equi-join on a hot key spread over ``salts`` tasks: the small side is
+    replicated per salt, the big side gets salt = hash(row id) mod salts."""
+    sm = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    bg = big.withColumn("_salt", F.pmod(F.xxhash64(big_id), F.lit(salts)))
+    return sm.join(bg, [key, "_salt"]).drop("_salt")
+
+
 def _ranked(df: DataFrame, key: str, grams_col: str, freq: DataFrame) -> DataFrame:
     """Grams of each set with df and 1-based position in the global
     (frequency, gram) order, plus the set size."""
@@ -115,22 +123,22 @@ def _ranked(df: DataFrame, key: str, grams_col: str, freq: DataFrame) -> DataFra
 
 
 def similarity_join(requests: DataFrame, addresses: DataFrame, req_key: str = "rid",
-                    req_text: str = "norm", threshold: float = 0.6) -> DataFrame:
+                    req_text: str = "norm", threshold: float = 0.6,
+                    levels: tuple[float, ...] = (0.9, 0.75)) -> DataFrame:
     """Per request the address with the highest trigram similarity of
     ``full_address_ascii`` to the request text, only if similarity > threshold
     (single-precision value widened to double). Ties -> smallest address_id.
 
-    Top-1 search in two exact phases:
-    1. lower bound: similarities to the addresses that contain the request's
-       rarest gram present in the index (a short posting list);
-    2. set-similarity join at the request's own threshold
-       t_r = max(threshold, bound): prefix filter (request prefix of
-       |x| - ceil(t_r|x|) + 1 grams, address prefix at the base threshold),
-       length filter and positional filter (the first shared prefix gram at
-       positions i, j caps the overlap at min(|x|-i, |y|-j) + 1, which must
-       reach t_r/(1+t_r)*(|x|+|y|)).
-    A good match raises t_r close to 1, so its prefix shrinks to the few rare
-    grams and hot grams never become join keys.
+    Exact top-1 search as a threshold cascade (``levels`` then
+    ``threshold``). At level t only the requests still unresolved take part:
+    prefix filter (request prefix of |x| - ceil(t|x|) + 1 grams in the global
+    (frequency, gram) order; address prefix at the base threshold, computed
+    once), length filter t|x| <= |y| <= |x|/t and positional filter (the first
+    shared prefix gram at positions i, j caps the overlap at
+    min(|x|-i, |y|-j) + 1, which must reach t/(1+t)*(|x|+|y|)). A request with
+    a verified pair >= t is resolved: every better pair was a candidate. High
+    levels use tiny prefixes of rare grams, so hot grams are join keys only
+    for the few requests whose best match is weak. Gram joins are salted.
 
     Output: (req_key, address_id, sim float).
     """
@@ -140,10 +148,12 @@ def similarity_join(requests: DataFrame, addresses: DataFrame, req_key: str = "r
     # gram sets are read several times (index, prefixes, verification)
     A = cut_lineage(addresses.where(F.col("full_address_ascii").isNotNull())
                     .select("address_id", trigram.trigrams("full_address_ascii").alias("g")).where(F.size("g") > 0))
-    postings = A.select("address_id", F.explode("g").alias("gram"))
-    freq = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))  # bounded by the alphabet
+    freq = (A.select(F.explode("g").alias("gram")).groupBy("gram")
+            .agg(F.count(F.lit(1)).alias("df")))  # bounded by the alphabet
     rr = cut_lineage(_ranked(R, "_rid", "g", freq))
-    ar = _ranked(A, "address_id", "g", freq)
+    ap = cut_lineage(_ranked(A, "address_id", "g", freq)
+                     .where((F.col("df") > 0) & (F.col("_pos") <= prefix_len(F.col("_n"), threshold - eps)))
+                     .select("address_id", "gram", F.col("_pos").alias("j"), F.col("_n").alias("na")))
 
     def verify_pairs(pairs: DataFrame) -> DataFrame:
         c = pairs.join(R.withColumnRenamed("g", "rg"), "_rid").join(A.withColumnRenamed("g", "ag"), "address_id")
@@ -151,26 +161,22 @@ def similarity_join(requests: DataFrame, addresses: DataFrame, req_key: str = "r
         sim = (inter / (F.size("rg") + F.size("ag") - inter)).cast("float")
         return c.select("_rid", "address_id", sim.alias("sim"))
 
-    # phase 1: the rarest gram that occurs in the index
-    seed = (rr.where(F.col("df") > 0).groupBy("_rid").agg(F.min(F.struct("df", "gram")).alias("k"))
-            .select("_rid", F.col("k.gram").alias("gram")))
-    p1 = verify_pairs(seed.join(postings, "gram").select("_rid", "address_id"))
-    lb = p1.groupBy("_rid").agg(F.max("sim").alias("lb"))
-    tr = (R.select("_rid").join(lb, "_rid", "left")
-          .select("_rid", (F.greatest(F.lit(threshold), F.coalesce(F.col("lb").cast("double"), F.lit(0.0)))
-                           - F.lit(eps)).alias("t")))
-    # phase 2: prefixes at the request's threshold / the base threshold
-    rp = (rr.join(tr, "_rid").where(F.col("_pos") <= prefix_len(F.col("_n"), F.col("t")))
-          .select("_rid", "gram", F.col("_pos").alias("i"), F.col("_n").alias("nr"), "t"))
-    ap = (ar.where(F.col("_pos") <= prefix_len(F.col("_n"), threshold - eps))
-          .select("address_id", "gram", F.col("_pos").alias("j"), F.col("_n").alias("na")))
-    nr, na, t = F.col("nr"), F.col("na"), F.col("t")
-    cand = (rp.join(ap, "gram").where((na >= t * nr) & (na * t <= nr))
-            .groupBy("_rid", "address_id", "nr", "na", "t").agg(F.min("i").alias("i"), F.min("j").alias("j")))
-    need = F.ceil(t / (F.lit(1.0) + t) * (nr + na))
-    cand = cand.where(F.least(nr - F.col("i"), na - F.col("j")) + 1 >= need).select("_rid", "address_id")
-    c = verify_pairs(cand).unionByName(p1)
-    c = c.where(trigram.above_threshold("sim", threshold))
+    todo = rr
+    found = None
+    for lvl in [*[x for x in levels if x > threshold], threshold]:
+        t = lvl - eps
+        rp = (todo.where((F.col("df") > 0) & (F.col("_pos") <= prefix_len(F.col("_n"), t)))
+              .select("_rid", "gram", F.col("_pos").alias("i"), F.col("_n").alias("nr")))
+        nr, na = F.col("nr"), F.col("na")
+        cand = (salted_join(rp, ap, "gram", "address_id").where((na >= F.lit(t) * nr) & (na * F.lit(t) <= nr))
+                .groupBy("_rid", "address_id", "nr", "na").agg(F.min("i").alias("i"), F.min("j").alias("j")))
+        need = F.ceil(F.lit(t / (1.0 + t)) * (nr + na))
+        cand = cand.where(F.least(nr - F.col("i"), na - F.col("j")) + 1 >= need).select("_rid", "address_id")
+        hits = cut_lineage(verify_pairs(cand).where(F.col("sim").cast("double") >= F.lit(t)))
+        found = hits if found is None else found.unionByName(hits)
+        if lvl > threshold:
+            todo = cut_lineage(todo.join(hits.select("_rid").distinct(), "_rid", "left_anti"))
+    c = found.where(trigram.above_threshold("sim", threshold))
     best = c.groupBy("_rid").agg(F.max("sim").alias("sim"))
     win = c.join(best, ["_rid", "sim"]).groupBy("_rid", "sim").agg(F.min("address_id").alias("address_id"))
     return win.select(F.col("_rid").alias(req_key), "address_id", "sim")

@@ -16,6 +16,7 @@ from ..operators import (centroids, geocode, hierarchy, listings, load, localiti
                          verify)
 from ..sources import schemas
 from ..sources import fixtures as fx
+from ..session import cut_lineage
 from ..sources.tables import table
 
 
@@ -24,7 +25,17 @@ from ..sources.tables import table
 # ---------------------------------------------------------------------------
 
 def _addresses(spark, d) -> DataFrame:
-    return load.load_addresses(fx.address_feed(spark, d))
+    """The loaded address table, written once per query (as a stored table
+    would be) so the operators that read it several times scan it."""
+    return cut_lineage(load.load_addresses(fx.address_feed(spark, d)))
+
+
+def _subs(spark, d) -> DataFrame:
+    return cut_lineage(fx.suburbs(spark, d))
+
+
+def _dists(spark, d) -> DataFrame:
+    return cut_lineage(fx.districts(spark, d))
 
 
 def _suburbs(spark, d) -> DataFrame:
@@ -44,7 +55,7 @@ def _aliases(spark, d) -> DataFrame:
 
 
 def _streets(spark, d) -> DataFrame:
-    return hierarchy.refresh_streets(_addresses(spark, d), fx.suburbs(spark, d))
+    return hierarchy.refresh_streets(_addresses(spark, d), _subs(spark, d))
 
 
 # ---------------------------------------------------------------------------
@@ -170,7 +181,7 @@ def pip_join(spark, d):
 
 
 def resolve_points(spark, d):
-    return hierarchy.resolve_hierarchy(fx.points(spark, d), fx.suburbs(spark, d), fx.districts(spark, d),
+    return hierarchy.resolve_hierarchy(fx.points(spark, d), _subs(spark, d), _dists(spark, d),
                                        key="address_id")
 
 
@@ -179,8 +190,8 @@ def streets_by_suburb(spark, d):
 
 
 def nearest_address(spark, d):
-    g = geocode.address_for_coordinates(fx.probes(spark, d), _addresses(spark, d), fx.suburbs(spark, d),
-                                        fx.districts(spark, d))
+    g = geocode.address_for_coordinates(fx.probes(spark, d), _addresses(spark, d), _subs(spark, d),
+                                        _dists(spark, d))
     return g.withColumn("distance", F.round("distance", 2))
 
 
@@ -201,13 +212,13 @@ def district_by_point(spark, d):
 # ---------------------------------------------------------------------------
 
 def verify_addresses(spark, d):
-    return verify.verify(fx.raw_requests(spark, d), _addresses(spark, d), fx.suburbs(spark, d),
-                         fx.districts(spark, d))
+    return verify.verify(cut_lineage(fx.raw_requests(spark, d)), _addresses(spark, d), _subs(spark, d),
+                         _dists(spark, d))
 
 
 def coordinates_for_address(spark, d):
-    c = verify.coordinates_for_address(fx.raw_requests(spark, d), _addresses(spark, d), fx.suburbs(spark, d),
-                                       fx.districts(spark, d))
+    c = verify.coordinates_for_address(cut_lineage(fx.raw_requests(spark, d)), _addresses(spark, d),
+                                       _subs(spark, d), _dists(spark, d))
     return c.select("raw_id", "success", "latitude", "longitude", "message",
                     F.col("address_details.address_id").alias("address_id"))
 

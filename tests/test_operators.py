@@ -94,3 +94,44 @@ def test_verify_quirks_on_literal_table(spark):
     assert v[4].message == "Address cannot be empty"
     assert v[5].exists_in_source is False                     # retired row not loaded
     assert (v[6].strategy, v[6].address_id) == ("exact", 1)   # number only matches any road
+
+
+def _py_trigrams(s):
+    import re
+    out = set()
+    for w in re.split(r"[^\w]+|_", s.lower()):
+        if w:
+            p = "  " + w + " "
+            out.update(p[i:i + 3] for i in range(len(w) + 1))
+    return out
+
+
+def test_similarity_join_exact_against_brute_force(spark):
+    from addrgrid.operators import matching
+    rng = np.random.default_rng(11)
+    words = ["kowhai", "rata", "tui", "hill", "mill", "spring", "beach", "road", "street", "lane", "north", "bay"]
+    addrs = [(i, f"{rng.integers(1, 30)} {rng.choice(words)} {rng.choice(words)} {rng.choice(words)}")
+             for i in range(300)]
+    reqs = []
+    for i in range(120):
+        base = addrs[int(rng.integers(0, 300))][1]
+        mode = i % 3
+        t = base if mode == 0 else (base + " x" if mode == 1 else " ".join(rng.choice(words, 3)))
+        reqs.append((i, t))
+    A = spark.createDataFrame(addrs, "address_id long, full_address_ascii string")
+    R = spark.createDataFrame(reqs, "rid long, norm string")
+    got = {r.rid: (r.address_id, r.sim) for r in matching.similarity_join(R, A, "rid", "norm").collect()}
+    ag = {i: _py_trigrams(t) for i, t in addrs}
+    for rid, text in reqs:
+        g = _py_trigrams(text)
+        best = None
+        for aid, h in ag.items():
+            if not g or not h:
+                continue
+            s = float(np.float32(len(g & h) / len(g | h)))
+            if s > 0.6 and (best is None or s > best[1] or (s == best[1] and aid < best[0])):
+                best = (aid, s)
+        if best is None:
+            assert rid not in got
+        else:
+            assert got[rid][0] == best[0] and abs(got[rid][1] - best[1]) < 1e-6
