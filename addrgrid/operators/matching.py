@@ -105,12 +105,13 @@ def prefix_len(n, t):
     return n - F.ceil(tc * n).cast("int") + 1
 
 
-def salted_join(small: DataFrame, big: DataFrame, key: str, big_id: str, salts: int = 32) -> DataFrame:
+def salted_join(small: DataFrame, big: DataFrame, key, big_id: str, salts: int = 32) -> DataFrame:
     """Equi-join on a hot key spread over ``salts`` tasks: the small side is
     replicated per salt, the big side gets salt = hash(row id) mod salts."""
+    keys = [key] if isinstance(key, str) else list(key)
     sm = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     bg = big.withColumn("_salt", F.pmod(F.xxhash64(big_id), F.lit(salts)))
-    return sm.join(bg, [key, "_salt"]).drop("_salt")
+    return sm.join(bg, [*keys, "_salt"]).drop("_salt")
 
 
 def _ranked(df: DataFrame, key: str, grams_col: str, freq: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .matching import salted_join
 
 DEFAULT_LIMIT = 10
 MAX_LIMIT = 50
@@ -68,18 +69,23 @@ def autocomplete(queries: DataFrame, addresses: DataFrame, limit: int = DEFAULT_
     q = queries.select(F.col(key).alias("query_id"), F.col(col).alias("raw"))
     q = q.where(~text.is_blank("raw") & (F.length("raw") >= 3))
     q = q.select("query_id", F.regexp_replace("raw", r"^(?U)\s+|(?U)\s+$", "").alias("q"))
+    # identical query texts are answered once and joined back to their ids
+    dq = q.select("q").distinct()
     ag = address_grams(addresses)
-    freq = ag.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("df"))
-    qg = _query_key_grams(q).join(freq, ["n", "gram"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    pick = qg.groupBy("query_id", "q").agg(F.min(F.struct("df", "n", "gram")).alias("k"))
-    pick = pick.select("query_id", "q", F.col("k.n").alias("n"), F.col("k.gram").alias("gram"))
-    cand = pick.join(ag, ["n", "gram"]).select("query_id", "q", "address_id")
+    freq = ag.groupBy("n", "gram").agg(F.count(F.lit(1)).alias("df"))  # bounded by the alphabet
+    qg = (_query_key_grams(dq.withColumn("query_id", F.col("q"))).drop("query_id")
+          .join(freq, ["n", "gram"], "left").withColumn("df", F.coalesce("df", F.lit(0))))
+    pick = qg.groupBy("q").agg(F.min(F.struct("df", "n", "gram")).alias("k"))
+    pick = pick.select("q", F.col("k.n").alias("n"), F.col("k.gram").alias("gram"))
+    # one gram can key a large part of the table: salt the join
+    cand = salted_join(pick, ag, ["n", "gram"], "address_id").select("q", "address_id")
     a = addresses.select("address_id", "full_address", "full_address_ascii", "full_road_name",
                          "suburb_locality", "town_city")
     m = cand.join(a, "address_id").where(text.contains_ci("full_address_ascii", "q"))
     m = m.withColumn("_sw", F.when(text.startswith_ci("full_address_ascii", "q"), 0).otherwise(1))
-    w = Window.partitionBy("query_id").orderBy("_sw", "full_address_ascii", "address_id")
+    w = Window.partitionBy("q").orderBy("_sw", "full_address_ascii", "address_id")
     top = m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    top = q.join(top, "q")
     return top.select("query_id", "rank", "address_id", "full_address", F.col("full_road_name").alias("street_name"),
                       F.col("suburb_locality").alias("suburb"), F.col("town_city").alias("city"),
                       F.lit(None).cast("string").alias("postal_code"))

@@ -75,9 +75,10 @@ def verify(raw: DataFrame, addresses: DataFrame, suburbs: DataFrame, districts:
                  .otherwise(F.coalesce(exact, smart)).alias("hit"))
 
     x = cut_lineage(x)
-    residue = x.where(F.col("hit").isNull()).select(key, "norm")
-    fz = matching.similarity_join(residue, addresses, req_key=key, req_text="norm")
-    x = x.join(fz.select(key, F.col("address_id").alias("f_id"), F.col("sim").alias("f_sim")), key, "left")
+    # identical normalised texts are searched once
+    residue = x.where(F.col("hit").isNull()).select("norm").distinct()
+    fz = matching.similarity_join(residue, addresses, req_key="norm", req_text="norm")
+    x = x.join(fz.select("norm", F.col("address_id").alias("f_id"), F.col("sim").alias("f_sim")), "norm", "left")
     fuzzy = F.when(F.col("f_id").isNotNull(), F.struct(
         F.col("f_id").alias("address_id"), F.lit("fuzzy").alias("strategy"), F.lit(None).cast("string").alias("msg"),
         F.col("f_sim").alias("sim")))
