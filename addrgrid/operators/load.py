@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..sources import schemas
+from ..session import cut_lineage
 from . import spatial
 
 
@@ -95,9 +96,11 @@ def load_districts_by_point(stage: DataFrame, regions: DataFrame, id_col: str =
     """J3 mode 'point' (C6): region = the region containing the district's
     point-on-surface (boundary included), smallest id on ties, else '99'."""
     g = geo.flip_coordinates("geom") if flip else F.col("geom")
-    s = (stage.withColumn("geom", g).withColumn("geom", geo.largest_part("geom"))
-         .select(F.substring(F.col(id_col).cast("string"), 1, 10).alias("district_id"),
-                 F.substring(F.col(name_col), 1, 200).alias("name"), "geom"))
+    # boundaries are a dimension: materialise once so the per-vertex
+    # expressions below read a column instead of re-deriving the part
+    s = cut_lineage(stage.withColumn("geom", g).withColumn("geom", geo.largest_part("geom"))
+                    .select(F.substring(F.col(id_col).cast("string"), 1, 10).alias("district_id"),
+                            F.substring(F.col(name_col), 1, 200).alias("name"), "geom"))
     pos = s.select("district_id", geo.point_on_surface("geom").alias("p")).select(
         "district_id", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
     hit = spatial.first_containing(pos, regions.select("region_id", "geom"), "district_id", "region_id",
@@ -213,7 +216,7 @@ def load_suburbs_cascade(stage: DataFrame, districts: DataFrame, id_col: str = "
         s = s.drop("geom").join(g, "suburb_id")
     elif flip:
         s = s.withColumn("geom", geo.flip_coordinates("geom"))
-    s = s.withColumn("geom", geo.largest_part("geom"))
+    s = cut_lineage(s.withColumn("geom", geo.largest_part("geom")))
     pos = s.select("suburb_id", geo.point_on_surface("geom").alias("p")).select(
         "suburb_id", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
     inside = spatial.first_containing(pos, districts.select("district_id", "geom"), "suburb_id", "district_id",

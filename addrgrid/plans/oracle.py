@@ -292,7 +292,9 @@ MATCH = [
            "where full_address_ascii is not null"),
     ("fs", "select rg.raw_id, ag.address_id, cast(cast(len(list_intersect(rg.g, ag.g)) as double) / "
            "len(list_distinct(list_concat(rg.g, ag.g))) as float) sim from rg, ag "
-           "where len(rg.g) > 0 and len(ag.g) > 0"),
+           "where len(rg.g) > 0 and len(ag.g) > 0 "
+           # sizes alone bound Jaccard by min/max: a loose, exact pre-check
+           "and len(ag.g) >= 0.59e0 * len(rg.g) and 0.59e0 * len(ag.g) <= len(rg.g)"),
     ("fb", "select raw_id, address_id f_id, sim f_sim from fs where cast(sim as double) > 0.6 "
            "qualify row_number() over (partition by raw_id order by sim desc, address_id) = 1"),
     ("chosen", "select h.raw_id, case h.src when 'e' then e_id when 's1' then s1_id when 's2' then s2_id "
