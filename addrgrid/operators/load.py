@@ -139,17 +139,25 @@ def parent_by_overlap(children: DataFrame, parents: DataFrame, child_key: str, p
     j = (pairs.join(ce, child_key).join(pe, [parent_key, "strip"])
          .where((F.greatest("c_x0", "p_x0") < F.least("c_x1", "p_x1"))
                 & (F.floor(F.greatest("c_x0", "p_x0") / F.lit(strip)) == F.col("strip"))))
-    # orientation of either ring only flips the sign of the sum
-    ov = j.groupBy(child_key, parent_key).agg(F.abs(F.sum(_trapezoid_overlap())).alias("overlap"))
+    ov = j.groupBy(child_key, parent_key).agg(F.sum(_trapezoid_overlap()).alias("overlap"))
     ov = ov.where(F.col("overlap") > 1e-9)
     best = ov.groupBy(child_key).agg(F.min(F.struct((-F.col("overlap")).alias("neg"), F.col(parent_key))).alias("b"))
     return best.select(child_key, F.col("b." + parent_key).alias(parent_key), (-F.col("b.neg")).alias("overlap_area"))
 
 
 def _edge_rows(polys: DataFrame, key: str, p: str, strip: float) -> DataFrame:
-    """Edges as rows oriented left->right with the sign of the original
-    direction; vertical edges contribute nothing to the trapezoid sum."""
-    e = polys.select(key, F.explode(geo.edges("geom")).alias("e"))
+    """Edges as rows oriented left->right, each with the sign that makes the
+    polygon's indicator a signed sum of "below this edge" terms: +1 for the
+    upper boundary of filled area, -1 for the lower one. The sign comes from
+    the ring's own orientation (shoelace) and role (shell +, hole -), so any
+    ring orientation and holes are handled. Vertical edges contribute
+    nothing to the trapezoid sum."""
+    rings = (polys.select(key, F.explode("geom").alias("part"))
+             .select(key, F.posexplode("part").alias("ri", "ring")))
+    ring_edges = F.expr(geo._edges_sql("ring"))
+    signed = F.aggregate(ring_edges, F.lit(0.0), lambda acc, e: acc + (e.ax * e.by - e.bx * e.ay))
+    rs = F.when(F.col("ri") == 0, F.lit(1.0)).otherwise(F.lit(-1.0)) * F.signum(signed)
+    e = rings.select(key, rs.alias("_rs"), F.explode(ring_edges).alias("e"))
     ax, ay, bx, by = (F.col("e.ax"), F.col("e.ay"), F.col("e.bx"), F.col("e.by"))
     e = e.where(ax != bx)
     fwd = ax < bx
@@ -157,7 +165,7 @@ def _edge_rows(polys: DataFrame, key: str, p: str, strip: float) -> DataFrame:
     return e.select(
         key,
         F.explode(F.sequence(F.floor(x0 / F.lit(strip)), F.floor(x1 / F.lit(strip)))).alias("strip"),
-        F.when(fwd, F.lit(1.0)).otherwise(F.lit(-1.0)).alias(f"{p}_s"),
+        (F.col("_rs") * F.when(fwd, F.lit(-1.0)).otherwise(F.lit(1.0))).alias(f"{p}_s"),
         F.least(ax, bx).alias(f"{p}_x0"), F.greatest(ax, bx).alias(f"{p}_x1"),
         F.when(fwd, ay).otherwise(by).alias(f"{p}_y0"), F.when(fwd, by).otherwise(ay).alias(f"{p}_y1"))
 

@@ -135,3 +135,20 @@ def test_similarity_join_exact_against_brute_force(spark):
             assert rid not in got
         else:
             assert got[rid][0] == best[0] and abs(got[rid][1] - best[1]) < 1e-6
+
+
+def test_overlap_area_with_hole_and_orientation(spark):
+    from addrgrid.functions import geo as g
+    # child: 10x10 square with a 4x4 hole (clockwise shell); parents: left half, right half
+    child = "POLYGON((0 0,0 10,10 10,10 0,0 0),(1 1,5 1,5 5,1 5,1 1))"
+    left = "POLYGON((0 0,5 0,5 10,0 10,0 0))"
+    right = "POLYGON((5 0,20 0,20 10,5 10,5 0))"
+    c = spark.createDataFrame([("c", child)], "k string, w string").select("k", g.geom_from_wkt("w").alias("geom"))
+    p = spark.createDataFrame([("L", left), ("R", right)], "pk string, w string").select(
+        "pk", g.geom_from_wkt("w").alias("geom"))
+    r = load.parent_by_overlap(c.withColumn("geom", F.col("geom")), p, "k", "pk", cell=5.0).first()
+    # left half keeps 50 - 16 = 34, right half 50 -> right wins with 50
+    assert r.pk == "R" and abs(r.overlap_area - 50.0) < 1e-6
+    p2 = spark.createDataFrame([("L", left)], "pk string, w string").select("pk", g.geom_from_wkt("w").alias("geom"))
+    r2 = load.parent_by_overlap(c, p2, "k", "pk", cell=5.0).first()
+    assert abs(r2.overlap_area - 34.0) < 1e-6
