@@ -83,6 +83,19 @@ def autocomplete(queries: DataFrame, addresses: DataFrame, limit: int = DEFAULT_
                          "suburb_locality", "town_city")
     m = cand.join(a, "address_id").where(text.contains_ci("full_address_ascii", "q"))
     m = m.withColumn("_sw", F.when(text.startswith_ci("full_address_ascii", "q"), 0).otherwise(1))
+    # queries of wildcards only match every address with at least as many
+    # characters as '_' in the query (and then also "start with" it): answer
+    # them from a per-length top-k table (bounded: lengths x limit rows),
+    # each query exploded over the lengths it accepts -- an equi-join.
+    wild = dq.where(F.col("q").rlike(r"^[%_]+$")).select(
+        "q", (F.length("q") - F.length(F.replace(F.col("q"), F.lit("_"), F.lit("")))).alias("u"))
+    alen = a.where(F.col("full_address_ascii").isNotNull()).withColumn("L", F.length("full_address_ascii"))
+    max_len = alen.agg(F.max("L")).first()[0] or 0  # one bounded statistic
+    wl = Window.partitionBy("L").orderBy("full_address_ascii", "address_id")
+    per_len = alen.withColumn("_r", F.row_number().over(wl)).where(F.col("_r") <= limit).drop("_r")
+    wm = (wild.select("q", F.explode(F.sequence(F.col("u"), F.greatest(F.col("u"), F.lit(max_len)))).alias("L"))
+          .join(per_len, "L").drop("L").withColumn("_sw", F.lit(0)))
+    m = m.unionByName(wm.select(*m.columns))
     w = Window.partitionBy("q").orderBy("_sw", "full_address_ascii", "address_id")
     top = m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     top = q.join(top, "q")

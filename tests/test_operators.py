@@ -152,3 +152,19 @@ def test_overlap_area_with_hole_and_orientation(spark):
     p2 = spark.createDataFrame([("L", left)], "pk string, w string").select("pk", g.geom_from_wkt("w").alias("geom"))
     r2 = load.parent_by_overlap(c, p2, "k", "pk", cell=5.0).first()
     assert abs(r2.overlap_area - 34.0) < 1e-6
+
+
+def test_autocomplete_wildcards_only_and_clamp(spark):
+    from addrgrid.operators import search
+    a = spark.createDataFrame([(1, "Ab", "x", "x", "x", "x"), (2, "Abcd", "x", "x", "x", "x"),
+                               (3, "Abcde", "x", "x", "x", "x"), (4, "Zz Top", "x", "x", "x", "x")],
+                              "address_id long, full_address_ascii string, full_address string, "
+                              "full_road_name string, suburb_locality string, town_city string")
+    q = spark.createDataFrame([(1, "%%%"), (2, "____"), (3, "bcd"), (4, "ab")], "query_id long, query string")
+    out = {}
+    for r in search.autocomplete(q, a, limit=99).collect():   # 99 is clamped to 10
+        out.setdefault(r.query_id, []).append((r.rank, r.address_id))
+    assert sorted(out[1]) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+    assert sorted(out[2]) == [(1, 2), (2, 3), (3, 4)]          # length >= 4
+    assert sorted(out[3]) == [(1, 2), (2, 3)]
+    assert 4 not in out                                         # shorter than 3 characters
