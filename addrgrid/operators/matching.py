@@ -105,6 +105,9 @@ def prefix_len(n, t):
     return n - F.ceil(tc * n).cast("int") + 1
 
 
+SALTS = 32
+
+
 def salted_join(small: DataFrame, big: DataFrame, key, big_id: str, salts: int = 32) -> DataFrame:
     """Equi-join on a hot key spread over ``salts`` tasks: the small side is
     replicated per salt, the big side gets salt = hash(row id) mod salts."""
@@ -169,7 +172,7 @@ def similarity_join(requests: DataFrame, addresses: DataFrame, req_key: str = "r
         rp = (todo.where((F.col("df") > 0) & (F.col("_pos") <= prefix_len(F.col("_n"), t)))
               .select("_rid", "gram", F.col("_pos").alias("i"), F.col("_n").alias("nr")))
         nr, na = F.col("nr"), F.col("na")
-        cand = (salted_join(rp, ap, "gram", "address_id").where((na >= F.lit(t) * nr) & (na * F.lit(t) <= nr))
+        cand = (salted_join(rp, ap, "gram", "address_id", salts=SALTS).where((na >= F.lit(t) * nr) & (na * F.lit(t) <= nr))
                 .groupBy("_rid", "address_id", "nr", "na").agg(F.min("i").alias("i"), F.min("j").alias("j")))
         need = F.ceil(F.lit(t / (1.0 + t)) * (nr + na))
         cand = cand.where(F.least(nr - F.col("i"), na - F.col("j")) + 1 >= need).select("_rid", "address_id")
