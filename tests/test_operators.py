@@ -168,3 +168,23 @@ def test_autocomplete_wildcards_only_and_clamp(spark):
     assert sorted(out[2]) == [(1, 2), (2, 3), (3, 4)]          # length >= 4
     assert sorted(out[3]) == [(1, 2), (2, 3)]
     assert 4 not in out                                         # shorter than 3 characters
+
+
+def test_suburb_cascade_with_flip_and_projection(spark):
+    from addrgrid.functions import geo as g
+    # district: NZTM square around central Wellington
+    d = spark.createDataFrame([("D1", "POLYGON((1700000 5400000,1800000 5400000,1800000 5470000,"
+                                      "1700000 5470000,1700000 5400000))")], "district_id string, w string")
+    d = d.select("district_id", g.geom_from_wkt("w").alias("geom"))
+    # suburbs in latitude/longitude order (flipped feed), degrees
+    inside = "POLYGON((-41.29 174.77,-41.29 174.78,-41.28 174.78,-41.28 174.77,-41.29 174.77))"
+    far = "POLYGON((-36.86 174.76,-36.86 174.77,-36.85 174.77,-36.85 174.76,-36.86 174.76))"
+    st = spark.createDataFrame([("1", "Te Aro", None, inside), ("2", "Far", "", far)],
+                               "id string, name string, major_name string, w string")
+    st = st.select("id", "name", "major_name", g.geom_from_wkt("w").alias("geom"))
+    out = {r.suburb_id: r for r in load.load_suburbs_cascade(st, d, flip=True, project=True).collect()}
+    assert (out["1"].district_id, out["1"].method) == ("D1", "contains")
+    assert (out["2"].district_id, out["2"].method) == ("D1", "nearest") and out["2"].distance > 400000
+    assert out["1"].major_name == ""                       # null major name defaults to ''
+    x = out["1"].geom[0][0][0].x
+    assert 1.74e6 < x < 1.76e6                              # projected to NZTM metres
