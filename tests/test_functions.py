@@ -116,3 +116,28 @@ def test_largest_part_and_flip(spark):
     f = g.select(geo.flip_coordinates("geom").alias("f")).first().f
     assert f[1][0][1].x == 0.0 and f[1][0][1].y == 4.0
     assert math.isclose(r.a, 0.5 + 8.0)
+
+
+def test_centroid_query_variants_and_abbreviations(spark):
+    from addrgrid.operators import centroids
+    ab = spark.createDataFrame([("St", "Saint", "prefix"), ("Mt", "Mount", "prefix"), ("Rd", "Road", "other")],
+                               "short_form string, long_form string, category string")
+    s = spark.createDataFrame([
+        ("1", "City Centre", "Dunedin City", "Otago"),
+        ("2", "Mt Eden", "Manukau City", "Auckland"),
+        ("3", "Oneroa", "Waiheke Island", "Auckland"),
+        ("4", "Stanmore Rd", "Christchurch City", "Canterbury"),
+    ], "suburb_id string, name string, district_name string, region_name string")
+    s = s.withColumn("expanded", text.expand_abbreviations("name", ab))
+    v = {}
+    for r in centroids.query_variants(s).collect():
+        v.setdefault(r.suburb_id, []).append((r.rank, r.query_text))
+    assert v["1"] == [(1, "Dunedin City, New Zealand"), (3, "City Centre, Dunedin, New Zealand"),
+                      (6, "City Centre, Otago, New Zealand")]
+    assert v["2"] == [(1, "Mt Eden, Manukau City, New Zealand"), (2, "Mount Eden, Manukau City, New Zealand"),
+                      (3, "Mount Eden, Manukau, New Zealand"), (5, "Mount Eden, Auckland, New Zealand"),
+                      (6, "Mount Eden, Auckland, New Zealand")]
+    assert v["3"][1] == (4, "Oneroa, Waiheke, New Zealand")
+    # word-bounded: "Stanmore" keeps its "St"; "Rd" is not a prefix/location entry
+    assert v["4"][0] == (1, "Stanmore Rd, Christchurch City, New Zealand")
+    assert all(q != "Saintanmore" for _, q in v["4"])
