@@ -188,3 +188,19 @@ def test_suburb_cascade_with_flip_and_projection(spark):
     assert out["1"].major_name == ""                       # null major name defaults to ''
     x = out["1"].geom[0][0][0].x
     assert 1.74e6 < x < 1.76e6                              # projected to NZTM metres
+
+
+def test_browse_order_and_simple_classification(spark):
+    subs = spark.createDataFrame([("1", "D", "Zeta", None), ("2", "D", "Ponsonby", ""), ("3", "D", "Alpha", "X")],
+                                 "suburb_id string, district_id string, name string, major_name string")
+    full = hierarchy.classify_suburbs(subs)
+    streets = spark.createDataFrame([("1", "A St"), ("1", "B St"), ("3", "C St")], "suburb_id string, street_name string")
+    view = hierarchy.suburbs_view(full, streets)
+    rows = hierarchy.browse_suburbs(view, spark.createDataFrame([("D",)], "district_id string")).collect()
+    # major first (sort priority 0), then by name; name_ascii null, major_name echoes the name
+    assert [r.name for r in rows] == ["Ponsonby", "Alpha", "Zeta"]
+    assert rows[0].population_category == "major" and rows[1].population_category == "medium"
+    assert rows[2].street_count == 2 and rows[0].name_ascii is None and rows[1].major_name == "Alpha"
+    simple = {r.suburb_id: (r.is_major_suburb, r.population_category)
+              for r in hierarchy.classify_suburbs(subs, simple=True).collect()}
+    assert simple == {"1": (False, "minor"), "2": (True, "medium"), "3": (True, "medium")}
