@@ -26,8 +26,11 @@ from ..session import cut_lineage
 
 
 def _windows(s, n: int):
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(0))),
-                       lambda i: F.substring(s, i, n))
+    """All length-n substrings of s (empty when s is shorter than n; note that
+    ``sequence(1, 0)`` would count down)."""
+    return F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - n + 1),
+                                                lambda i: F.substring(s, i, n))).otherwise(
+        F.array().cast("array<string>"))
 
 
 def road_grams(addresses: DataFrame) -> DataFrame:
@@ -55,7 +58,9 @@ def match_patterns(patterns: DataFrame, addresses: DataFrame) -> DataFrame:
       the road-gram index, then the exact ILIKE test;
     * empty street (number only, matches any named road): one per-number
       aggregate, no pairs at all;
-    * 1-2 literal characters or wildcards only: number join + ILIKE (rare).
+    * 1-2 literal characters: (number, 2- or 1-gram) against an index of
+      only the house numbers those patterns use;
+    * wildcards only: number join + ILIKE (rare).
     """
     p = patterns.select("number", "street", "city").distinct()
     a = addresses.select("address_id", "address_number", "full_road_name", "full_road_name_ascii",
@@ -72,9 +77,29 @@ def match_patterns(patterns: DataFrame, addresses: DataFrame) -> DataFrame:
     cand = keyed.join(idx.withColumnRenamed("gram", "_ig"),
                       (F.col("number") == F.col("address_number")) & (F.col("gram") == F.col("_ig")))
     cand = cand.select("number", "street", "city", "address_id").join(a, "address_id")
+    # 1-2 literal characters: key on (number, 2-gram or 1-gram) against an
+    # index built only for the house numbers these patterns use
     short = p.where((F.size("_g") == 0) & (F.col("street") != "")).drop("_g")
-    cand_short = short.join(a, F.col("number") == F.col("address_number"))
-    j = cand.unionByName(cand_short.select(*cand.columns))
+    lit2 = F.filter(_windows(low, 2), lambda g: ~g.rlike(r"[%_\\]"))
+    lit1 = F.filter(_windows(low, 1), lambda g: ~g.rlike(r"[%_\\]"))
+    short = short.withColumn("_n", F.when(F.size(lit2) > 0, 2).when(F.size(lit1) > 0, 1)).withColumn(
+        "_sg", F.coalesce(F.try_element_at(lit2, F.lit(1)), F.try_element_at(lit1, F.lit(1))))
+    nums = short.where(F.col("_sg").isNotNull()).select(F.col("number").alias("address_number")).distinct()
+    sub = a.join(nums, "address_number", "left_semi")
+    small_idx = None
+    for n in (1, 2):
+        g = F.array_distinct(F.concat(F.coalesce(_windows(F.lower("full_road_name"), n), F.array()),
+                                      F.coalesce(_windows(F.lower("full_road_name_ascii"), n), F.array())))
+        part = sub.select("address_number", "address_id", F.lit(n).alias("_in"), F.explode(g).alias("_ig"))
+        small_idx = part if small_idx is None else small_idx.unionByName(part)
+    keyed_short = short.where(F.col("_sg").isNotNull())
+    cand_keyed = (keyed_short.join(small_idx, (F.col("number") == F.col("address_number"))
+                                   & (F.col("_n") == F.col("_in")) & (F.col("_sg") == F.col("_ig")))
+                  .select("number", "street", "city", "address_id").join(a, "address_id"))
+    # no literal character at all (wildcards only): house number alone
+    bare = short.where(F.col("_sg").isNull()).drop("_n", "_sg")
+    cand_bare = bare.join(a, F.col("number") == F.col("address_number"))
+    j = cand.unionByName(cand_keyed.select(*cand.columns)).unionByName(cand_bare.select(*cand.columns))
     j = j.where(text.contains_ci("full_road_name_ascii", "street") | text.contains_ci("full_road_name", "street"))
     has_city = F.col("city").isNotNull() & (F.col("city") != "")
     prio = F.when(~has_city, F.lit(0)).when(

@@ -31,9 +31,11 @@ def clamp_limit(limit: int) -> int:
 
 
 def _windows(s, n: int):
-    """All length-n substrings of s (array)."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(0))),
-                       lambda i: F.substring(s, i, n))
+    """All length-n substrings of s (empty when s is shorter than n; note that
+    ``sequence(1, 0)`` would count down)."""
+    return F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - n + 1),
+                                                lambda i: F.substring(s, i, n))).otherwise(
+        F.array().cast("array<string>"))
 
 
 def address_grams(addresses: DataFrame, sizes=(1, 2, 3)) -> DataFrame:

@@ -204,3 +204,15 @@ def test_browse_order_and_simple_classification(spark):
     simple = {r.suburb_id: (r.is_major_suburb, r.population_category)
               for r in hierarchy.classify_suburbs(subs, simple=True).collect()}
     assert simple == {"1": (False, "minor"), "2": (True, "medium"), "3": (True, "medium")}
+
+
+def test_verify_short_street_patterns(spark):
+    a = _mini_tables(spark)
+    subs = fx.suburbs(spark, SF).limit(0)
+    dists = fx.districts(spark, SF).limit(0)
+    raw = spark.createDataFrame([(1, "14 hi"), (2, "5 y"), (3, "14 %%"), (4, "14 zq")], "raw_id long, raw_address string")
+    v = {r.raw_id: r for r in verify.verify(raw, a, subs, dists).collect()}
+    assert (v[1].strategy, v[1].address_id) == ("exact", 1)   # 'hi' in Hill Street / Hill Road
+    assert (v[2].strategy, v[2].address_id) == ("exact", 3)   # 'y' in Chaytors
+    assert (v[3].strategy, v[3].address_id) == ("exact", 1)   # wildcards only: any road
+    assert v[4].exists_in_source is False
