@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,6 +155,14 @@ class Model:
         return float(min(1.0, max(0.0, self.values[step]))), near, cosines
 
 
+def _least_shingle(text: Column) -> Column:
+    """Smallest hash of the three-word shingles of a text."""
+    words = F.array(F.split(F.lower(text), r"[^\p{L}]+"))  # bound once by the outer lambda, not split per place
+    return F.get(F.transform(words, lambda w: F.array_min(F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))),
+        lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))), F.lit(0))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         examples: int = 4000, terms: int = 1500, min_lift: float = 3.0, min_chi2: float = 28.0,
         neighbours: int = 25) -> Model:
@@ -174,8 +182,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     chosen = known.where(place < F.when(F.col("y") == 1, F.lit(int(shares[1] * (1 << 30))))
                          .otherwise(F.lit(int(shares[0] * (1 << 30)))))
-    # about ``examples`` rows of an id and a label
-    drawn = cut_lineage(own.join(F.broadcast(chosen), "doc_id"))
+    # about ``examples`` rows of an id and a label; of near copies (same least
+    # shingle) one row is an example, or the words of one text would look typical
+    first = Window.partitionBy("y", "sketch").orderBy("doc_id", F.xxhash64("text"))
+    drawn = cut_lineage(own.join(F.broadcast(chosen), "doc_id").withColumn("sketch", _least_shingle(F.col("text")))
+                        .withColumn("place", F.row_number().over(first)).where("place = 1").drop("sketch", "place"))
     drawn_y = {r.y: r.n for r in drawn.groupBy("y").agg(F.count("*").alias("n")).collect()}
     m0, m1 = drawn_y.get(0, 0), drawn_y.get(1, 0)
 
