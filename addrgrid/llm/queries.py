@@ -59,7 +59,7 @@ def op8_secret_scan(spark, d):
 
 
 def op9_exact_dedup(spark, d):
-    found = content_sort.exact_dedup(table(spark, d, "documents").select("doc_id", "text"))
+    found = content_sort.exact_dedup(table(spark, d, "documents"), carry=["doc_id"])
     return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", "text_sha256")
 
 
