@@ -52,10 +52,12 @@ class PieceTable:
     """What the tokenizer gives for pieces of text, each distinct piece encoded once.
 
     ``value`` maps the ids of a piece to what is kept of it; ``add`` joins the
-    kept values of a text. The table is emptied at ``max_pieces`` entries, and
-    pieces over ``max_chars`` never enter it, so its memory is bounded."""
+    kept values of a text. Entries live in two generations of at most
+    ``max_pieces``: when the young one is full it becomes the old one, and what
+    is still in use comes back from there, so memory is bounded and frequent
+    pieces are never encoded again. Pieces over ``max_chars`` never enter."""
 
-    def __init__(self, tokenizer_file: str, value: Callable, add: Callable, max_pieces: int = 300_000,
+    def __init__(self, tokenizer_file: str, value: Callable, add: Callable, max_pieces: int = 400_000,
                  max_chars: int = 64):
         from tokenizers import Tokenizer
 
@@ -65,53 +67,75 @@ class PieceTable:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cuts = cuts_at_spaces(spec)
-        self.special = {c for t in spec.get("added_tokens", ()) for c in t["content"]}
+        special = {c for t in spec.get("added_tokens", ()) for c in t["content"]}
+        self.trailing = "".join(c for c in TRAILING if c not in special)
         self.value, self.add = value, add
         self.max_pieces, self.max_chars = max_pieces, max_chars
         self.known: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+        self.tails: dict[str, object] = {}
 
     def _encode(self, texts: list[str]) -> list:
         return [self.value(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: set[str]) -> None:
-        """Encode new pieces; a word is separated from closing marks, since a
-        match of letters always ends where a mark begins."""
-        split = {}
+        """Take new pieces over from the old generation or encode them; a word
+        is separated from closing marks, since a match of letters always ends
+        where a mark begins."""
+        known, old, trailing = self.known, self.old, self.trailing
+        whole, split = set(), []
         for p in pieces:
-            word = p.rstrip(TRAILING)
-            if word != p and word[-1:].isalpha() and word[-1:] < "\u0250" and not self.special.intersection(p[len(word):]):
-                split[p] = (word, p[len(word):])
-        whole = {*pieces.difference(split), *(w for w, _ in split.values())}
-        whole = list(filterfalse(self.known.__contains__, whole))
-        tails = list({t for _, t in split.values()})
-        self.known.update(zip(whole, self._encode([" " + p for p in whole])))
-        end = dict(zip(tails, self._encode(tails)))
-        for p, (word, tail) in split.items():
-            self.known[p] = self.add([self.known[word], end[tail]])
+            value = old.get(p)
+            if value is not None:
+                known[p] = value
+                continue
+            word = p.rstrip(trailing)
+            n = len(word)
+            if n == len(p) or not n or not word[-1].isalpha() or word[-1] >= "\u0250":
+                whole.add(p)
+                continue
+            split.append((p, word, p[n:]))
+            if word not in known:
+                value = old.get(word)
+                if value is None:
+                    whole.add(word)
+                else:
+                    known[word] = value
+        whole = list(whole)
+        known.update(zip(whole, self._encode([" " + p for p in whole])))
+        tails = list({t for _, _, t in split}.difference(self.tails))
+        if len(self.tails) + len(tails) > self.max_pieces:
+            self.tails.clear()
+            tails = list({t for _, _, t in split})
+        self.tails.update(zip(tails, self._encode(tails)))
+        for p, word, tail in split:
+            known[p] = self.add((known[word], self.tails[tail]))
 
     def batch(self, texts: list[str]) -> list:
         """The joined value of each text."""
         if not self.cuts:
             return self._encode(texts)
         if len(self.known) > self.max_pieces:
-            self.known.clear()
+            self.known, self.old = {}, self.known
         pieces = [cut_at_spaces(t) for t in texts]
-        new: set[str] = set()
-        for ws in pieces:
-            new.update(filterfalse(self.known.__contains__, ws[1:]))
-        self._learn({p for p in new if len(p) <= self.max_chars})
         heads = self._encode([ws[0] for ws in pieces])
         get = self.known.get
-        out = []
+        out, gaps, new = [], [], set()
         for head, ws in zip(heads, pieces):
             values = list(map(get, ws))
             values[0] = head
-            if None in values:  # long pieces
-                rare = [i for i, v in enumerate(values) if v is None]
-                for i, v in zip(rare, self._encode([" " + ws[i] for i in rare])):
-                    values[i] = v
-            out.append(self.add(values))
-        return out
+            missing = [i for i, v in enumerate(values) if v is None] if None in values else ()
+            new.update([ws[i] for i in missing])
+            out.append(values)
+            gaps.append(missing)
+        long = [p for p in new if len(p) > self.max_chars]
+        self._learn(new.difference(long))
+        rare = dict(zip(long, self._encode([" " + p for p in long])))
+        for values, missing, ws in zip(out, gaps, pieces):
+            for i in missing:
+                value = get(ws[i])
+                values[i] = rare[ws[i]] if value is None else value
+        return list(map(self.add, out))
 
 
 def count_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",

@@ -31,7 +31,7 @@ from pyspark.sql.types import StructType
 from .arrow_text import byte_slices, per_worker
 from .token_count import PieceTable
 
-BLOCK, LANES, SCALE = 1 << 18, 512, 20
+BLOCK, LANES, SCALE = 1 << 18, 1024, 20
 LOW = np.uint64(1 << 31)
 
 SEGMENT = """part int, seq int, part_offset long, n_tokens long, doc_ids array<{id}>, doc_tokens array<long>,
@@ -59,17 +59,20 @@ def scaled(counts: np.ndarray) -> np.ndarray:
 def encode_block(symbols: np.ndarray, freqs: np.ndarray, starts: np.ndarray, lanes: int = LANES):
     """(words, states) of the block's symbols, which index ``freqs``."""
     states = np.full(lanes, LOW, np.uint64)
-    given = []
+    freq, start = freqs[symbols], starts[symbols]
+    most, given = freq << np.uint64(63 - SCALE), []
+    scale, half, low_word = np.uint64(SCALE), np.uint64(32), np.uint64(0xFFFFFFFF)
     for at in range((len(symbols) - 1) // lanes * lanes, -1, -lanes):
-        s = symbols[at:at + lanes]
-        f, x = freqs[s], states[:len(s)]
-        full = x >= f << np.uint64(63 - SCALE)
-        if full.any():
-            given.append((x[full] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-            x = np.where(full, x >> np.uint64(32), x)
+        f = freq[at:at + lanes]
+        x = states[:len(f)]
+        full = np.flatnonzero(x >= most[at:at + lanes])
+        if len(full):
+            over = x[full]
+            given.append(over & low_word)
+            x[full] = over >> half
         quotient = x // f
-        states[:len(s)] = (quotient << np.uint64(SCALE)) + (x - quotient * f) + starts[s]
-    return (np.concatenate(given[::-1]) if given else np.zeros(0, np.uint32)), states
+        x += ((quotient << scale) - quotient * f) + start[at:at + lanes]
+    return (np.concatenate(given[::-1]).astype(np.uint32) if given else np.zeros(0, np.uint32)), states
 
 
 def decode_block(words: np.ndarray, states: np.ndarray, n: int, slots: np.ndarray, freqs: np.ndarray,
@@ -97,7 +100,11 @@ def decode_block(words: np.ndarray, states: np.ndarray, n: int, slots: np.ndarra
 
 def encode_segment(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> dict:
     """Table, blocks and words of a segment's ids."""
-    symbols, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)  # as long as the largest id: a vocabulary, not the data
+    symbols = np.flatnonzero(counts)
+    number = np.zeros(len(counts), np.int64)
+    number[symbols] = np.arange(len(symbols))
+    inverse, counts = number[ids], counts[symbols]
     freqs = scaled(counts.astype(np.int64)) if len(ids) else counts.astype(np.int64)
     starts = (np.cumsum(freqs) - freqs).astype(np.uint64)
     blocks, words, at_word = [], [], 0
