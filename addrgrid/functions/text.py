@@ -48,7 +48,7 @@ def to_ascii(c) -> Column:
 
 
 def _int_or_null(t: Column) -> Column:
-    d = F.when(t.rlike(r"^[+-]?[0-9]{1,12}$"), t.cast("long"))
+    d = F.when(t.rlike(r"^[+-]?0*[0-9]{1,10}$"), t.cast("long"))
     return F.when((d >= -2147483648) & (d <= 2147483647), d.cast("int"))
 
 
@@ -113,8 +113,9 @@ def with_smart_parse(df: DataFrame, toks: str, prefix: str = "sm_") -> DataFrame
 
 def like_safe(p) -> Column:
     """User '%' and '_' stay wildcards; a backslash before an ordinary
-    character is dropped (PostgreSQL reads it as that character, Spark raises)."""
-    return F.regexp_replace(_c(p), r"\\([^%_\\])", "$1")
+    character is dropped (PostgreSQL reads it as that character, Spark raises).
+    Escapes are consumed from the left, so an escaped backslash stays a pair."""
+    return F.regexp_replace(_c(p), r"(?s)(\\[\\%_])|\\(.)", "$1$2")
 
 
 def contains_ci(text, pattern) -> Column:

@@ -28,20 +28,24 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def _extent(points: DataFrame, requests: DataFrame, px, py, qx, qy):
+#: coordinates beyond this are no place on the grid (and never finite by accident)
+FARTHEST = 1e15
+
+
+def _on_grid(x, y):
+    """Not null, not NaN, not infinite: NaN sorts above every number in Spark."""
+    return F.col(x).between(-FARTHEST, FARTHEST) & F.col(y).between(-FARTHEST, FARTHEST)
+
+
+def _extent(points: DataFrame, px, py):
+    """Origin and side of the square that holds all points. Requests have no
+    say: far-off ones must not stretch the cells, and distances are computed
+    from coordinates, never from a request's own cell."""
     a = points.agg(F.min(px).alias("x0"), F.min(py).alias("y0"), F.max(px).alias("x1"),
                    F.max(py).alias("y1")).first()
-    b = requests.agg(F.min(qx).alias("x0"), F.min(qy).alias("y0"), F.max(qx).alias("x1"),
-                     F.max(qy).alias("y1")).first()
-    xs0 = [v for v in (a.x0, b.x0) if v is not None]
-    ys0 = [v for v in (a.y0, b.y0) if v is not None]
-    xs1 = [v for v in (a.x1, b.x1) if v is not None]
-    ys1 = [v for v in (a.y1, b.y1) if v is not None]
-    if not xs0:
+    if a.x0 is None:
         return 0.0, 0.0, 1.0
-    ox, oy = min(xs0), min(ys0)
-    ext = max(max(xs1) - ox, max(ys1) - oy)
-    return ox, oy, max(ext, 1e-6) * 1.000001
+    return a.x0, a.y0, max(a.x1 - a.x0, a.y1 - a.y0, 1e-6) * 1.000001
 
 
 def nearest_points(requests: DataFrame, points: DataFrame, req_key: str, pt_key: str,
@@ -49,18 +53,18 @@ def nearest_points(requests: DataFrame, points: DataFrame, req_key: str, pt_key:
                    levels: int = 4, fanout: int = 8, dedupe_coordinates: bool = True) -> DataFrame:
     """For each request, the nearest point: (req_key, pt_key, distance).
 
-    Requests without coordinates or with an empty point table get no row
-    (left-join the result to keep them).
+    Requests without finite coordinates or with an empty point table get no
+    row (left-join the result to keep them); they do not touch the others.
     """
-    P = points.where(F.col(px).isNotNull() & F.col(py).isNotNull()).select(
+    P = points.where(_on_grid(px, py)).select(
         F.col(pt_key).alias("_pid"), F.col(px).cast("double").alias("_px"), F.col(py).cast("double").alias("_py"))
     if dedupe_coordinates:
         # identical coordinates: only the smallest key can win
         P = P.groupBy("_px", "_py").agg(F.min("_pid").alias("_pid"))
     P = cut_lineage(P)
-    R = cut_lineage(requests.where(F.col(qx).isNotNull() & F.col(qy).isNotNull()).select(
-        F.col(req_key).alias("_rid"), F.col(qx).cast("double").alias("_qx"), F.col(qy).cast("double").alias("_qy")))
-    ox, oy, top = _extent(P, R, "_px", "_py", "_qx", "_qy")
+    R = requests.where(_on_grid(qx, qy)).select(
+        F.col(req_key).alias("_rid"), F.col(qx).cast("double").alias("_qx"), F.col(qy).cast("double").alias("_qy"))
+    ox, oy, top = _extent(P, "_px", "_py")
     size = {k: top / float(fanout) ** (levels - k) for k in range(levels + 1)}
     f = F.lit(fanout)
 

@@ -102,7 +102,7 @@ def request_similarity(spark, d):
     """H14 over every request and the address it was derived from."""
     r = fx.raw_requests(spark, d)
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("raw_id"),
-                                           ((F.col("c_custkey") * 13) % 1500).alias("address_id"))
+                                           ((F.col("c_custkey") * 13) % fx.address_count(spark, d)).alias("address_id"))
     a = _addresses(spark, d).select("address_id", "full_address_ascii")
     j = r.join(c, "raw_id").join(a, "address_id")
     s = trigram.similarity(text.normalize("raw_address"), "full_address_ascii")
@@ -120,11 +120,11 @@ def load_addresses(spark, d):
 
 
 def upsert_addresses(spark, d):
-    """C11: a second batch (addresses whose id is a multiple of 3, renamed
-    road) upserted onto the first load."""
+    """C11: a second batch (ids that are odd or a multiple of 3, renamed road)
+    upserted onto the first load (even ids): updates, inserts and untouched rows."""
     feed = fx.address_feed(spark, d)
     base = load.load_addresses(feed.where(F.col("address_id") % 2 == 0))
-    upd = feed.where(F.col("address_id") % 3 == 0).withColumn(
+    upd = feed.where((F.col("address_id") % 3 == 0) | (F.col("address_id") % 2 == 1)).withColumn(
         "full_road_name", F.concat(F.col("full_road_name"), F.lit(" Extension")))
     out = load.load_addresses(upd, existing=base)
     return out.select("address_id", "full_road_name", "full_road_name_ascii")

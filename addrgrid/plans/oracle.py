@@ -81,7 +81,7 @@ select c_custkey raw_id, case c_custkey%8
   when 5 then '   '
   when 6 then cast(address_number as varchar)
   else concat('zzqx ',cast(90000+c_custkey as varchar)) end raw_address
-from customer join fx_address on address_id=(c_custkey*13)%1500"""
+from customer join fx_address on address_id=(c_custkey*13)%(select count(*) from orders)"""
 FX["fx_probe"] = """
 select c_custkey point_id,
        166.5e0+12.0e0*(((c_custkey*4099+77)%100003)/100003.0e0) lon,
@@ -95,7 +95,7 @@ select c_custkey query_id, case c_custkey%6
   when 3 then concat(' ',lower(suburb_locality))
   when 4 then 'ab'
   else concat('zq',cast(c_custkey%10 as varchar)) end query
-from customer join fx_address on address_id=(c_custkey*7)%1500"""
+from customer join fx_address on address_id=(c_custkey*7)%(select count(*) from orders)"""
 
 
 def _nztm_stage(src: str, lon: str, lat: str, keep: str) -> str:
@@ -221,7 +221,7 @@ ALIASES = ("aliases", """select row_number() over (order by src, o, district_id)
   select cast(n_nationkey as varchar), n_name, true, 1, 0 from nation
   where cast(n_nationkey as varchar) not like '1%')""")
 
-IS_INT = "(regexp_full_match({t}, '[+-]?[0-9]{{1,12}}') and try_cast({t} as bigint) between -2147483648 and 2147483647)"
+IS_INT = "(regexp_full_match({t}, '[+-]?0*[0-9]{{1,10}}') and try_cast({t} as bigint) between -2147483648 and 2147483647)"
 
 
 def _is_int(t: str) -> str:
@@ -378,7 +378,7 @@ select raw_id, address_id, round(cast(cast(case when len(a) = 0 or len(b) = 0 th
 from (select r.raw_id, x.address_id,
    {_trigrams("coalesce(trim(regexp_replace(translate(lower(r.raw_address), ',.', '  '), '\\s+', ' ', 'g')), '')")} a,
    {_trigrams("x.full_address_ascii")} b
-  from fx_raw r join addr x on x.address_id = (r.raw_id * 13) % 1500)""")
+  from fx_raw r join addr x on x.address_id = (r.raw_id * 13) % (select count(*) from orders))""")
 
 ORACLE["load_addresses"] = with_fx(["addr"], """
 select address_id, full_address, full_address_ascii, full_road_name, full_road_name_ascii, address_number_prefix,
@@ -387,12 +387,12 @@ select address_id, full_address, full_address_ascii, full_road_name, full_road_n
 
 ORACLE["upsert_addresses"] = with_fx(["fx_address"], f"""
 select address_id, full_road_name, translate(full_road_name, '{ASCII_FROM}', '{ASCII_TO}') full_road_name_ascii
-from fx_address where address_id % 3 = 0 and x_coord is not null and y_coord is not null
+from fx_address where (address_id % 3 = 0 or address_id % 2 = 1) and x_coord is not null and y_coord is not null
   and address_lifecycle = 'Current'
 union all
 select address_id, full_road_name, translate(full_road_name, '{ASCII_FROM}', '{ASCII_TO}') from fx_address
 where address_id % 2 = 0 and x_coord is not null and y_coord is not null and address_lifecycle = 'Current'
-  and address_id not in (select address_id from fx_address where address_id % 3 = 0 and x_coord is not null
+  and address_id not in (select address_id from fx_address where (address_id % 3 = 0 or address_id % 2 = 1) and x_coord is not null
                          and y_coord is not null and address_lifecycle = 'Current')""").replace(
     "select address_id, full_road_name, translate(full_road_name", "select address_id, full_road_name || ' Extension' "
     "full_road_name, translate(full_road_name || ' Extension'", 1)

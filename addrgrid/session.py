@@ -46,7 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    # only reached in local tests/bench: a fresh folder per session
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    # one machine (tests, bench): a fresh folder per session
     path = tempfile.mkdtemp(prefix="addrgrid-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return path

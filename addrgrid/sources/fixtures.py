@@ -140,11 +140,16 @@ def address_feed(spark: SparkSession, d: str) -> DataFrame:
         null.alias("address_number_suffix"), F.concat(F.lit("District "), (k % 25).cast("string")).alias("territorial_authority"))
 
 
+def address_count(spark: SparkSession, d: str) -> int:
+    """Rows of the address feed (one per order): requests are derived from all of it."""
+    return max(1, table(spark, d, "orders").count())
+
+
 def raw_requests(spark: SparkSession, d: str) -> DataFrame:
     """fx_raw: 8 kinds of free-text request (kind = raw_id % 8)."""
     c = table(spark, d, "customer").select("c_custkey")
     a = address_feed(spark, d).select("address_id", "address_number", "full_road_name", "town_city", "full_address")
-    j = c.join(a, F.col("address_id") == (F.col("c_custkey") * 13) % 1500)
+    j = c.join(a, F.col("address_id") == (F.col("c_custkey") * 13) % address_count(spark, d))
     num = F.col("address_number").cast("string")
     kind = F.col("c_custkey") % 8
     raw = (F.when(kind == 0, F.col("full_address"))
@@ -173,7 +178,7 @@ def autocomplete_queries(spark: SparkSession, d: str) -> DataFrame:
     """Search prefixes/substrings of six kinds (kind = query_id % 6)."""
     c = table(spark, d, "customer").select("c_custkey")
     a = address_feed(spark, d).select("address_id", "address_number", "full_road_name", "suburb_locality")
-    j = c.join(a, F.col("address_id") == (F.col("c_custkey") * 7) % 1500)
+    j = c.join(a, F.col("address_id") == (F.col("c_custkey") * 7) % address_count(spark, d))
     kind = F.col("c_custkey") % 6
     q = (F.when(kind == 0, F.split_part(F.col("full_road_name"), F.lit(" "), F.lit(1)))
          .when(kind == 1, F.lower(F.col("full_road_name")))

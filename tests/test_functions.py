@@ -141,3 +141,16 @@ def test_centroid_query_variants_and_abbreviations(spark):
     # word-bounded: "Stanmore" keeps its "St"; "Rd" is not a prefix/location entry
     assert v["4"][0] == (1, "Stanmore Rd, Christchurch City, New Zealand")
     assert all(q != "Saintanmore" for _, q in v["4"])
+
+
+def test_integers_with_many_leading_zeros(spark):
+    rows = [("0000000000000061", 61), ("-000000000000000007", -7), ("2147483648", None), ("00002147483647", 2147483647),
+            ("+5", 5), ("12a", None)]
+    d = spark.createDataFrame(rows, "t string, want int").select(text.parse_int("t").alias("got"), "want")
+    assert [r.got for r in d.collect()] == [w for _, w in rows]
+
+
+def test_escaped_backslashes_do_not_abort_the_batch(spark):
+    rows = [(r"a\b", r"a\\b"), (r"a\b", r"A\\B"), ("ab", r"a\b"), ("a%b", r"a\%b"), ("axb", r"a\%b"), ("plain", "lai")]
+    d = spark.createDataFrame(rows, "t string, p string").select(text.contains_ci("t", "p").alias("c"))
+    assert [r.c for r in d.collect()] == [True, True, True, True, False, True]

@@ -216,3 +216,34 @@ def test_verify_short_street_patterns(spark):
     assert (v[2].strategy, v[2].address_id) == ("exact", 3)   # 'y' in Chaytors
     assert (v[3].strategy, v[3].address_id) == ("exact", 1)   # wildcards only: any road
     assert v[4].exists_in_source is False
+
+
+def test_nearest_point_ignores_requests_off_the_grid(spark):
+    from addrgrid.operators.knn import nearest_points
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.0, 0.0), (3, float("nan"), 1.0)], "pid int, x double, y double")
+    asked = spark.createDataFrame([(1, 1.0, 0.0), (2, float("inf"), 0.0), (3, float("nan"), 0.0), (4, 1e9, 0.0),
+                                   (5, None, 0.0)], "rid int, qx double, qy double")
+    got = {r.rid: r.pid for r in nearest_points(asked, points, "rid", "pid").collect()}
+    assert got == {1: 1, 4: 2}
+
+
+def test_no_local_checkpoint_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest as pt
+
+    from addrgrid.session import ensure_checkpoint_dir
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    cluster = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda key, default=None: default))
+    with pt.raises(RuntimeError):
+        ensure_checkpoint_dir(cluster)
+
+
+def test_requests_and_upsert_follow_the_whole_feed(spark):
+    from addrgrid.plans.catalog import QUERIES
+    from addrgrid.sources import fixtures as fx
+    for d in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        orders = spark.read.parquet(f"{d}/orders.parquet").count()
+        assert fx.address_count(spark, d) == orders
+        customers = spark.read.parquet(f"{d}/customer.parquet").count()
+        assert fx.raw_requests(spark, d).count() == customers
