@@ -144,6 +144,8 @@ def node_links(table: pa.Table, max_distance: int) -> pa.Table:
     fp = table.column("fp").to_numpy().view(np.uint64)
     member = table.column("member").to_numpy(zero_copy_only=False)
     own = np.unique(fp[member])
+    if not len(own):  # only visitors: a run of ranks that holds nothing
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     own = own[np.argsort(gray_rank(own), kind="stable")]
     queries = np.concatenate([own, np.unique(fp[~member])])
     q, m = search(own, queries, max_distance)
