@@ -9,6 +9,10 @@ from ..functions import geo, text
 from ..sources import schemas
 from ..session import cut_lineage
 from . import spatial
+from .polydist import nearest_polygon, pair_distance
+
+#: Polygons closer than this (metres) touch: the rounding of national coordinates.
+TOUCH_M = 1e-6
 
 
 def varchar(c: str, n: int):
@@ -83,9 +87,11 @@ def load_addresses(stage: DataFrame, existing: DataFrame | None = None) -> DataF
 
 def load_regions(stage: DataFrame, id_col: str = "id", name_col: str = "name", flip: bool = True) -> DataFrame:
     """regions(region_id varchar(10), name varchar(200), geom): coordinates
-    flipped (northing/easting feed order), largest part kept."""
+    flipped (northing/easting feed order), largest part kept; rows without
+    a geometry are dropped."""
     g = geo.flip_coordinates("geom") if flip else F.col("geom")
-    s = stage.withColumn("geom", g).withColumn("geom", geo.largest_part("geom"))
+    s = (stage.where(F.col("geom").isNotNull()).withColumn("geom", g)
+         .withColumn("geom", geo.largest_part("geom")))
     return s.select(F.substring(F.col(id_col).cast("string"), 1, 10).alias("region_id"),
                     F.substring(F.col(name_col), 1, 200).alias("name"), "geom")
 
@@ -94,15 +100,16 @@ def load_districts_by_point(stage: DataFrame, regions: DataFrame, id_col: str =
                             name_col: str = "name", flip: bool = True,
                             default_region: str = "99") -> DataFrame:
     """J3 mode 'point' (C6): region = the region containing the district's
-    point-on-surface (boundary included), smallest id on ties, else '99'."""
+    point-on-surface (boundary included), smallest id on ties, else '99'.
+    The point is taken of the whole geometry, before the largest part is kept."""
     g = geo.flip_coordinates("geom") if flip else F.col("geom")
     # boundaries are a dimension: materialise once so the per-vertex
     # expressions below read a column instead of re-deriving the part
-    s = cut_lineage(stage.withColumn("geom", g).withColumn("geom", geo.largest_part("geom"))
+    s = cut_lineage(stage.withColumn("geom", g)
                     .select(F.substring(F.col(id_col).cast("string"), 1, 10).alias("district_id"),
-                            F.substring(F.col(name_col), 1, 200).alias("name"), "geom"))
-    pos = s.select("district_id", geo.point_on_surface("geom").alias("p")).select(
-        "district_id", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+                            F.substring(F.col(name_col), 1, 200).alias("name"),
+                            geo.point_on_surface("geom").alias("p"), geo.largest_part("geom").alias("geom")))
+    pos = s.select("district_id", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
     hit = spatial.first_containing(pos, regions.select("region_id", "geom"), "district_id", "region_id",
                                    x="px", y="py", predicate="intersects")
     return (s.join(hit, "district_id", "left")
@@ -112,7 +119,9 @@ def load_districts_by_point(stage: DataFrame, regions: DataFrame, id_col: str =
 
 def parent_by_overlap(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str,
                       cell: float | None = None, strips_per_cell: int = 16) -> DataFrame:
-    """Parent with the largest overlap area (ties: smallest parent key).
+    """Parent with the largest overlap area (ties: smallest parent key);
+    one row per child. A child that only touches parents gets the smallest of
+    those with area 0; one that meets none gets a null parent.
 
     Exact overlap of two polygons from their edges: the intersection area is
     the sum over edge pairs of the signed integral of min(f_c, f_p) over their
@@ -132,17 +141,27 @@ def parent_by_overlap(children: DataFrame, parents: DataFrame, child_key: str, p
     pairs = (a.join(b, ["cx", "cy"])
              .where((F.col("c_minx") <= F.col("p_maxx")) & (F.col("p_minx") <= F.col("c_maxx"))
                     & (F.col("c_miny") <= F.col("p_maxy")) & (F.col("p_miny") <= F.col("c_maxy")))
-             .select(child_key, parent_key).distinct())
+             .select(child_key, parent_key, F.greatest("c_miny", "p_miny").alias("y_origin")).distinct())
     strip = cell / strips_per_cell
     ce = _edge_rows(children, child_key, "c", strip)
     pe = _edge_rows(parents, parent_key, "p", strip)
     j = (pairs.join(ce, child_key).join(pe, [parent_key, "strip"])
          .where((F.greatest("c_x0", "p_x0") < F.least("c_x1", "p_x1"))
                 & (F.floor(F.greatest("c_x0", "p_x0") / F.lit(strip)) == F.col("strip"))))
-    ov = j.groupBy(child_key, parent_key).agg(F.sum(_trapezoid_overlap()).alias("overlap"))
-    ov = ov.where(F.col("overlap") > 1e-9)
+    term = _trapezoid_overlap()
+    ov = j.groupBy(child_key, parent_key).agg(F.sum(term).alias("overlap"), F.sum(F.abs(term)).alias("scale"))
+    # a sum within the rounding of its terms is a touch, not an overlap
+    ov = ov.where(F.col("overlap") > 1e-12 * F.col("scale"))
     best = ov.groupBy(child_key).agg(F.min(F.struct((-F.col("overlap")).alias("neg"), F.col(parent_key))).alias("b"))
-    return best.select(child_key, F.col("b." + parent_key).alias(parent_key), (-F.col("b.neg")).alias("overlap_area"))
+    best = cut_lineage(best.select(child_key, F.col("b." + parent_key).alias(parent_key),
+                                   (-F.col("b.neg")).alias("overlap_area")))
+    rest = pairs.select(child_key, parent_key).join(best.select(child_key), child_key, "left_anti")
+    touch = (pair_distance(rest, children.select(child_key, "geom"), parents.select(parent_key, "geom"),
+                           child_key, parent_key, cell)
+             .where(F.col("distance") <= TOUCH_M)
+             .groupBy(child_key).agg(F.min(parent_key).alias(parent_key))
+             .withColumn("overlap_area", F.lit(0.0)))
+    return children.select(child_key).join(best.unionByName(touch), child_key, "left")
 
 
 def _edge_rows(polys: DataFrame, key: str, p: str, strip: float) -> DataFrame:
@@ -177,8 +196,8 @@ def _trapezoid_overlap():
     x1 = F.least("c_x1", "p_x1")
 
     def at(pfx, x):
-        return F.col(f"{pfx}_y0") + (F.col(f"{pfx}_y1") - F.col(f"{pfx}_y0")) * (x - F.col(f"{pfx}_x0")) / (
-            F.col(f"{pfx}_x1") - F.col(f"{pfx}_x0"))
+        y0, y1 = F.col(f"{pfx}_y0") - F.col("y_origin"), F.col(f"{pfx}_y1") - F.col("y_origin")
+        return y0 + (y1 - y0) * (x - F.col(f"{pfx}_x0")) / (F.col(f"{pfx}_x1") - F.col(f"{pfx}_x0"))
 
     c0, c1, p0, p1 = at("c", x0), at("c", x1), at("p", x0), at("p", x1)
     d0, d1 = c0 - p0, c1 - p1
@@ -190,7 +209,8 @@ def _trapezoid_overlap():
     ym = c0 + (c1 - c0) * t
     crossed = (F.least(c0, p0) + ym) * xm / 2 + (ym + F.least(c1, p1)) * (w - xm) / 2
     integral = F.when(d0 * d1 < 0, crossed).otherwise(same * w / 2)
-    # shift: areas are relative to y = 0; orientation product gives the sign.
+    # areas are relative to the pair's own origin (the terms stay small beside
+    # national coordinates); the orientation product gives the sign.
     return F.col("c_s") * F.col("p_s") * integral
 
 
@@ -215,7 +235,6 @@ def load_suburbs_cascade(stage: DataFrame, districts: DataFrame, id_col: str = "
     smallest polygon distance (the within-10-km step and the absolute
     nearest step pick the same district). Output adds ``method`` and the
     distance used."""
-    from .polydist import nearest_polygon
     s = stage.select(F.substring(F.col(id_col).cast("string"), 1, 50).alias("suburb_id"),
                      F.substring(F.col(name_col), 1, 200).alias("name"),
                      F.coalesce(F.substring(F.col(major_col), 1, 200), F.lit("")).alias("major_name"), "geom")

@@ -73,12 +73,14 @@ def pair_distance(pairs: DataFrame, a: DataFrame, b: DataFrame, a_key: str, b_ke
     d = segment_distance((F.col("a_ax"), F.col("a_ay"), F.col("a_bx"), F.col("a_by")),
                          (F.col("b_ax"), F.col("b_ay"), F.col("b_bx"), F.col("b_by")))
     seg = j.groupBy(a_key, b_key).agg(F.min(d).alias("distance"))
-    # containment without a boundary crossing: a vertex of one inside the other
-    av = a.select(a_key, F.col("geom")[0][0][0].alias("v"), geo.edges("geom").alias("a_edges"))
-    bv = b.select(b_key, F.col("geom")[0][0][0].alias("w"), geo.edges("geom").alias("b_edges"))
+    # containment without a boundary crossing: a part of one inside the other,
+    # so its shell's first vertex is (one test vertex per part)
+    starts = F.transform("geom", lambda part: part[0][0])
+    av = a.select(a_key, starts.alias("a_starts"), geo.edges("geom").alias("a_edges"))
+    bv = b.select(b_key, starts.alias("b_starts"), geo.edges("geom").alias("b_edges"))
     c = pairs.join(av, a_key).join(bv, b_key)
-    inside = (F.expr(geo.point_intersects_sql("w.x", "w.y", "a_edges"))
-              | F.expr(geo.point_intersects_sql("v.x", "v.y", "b_edges")))
+    inside = (F.expr(f"exists(b_starts, w -> {geo.point_intersects_sql('w.x', 'w.y', 'a_edges')})")
+              | F.expr(f"exists(a_starts, v -> {geo.point_intersects_sql('v.x', 'v.y', 'b_edges')})"))
     cont = c.where(inside).select(a_key, b_key, F.lit(0.0).alias("distance"))
     return seg.unionByName(cont).groupBy(a_key, b_key).agg(F.min("distance").alias("distance"))
 

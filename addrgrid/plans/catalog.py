@@ -355,14 +355,13 @@ def suburb_district_cascade(spark, d):
 
 
 def polygon_distance(spark, d):
-    """Distance of every moved suburb to every district within 300 km."""
+    """Distance join of every suburb with the districts within 300 km."""
     from ..operators import polydist
-    st = _suburb_stage(spark, d).select(F.col("id").alias("suburb_id"), "geom")
-    moved = st.where(F.col("suburb_id").cast("long") % 7 == 0)
+    sub = cut_lineage(_suburb_stage(spark, d).select(F.col("id").alias("suburb_id"), "geom"))
     dis = fx.districts(spark, d).select("district_id", "geom")
     r = 300000.0
-    pairs = polydist.candidate_pairs(moved, dis, "suburb_id", "district_id", r)
-    dist = polydist.pair_distance(pairs, moved, dis, "suburb_id", "district_id", r)
+    pairs = polydist.candidate_pairs(sub, dis, "suburb_id", "district_id", r)
+    dist = polydist.pair_distance(pairs, sub, dis, "suburb_id", "district_id", r)
     return dist.where(F.col("distance") <= r).select("suburb_id", "district_id",
                                                      F.round("distance", 1).alias("distance"))
 

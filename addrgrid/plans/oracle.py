@@ -481,8 +481,8 @@ ORACLE["region_by_overlap"] = with_fx(["dis_bbox", "reg_bbox"], """
 select district_id, region_id, round(ov, 0) overlap_area from (
   select d.district_id, r.region_id,
     (least(d.maxx, r.maxx) - greatest(d.minx, r.minx)) * (least(d.maxy, r.maxy) - greatest(d.miny, r.miny)) ov
-  from dis_bbox d join reg_bbox r on least(d.maxx, r.maxx) > greatest(d.minx, r.minx)
-   and least(d.maxy, r.maxy) > greatest(d.miny, r.miny))
+  from dis_bbox d left join reg_bbox r on least(d.maxx, r.maxx) >= greatest(d.minx, r.minx)
+   and least(d.maxy, r.maxy) >= greatest(d.miny, r.miny))
 qualify row_number() over (partition by district_id order by ov desc, region_id) = 1""")
 
 # rectangle: the point on surface is the bbox centre; intersects = inside or on the boundary.
@@ -658,22 +658,23 @@ def _pseg(px, py, e):
 
 
 _PD = [
-    ("mv", "select distinct suburb_id from fx_suburb where cast(suburb_id as bigint) % 7 = 0"),
+    # districts are rectangles and no suburb crosses or holds one, so a suburb
+    # meets a district if one of its vertices lies in it
     ("pd", "select suburb_id, district_id, min(d) distance from ("
            "select v.suburb_id, e.district_id, " + _pseg("v.x", "v.y", "e") + " d from mv_vertex v "
-           "join mv using (suburb_id) join dis_edge e on true "
+           "join dis_edge e on true "
            "union all select e.suburb_id, v.district_id, " + _pseg("v.x", "v.y", "e") + " d from fx_district_vertex v "
-           "join mv_edge e on true join mv on mv.suburb_id = e.suburb_id) group by suburb_id, district_id"),
+           "join mv_edge e on true "
+           "union all select v.suburb_id, b.district_id, 0.0e0 from mv_vertex v join dis_bbox b "
+           "on v.x between b.minx and b.maxx and v.y between b.miny and b.maxy) group by suburb_id, district_id"),
 ]
 
-ORACLE["polygon_distance"] = with_fx(["mv_vertex", "mv_edge", "dis_edge", "fx_district_vertex"], """
+ORACLE["polygon_distance"] = with_fx(["mv_vertex", "mv_edge", "dis_edge", "dis_bbox", "fx_district_vertex"], """
 select suburb_id, district_id, round(distance, 1) distance from pd where distance <= 300000.0e0""", _PD)
 
-ORACLE["suburb_district_cascade"] = with_fx(["mv_vertex", "mv_edge", "dis_edge", "fx_district_vertex"], """
-select suburb_id, district_id, 'contains' method, 0.0e0 distance from fx_suburb
-where cast(suburb_id as bigint) % 7 <> 0
-union all
-select suburb_id, district_id, 'nearest', round(distance, 1) from pd
+ORACLE["suburb_district_cascade"] = with_fx(["mv_vertex", "mv_edge", "dis_edge", "dis_bbox", "fx_district_vertex"], """
+select suburb_id, district_id, case when distance = 0 then 'contains' else 'nearest' end as method,
+  round(distance, 1) distance from pd
 qualify row_number() over (partition by suburb_id order by distance, district_id) = 1""", _PD)
 
 ORACLE["addresses_per_suburb"] = with_fx(["fx_point"] + RESOLVE_DEPS, """

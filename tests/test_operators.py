@@ -247,3 +247,40 @@ def test_requests_and_upsert_follow_the_whole_feed(spark):
         assert fx.address_count(spark, d) == orders
         customers = spark.read.parquet(f"{d}/customer.parquet").count()
         assert fx.raw_requests(spark, d).count() == customers
+
+
+def _polygons(spark, key, rows):
+    from addrgrid.functions import geo as g
+    return spark.createDataFrame(rows, f"{key} string, w string").select(key, g.geom_from_wkt("w").alias("geom"))
+
+
+def test_overlap_keeps_touching_and_parentless_children(spark):
+    def square(x, y):
+        return f"POLYGON(({x} {y},{x + 10} {y},{x + 10} {y + 10},{x} {y + 10},{x} {y}))"
+
+    east, north = 1700000, 5400000
+    children = _polygons(spark, "k", [("edge", square(east + 10, north)), ("corner", square(east - 10, north - 10)),
+                                      ("far", square(east + 500, north)), ("part", square(east + 5, north + 5)),
+                                      ("none", None)])
+    parents = _polygons(spark, "pk", [("P", square(east, north)), ("Q", square(east - 20, north))])
+    got = {r.k: (r.pk, r.overlap_area) for r in load.parent_by_overlap(children, parents, "k", "pk", cell=25.0).collect()}
+    assert got == {"edge": ("P", 0.0), "corner": ("P", 0.0), "far": (None, None), "part": ("P", 25.0),
+                   "none": (None, None)}
+
+
+def test_polygon_distance_of_a_part_inside(spark):
+    from addrgrid.operators.polydist import pair_distance
+    a = _polygons(spark, "k", [("two", "MULTIPOLYGON(((0 0,1 0,1 1,0 1,0 0)),((22 2,23 2,23 3,22 3,22 2)))"),
+                               ("one", "POLYGON((0 0,1 0,1 1,0 1,0 0))")])
+    b = _polygons(spark, "pk", [("box", "POLYGON((6 0,40 0,40 10,6 10,6 0))")])
+    pairs = a.select("k").crossJoin(b.select("pk"))
+    for r in (20.0, 50.0):
+        got = {x.k: x.distance for x in pair_distance(pairs, a, b, "k", "pk", r).collect()}
+        assert got == {"two": 0.0, "one": 5.0}
+        back = pair_distance(pairs, b, a, "pk", "k", r).collect()
+        assert {x.k: x.distance for x in back} == got
+
+
+def test_regions_without_geometry_are_dropped(spark):
+    stage = _polygons(spark, "id", [("1", "POLYGON((0 0,1 0,1 1,0 1,0 0))"), ("2", None)]).withColumn("name", F.lit("n"))
+    assert [r.region_id for r in load.load_regions(stage).collect()] == ["1"]
