@@ -82,15 +82,17 @@ def verify(raw: DataFrame, addresses: DataFrame, suburbs: DataFrame, districts:
     fuzzy = F.when(F.col("f_id").isNotNull(), F.struct(
         F.col("f_id").alias("address_id"), F.lit("fuzzy").alias("strategy"), F.lit(None).cast("string").alias("msg"),
         F.col("f_sim").alias("sim")))
-    x = x.select(key, F.coalesce("hit", fuzzy).alias("hit"))
+    x = cut_lineage(x.select(key, F.coalesce("hit", fuzzy).alias("hit")))
 
     a = addresses.select("address_id", "full_address", "x_coord", "y_coord", "gx", "gy")
     chosen = x.select(key, F.col("hit.address_id").alias("address_id"), F.col("hit.strategy").alias("strategy"),
                       F.col("hit.msg").alias("msg"), F.col("hit.sim").alias("sim"))
-    chosen = cut_lineage(chosen.join(a, "address_id", "left"))
-    ids = chosen.where(F.col("address_id").isNotNull()).select("address_id", "gx", "gy").distinct()
+    # requests without an address stay out of the joins: they would all share the null key
+    nowhere = chosen.where(F.col("address_id").isNull())
+    chosen = cut_lineage(chosen.where(F.col("address_id").isNotNull()).join(a, "address_id", "left"))
+    ids = chosen.select("address_id", "gx", "gy").distinct()
     h = hierarchy.resolve_hierarchy(ids, suburbs, districts, key="address_id", x="gx", y="gy")
-    chosen = chosen.join(h, "address_id", "left")
+    chosen = chosen.join(h, "address_id", "left").unionByName(nowhere, allowMissingColumns=True)
 
     has_geom = F.col("gx").isNotNull() & F.col("gy").isNotNull()
     sim2 = F.format_string("%.2f", F.col("sim").cast("double"))

@@ -9,10 +9,13 @@ from ..functions import geo
 from . import schemas
 
 
-def read_address_feed(spark: SparkSession, path: str) -> DataFrame:
-    """A1: address CSV with the declared 36 columns; a malformed row aborts."""
+def read_address_feed(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A1: address CSV with the declared 36 columns; a malformed row aborts.
+
+    Files are split among tasks; ``multi_line`` is for feeds with line breaks
+    inside quoted fields, which Spark reads with one task a file."""
     return (spark.read.schema(schemas.ADDRESS_FEED).option("header", True).option("mode", "FAILFAST")
-            .option("escape", '"').option("multiLine", True).option("encoding", "UTF-8").csv(path))
+            .option("escape", '"').option("multiLine", multi_line).option("encoding", "UTF-8").csv(path))
 
 
 GEOMETRY_CANDIDATES = ("Shape", "shape", "WKT", "wkt", "geometry")
