@@ -12,6 +12,7 @@ share about once. Map-only: no shuffle, nothing but counts leaves a task.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Callable, Iterator
 from itertools import filterfalse
@@ -61,6 +62,8 @@ class PieceTable:
                  max_chars: int = 64):
         from tokenizers import Tokenizer
 
+        # a task has one core; the library's own threads would only take other tasks' cores
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
