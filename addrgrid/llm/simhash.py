@@ -202,21 +202,28 @@ def links(distinct_fp: DataFrame, n: int, max_distance: int = 2, node_size: int
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                    seed: int = 42, max_distance: int = 2) -> DataFrame:
+                    seed: int = 42, max_distance: int = 2, hot_share: float = 0.001) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits),
     component_id (smallest doc_id reachable over links of fingerprints that
     differ in at most ``max_distance`` bits, itself included).
 
     Null, empty and blank texts have fingerprint zero and are linked like any
     other. Equal texts and repeated rows share a fingerprint. A null doc_id is
-    never a component's smallest unless all are null; then component_id is null."""
+    never a component's smallest unless all are null; then component_id is null.
+
+    Rows whose fingerprint has more than ``hot_share`` of all rows get their
+    component by a broadcast of those fingerprints, so that no task of the last
+    join holds a whole group of copies."""
     own = cut_lineage(fingerprints(docs, id_col, text_col, shingle, seed))
-    reps = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    n = reps.count()
-    groups = components(links(reps.select("fp"), n, max_distance)).withColumnRenamed("node", "fp")
+    reps = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
+    size = reps.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    groups = components(links(reps.select("fp"), size["distinct"], max_distance)).withColumnRenamed("node", "fp")
     groups = groups.join(reps, "fp")
     lowest = groups.groupBy("component").agg(F.min("low").alias("component_id"))
     linked = groups.join(lowest, "component").select("fp", "component_id")
-    named = reps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return own.join(named, "fp").select(
+    named = cut_lineage(reps.join(linked, "fp", "left").select(
+        "fp", F.coalesce("component_id", "low").alias("component_id"), (F.col("n") > hot_share * size["rows"]).alias("hot")))
+    hot = F.broadcast(named.where("hot").drop("hot"))  # fewer than 1 / hot_share rows
+    cold = own.join(hot, "fp", "left_anti").join(named.where("not hot").drop("hot"), "fp")
+    return cold.unionByName(own.join(hot, "fp")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -107,6 +107,9 @@ def test_simhash_components(spark, docs, none):
     assert len(got) == len(TEXTS) + 1
     assert all(r.fingerprint == f"{fps[r.doc_id]:016x}" and r.component_id == want[r.doc_id] for r in got)
     assert simhash.near_duplicates(none).collect() == []
+    for share in (0.1, 1.0):  # some and no fingerprints count as hot
+        split = simhash.near_duplicates(docs, hot_share=share).collect()
+        assert sorted(split) == sorted(got)
 
 
 @pytest.mark.parametrize("sizes", [(1024, 4096), (16, 8)])
