@@ -1,26 +1,31 @@
 """Operator 10: toxicity by the nearest labelled examples.
 
 Fitting. A bounded, class-balanced sample of labelled documents gives the
-examples. Terms are words and word beginnings; those that toxic examples hold
-clearly more often form the vocabulary, whose document frequencies are counted
-over the whole corpus. Each example is a unit TF-IDF vector over it.
-
-Scoring. The examples lie in blocks of an inverted index that keeps, per term
-and block, the postings and the largest weight. A document's bound for a block
-is its weights times those maxima; blocks are opened in descending bound until
-the bound falls below the k-th best cosine found, so the k nearest are exact.
-Their votes, weighted by cosine and by the inverse of the sampling shares, give
-a raw score, which a monotone fit on the examples (each scored without itself)
-turns into a calibrated one. The nearest examples are the evidence.
-
-Everything the driver holds is bounded by ``examples`` and ``terms``; scoring
-is map-only.
+examples. Terms are words and word beginnings; every term of an example is in
+the vocabulary, whose document frequencies are counted over the whole corpus.
+A term weighs its IDF times 1 + sqrt(chi2) of how unevenly the examples of the
+two labels hold it: no term is left out or weighs less than its IDF, and words
+that tell the labels apart weigh more than the noise around them. Each example
+is a unit vector of these weights.
+
+Scoring. An inverted index holds the examples of every term; the terms that
+most examples hold lie in a dense table with the largest weight of each block
+of examples. A document's rare terms are added up first; the common ones only
+for the blocks whose bound can still reach the k-th best cosine, so the k
+nearest are exact. Their votes, weighted by cosine and by the inverse of the
+sampling shares, give a raw score, which a monotone fit on the examples (each
+scored without itself) turns into a calibrated one. The nearest examples are
+the evidence.
+
+What the driver holds is bounded by ``examples`` and their texts; scoring is
+map-only.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,12 +36,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
 from .arrow_text import byte_slices, id_and_text
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 BLOCK = 128
+TEXTS = 64  # looked up and scored together
 
 
 def terms_of(word: str) -> list[str]:
@@ -54,67 +59,109 @@ class Vocabulary:
 
     def __init__(self, terms: list[str], max_words: int = 300_000):
         self.number = {t: k for k, t in enumerate(terms)}
-        self.words: dict[str, tuple[int, ...]] = {}
         self.max_words = max_words
+        self._empty()
 
-    def counts(self, text: str) -> dict[int, int]:
+    def _empty(self) -> None:
+        self.words: dict[str, int] = {}
+        self.terms, self.ends = array("q"), array("q", [0])  # of all words of the table, one after the other
+
+    def _new(self, word: str) -> int:
+        self.terms.extend(self.number[t] for t in terms_of(word) if t in self.number)
+        self.ends.append(len(self.terms))
+        return self.words.setdefault(word, len(self.words))
+
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, times), in this order, of the terms that occur in the texts."""
         if len(self.words) > self.max_words:
-            self.words.clear()
-        out: dict[int, int] = {}
-        for word, n in words_of(text).items():
-            found = self.words.get(word)
-            if found is None:
-                found = self.words[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
-            for t in found:
-                out[t] = out.get(t, 0) + n
-        return out
+            self._empty()
+        known, codes, sizes = self.words, [], []
+        for text in texts:
+            own = LETTERS.findall(text.lower())
+            codes.extend([known[w] if w in known else self._new(w) for w in own])
+            sizes.append(len(own))
+        ends, codes = np.array(self.ends), np.array(codes, np.int64)
+        n = ends[codes + 1] - ends[codes]
+        term = np.array(self.terms)[np.repeat(ends[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        cell, times = np.unique(np.repeat(np.repeat(np.arange(len(texts)), sizes), n) * (len(self.number) + 1) + term,
+                                return_counts=True)
+        return cell // (len(self.number) + 1), cell % (len(self.number) + 1), times
 
 
 def unit_vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(terms, weights) of length 1; empty if no term occurs."""
     terms = np.array(sorted(counts), np.int64)
-    weights = (1 + np.log([counts[t] for t in terms.tolist()])) * idf[terms] if len(terms) else np.zeros(0)
-    norm = np.linalg.norm(weights)
-    return terms, weights / norm if norm > 0 else weights
+    times = np.array([counts[t] for t in terms.tolist()], np.int64)
+    return unit_vectors((np.zeros(len(terms), np.int64), terms, times), 1, idf)[0]
+
+
+def unit_vectors(counts: tuple[np.ndarray, np.ndarray, np.ndarray], n: int,
+                 idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The vector of each of ``n`` texts from their (text, term, times)."""
+    text, terms, times = counts
+    weights = (1 + np.log(times)) * idf[terms]
+    weights = weights / np.sqrt(np.maximum(np.bincount(text, weights ** 2, minlength=n), 1e-300))[text]
+    at = np.searchsorted(text, np.arange(n + 1))
+    return [(terms[a:b], weights[a:b]) for a, b in zip(at[:-1], at[1:])]
 
 
 class Index:
-    """Block-max inverted index over unit vectors; exact nearest neighbours."""
+    """Inverted index over unit vectors with block maxima for the most common
+    terms; exact nearest neighbours."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, dense: int = 1024):
         self.n, n_blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
-        of = np.concatenate([np.full(len(t), k) for k, (t, _) in enumerate(vectors)] or [np.zeros(0)]).astype(np.int64)
-        terms = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype(np.int64)
-        weights = np.concatenate([w for _, w in vectors] or [np.zeros(0)]).astype(np.float64)
-        order = np.lexsort((of, terms))
-        self.of, terms, self.weights = of[order], terms[order], weights[order]
-        self.largest = np.zeros((n_terms, n_blocks))
-        np.maximum.at(self.largest, (terms, self.of // BLOCK), self.weights)
-        cell = terms * n_blocks + self.of // BLOCK
-        self.begin = np.searchsorted(cell, np.arange(n_terms * n_blocks + 1)).reshape(-1)
-        self.n_blocks = n_blocks
+        of = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])
+        terms = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for t, _ in vectors)])
+        order = np.argsort(terms, kind="stable")
+        self.of, terms = of[order], terms[order]
+        self.weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
+        self.begin = np.searchsorted(terms, np.arange(n_terms + 1))
+        held = np.diff(self.begin)
+        common = np.argsort(-held, kind="stable")[:dense]
+        common = common[held[common] > self.n / 8]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        of_common = self.column[terms] >= 0
+        self.dense = np.zeros((n_blocks * BLOCK, len(common)))
+        self.dense[self.of[of_common], self.column[terms[of_common]]] = self.weights[of_common]
+        self.largest = self.dense.reshape(n_blocks, BLOCK, len(common)).max(axis=1)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine over 0, nearest
         first, equal ones in order of number; ``without`` leaves one out."""
-        best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        if not len(terms):
-            return best_i, best_s
-        bounds = weights @ self.largest[terms]
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or (len(best_s) == k and bounds[b] < best_s[-1] - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                lo, hi = self.begin[t * self.n_blocks + b], self.begin[t * self.n_blocks + b + 1]
-                if lo < hi:
-                    score[self.of[lo:hi] - b * BLOCK] += w * self.weights[lo:hi]
-            found = np.nonzero(score > 0)[0]
-            found = found[found + b * BLOCK != without]
-            i, s = np.concatenate((best_i, found + b * BLOCK)), np.concatenate((best_s, score[found]))
-            top = np.lexsort((i, -np.round(s, 12)))[:k]
-            best_i, best_s = i[top], s[top]
-        return best_i, best_s
+        return self.nearest_of_each([(terms, weights)], k, [without])[0]
+
+    def nearest_of_each(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int,
+                        without: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each vector."""
+        sums = np.zeros((len(vectors), len(self.dense)))
+        often = np.zeros((len(vectors), self.dense.shape[1]))
+        for row, (terms, weights) in enumerate(vectors):
+            column = self.column[terms]
+            rare = column < 0
+            often[row, column[~rare]] = weights[~rare]
+            lo = self.begin[terms[rare]]
+            n = self.begin[terms[rare] + 1] - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            sums[row] = np.bincount(self.of[at], self.weights[at] * np.repeat(weights[rare], n), minlength=len(self.dense))
+        left = np.arange(len(self.dense)) < self.n
+        left = left & (np.arange(len(self.dense)) != np.array(without)[:, None])
+        sums[~left] = -1
+        k = min(k, len(self.dense))
+        least = np.partition(sums, -k, axis=1)[:, -k]  # the k-th best cosine is not under it
+        blocks = sums.reshape(len(vectors), -1, BLOCK)
+        reach = blocks.max(axis=2) + often @ self.largest.T >= np.maximum(least, 0)[:, None] - 1e-9
+        for b in np.nonzero(reach.any(axis=0))[0].tolist():
+            rows = np.nonzero(reach[:, b])[0]
+            blocks[rows, b] += often[rows] @ self.dense[b * BLOCK:(b + 1) * BLOCK].T
+        least = np.partition(sums, -k, axis=1)[:, -k]
+        out = []
+        for score, low, own in zip(sums, least, left):
+            found = np.nonzero((score >= low - 1e-9) & (score > 0) & own)[0]
+            top = found[np.lexsort((found, -np.round(score[found], 12)))[:k]]
+            out.append((top, score[top]))
+        return out
 
 
 def monotone_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,18 +177,28 @@ def monotone_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarra
     return np.array([g[0] for g in groups]), np.array([g[1] / g[2] for g in groups])
 
 
+def label_weights(counts: tuple[np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray, n_terms: int) -> np.ndarray:
+    """1 + sqrt(chi2) of each term: how unevenly the examples of the two labels hold it."""
+    a, b = (np.bincount(counts[1][labels[counts[0]] == y], minlength=n_terms).astype(np.float64) for y in (1, 0))
+    m1, m0 = float((labels == 1).sum()), float((labels == 0).sum())
+    n = m1 + m0
+    return 1 + np.sqrt(n / np.maximum((a + b) * (n - a - b) * m0 * m1, 1e-9)) * np.abs(a * m0 - b * m1)
+
+
 class Model:
     """Examples, index and calibration."""
 
     def __init__(self, terms: list[str], idf: np.ndarray, ids: list, labels: np.ndarray, shares: tuple[float, float],
-                 counts: list[dict[int, int]], base_rate: float, neighbours: int):
-        self.terms, self.idf, self.ids, self.labels = terms, idf, ids, labels.astype(np.float64)
+                 counts: tuple[np.ndarray, np.ndarray, np.ndarray], base_rate: float, neighbours: int):
+        self.terms, self.ids, self.labels = terms, ids, labels.astype(np.float64)
+        self.idf = idf * label_weights(counts, labels, len(terms))
         self.weights = np.where(labels == 1, 1 / shares[1], 1 / shares[0])
         self.weights /= max(self.weights.mean(), 1e-12) if len(ids) else 1
         self.base_rate, self.k = base_rate, neighbours
-        vectors = [unit_vector(c, idf) for c in counts]
+        vectors = unit_vectors(counts, len(ids), self.idf)
         self.index = Index(vectors, max(1, len(terms)))
-        raw = np.array([self._vote(*self.index.nearest(*v, self.k, without=i)) for i, v in enumerate(vectors)])
+        raw = np.array([self._vote(*near) for at in range(0, len(ids), TEXTS) for near in self.index.nearest_of_each(
+            vectors[at:at + TEXTS], self.k, list(range(at, min(at + TEXTS, len(ids)))))])
         self.steps, self.values = monotone_fit(raw, self.labels, self.weights) if len(ids) else (
             np.array([0.0]), np.array([base_rate]))
 
@@ -149,10 +206,13 @@ class Model:
         w = self.weights[near] * cosines
         return float(((w * self.labels[near]).sum() + 0.1 * self.base_rate) / (w.sum() + 0.1))
 
-    def score(self, counts: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
-        near, cosines = self.index.nearest(*unit_vector(counts, self.idf), self.k)
-        step = max(0, int(np.searchsorted(self.steps, self._vote(near, cosines) + 1e-12, side="right")) - 1)
-        return float(min(1.0, max(0.0, self.values[step]))), near, cosines
+    def score(self, counts: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(score, nearest examples, their cosines) of each of ``n`` texts."""
+        out = []
+        for near, cosines in self.index.nearest_of_each(unit_vectors(counts, n, self.idf), self.k, [-1] * n):
+            step = max(0, int(np.searchsorted(self.steps, self._vote(near, cosines) + 1e-12, side="right")) - 1)
+            out.append((float(min(1.0, max(0.0, self.values[step]))), near, cosines))
+        return out
 
 
 def _least_shingle(text: Column) -> Column:
@@ -164,8 +224,7 @@ def _least_shingle(text: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        examples: int = 4000, terms: int = 1500, min_lift: float = 3.0, min_chi2: float = 28.0,
-        neighbours: int = 25) -> Model:
+        examples: int = 4000, neighbours: int = 25) -> Model:
     """Model from the labelled rows whose crc32(id as text) leaves no 2 by 4.
 
     About ``examples`` documents are drawn, half of either label as far as
@@ -185,61 +244,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # about ``examples`` rows of an id and a label; of near copies (same least
     # shingle) one row is an example, or the words of one text would look typical
     first = Window.partitionBy("y", "sketch").orderBy("doc_id", F.xxhash64("text"))
-    drawn = cut_lineage(own.join(F.broadcast(chosen), "doc_id").withColumn("sketch", _least_shingle(F.col("text")))
-                        .withColumn("place", F.row_number().over(first)).where("place = 1").drop("sketch", "place"))
-    drawn_y = {r.y: r.n for r in drawn.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    m0, m1 = drawn_y.get(0, 0), drawn_y.get(1, 0)
+    drawn = (own.join(F.broadcast(chosen), "doc_id").withColumn("sketch", _least_shingle(F.col("text")))
+             .withColumn("place", F.row_number().over(first)).where("place = 1").drop("sketch", "place"))
 
-    def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[Counter, Counter] = (Counter(), Counter())
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
-                held[y].update({t for w in words_of(text) for t in terms_of(w)})
-        every = list(held[1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(every, pa.string()), pa.array([held[1][t] for t in every], pa.int64()),
-             pa.array([held[0][t] for t in every], pa.int64())], names=["term", "a", "b"])
-        rest = [t for t in held[0] if t not in held[1]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()),
-             pa.array([held[0][t] for t in rest], pa.int64())], names=["term", "a", "b"])
-
-    a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), float(max(1, m0 + m1))
-    chi2 = (n * F.pow(a * (m0 - b) - b * (m1 - a), F.lit(2.0))
-            / F.greatest((a + b) * (n - a - b) * F.lit(float(max(1, m0)) * max(1, m1)), F.lit(1e-9)))
-    picked = (drawn.select("y", "text").mapInArrow(holds, "term string, a long, b long").groupBy("term")
-              .agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a >= 2").withColumn("chi2", chi2)
-              .where((F.col("chi2") >= min_chi2) & (a * max(1, m0) >= min_lift * F.greatest(b, F.lit(0.5)) * max(1, m1)))
-              .orderBy(F.desc("chi2"), "term").limit(terms).select("term").collect())
-    names = [r.term for r in picked]
+            texts = [" ".join(LETTERS.findall(t.lower())) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(texts, pa.string())],
+                                             names=["doc_id", "y", "text"])
+
+    kept = drawn.mapInArrow(words, T.StructType([own.schema["doc_id"], *T.StructType.fromDDL(
+        "y int, text string").fields])).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    names = sorted({t for text in kept["text"] for w in text.as_py().split() for t in terms_of(w)})
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, df = Vocabulary(names), np.zeros(len(names) + 1, np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                df[list(vocabulary.counts(text))] += 1
-                df[-1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df), dtype=np.int32)), pa.array(df)],
-                                         names=["t", "df"])
-
-    total = {r.t: r.df for r in own.select("text").mapInArrow(frequencies, "t int, df long")
-             .groupBy("t").agg(F.sum("df").alias("df")).collect()}
-    n_docs = total.get(len(names), 0)
-    idf = np.log((1 + n_docs) / (1 + np.array([total.get(t, 0) for t in range(len(names))], np.float64))) + 1
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(names)
-        for batch in batches:
-            counts = [vocabulary.counts(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("y"), pa.array([list(c) for c in counts], pa.list_(pa.int32())),
-                 pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], names=["doc_id", "y", "t", "n"])
+            texts = batch.column("text").to_pylist()
+            for at in range(0, len(texts), TEXTS):
+                df[:-1] += np.bincount(vocabulary.counts(texts[at:at + TEXTS])[1], minlength=len(names))
+            df[-1] += len(texts)
+        met = np.nonzero(df)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(df[met])], names=["t", "df"])
+
+    total = (own.select("text").mapInArrow(frequencies, "t int, df long").groupBy("t").agg(F.sum("df").alias("df"))
+             .toArrow())
+    df = np.zeros(len(names) + 1)
+    df[total["t"].to_numpy()] = total["df"].to_numpy()
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
-    kept = drawn.mapInArrow(vectors, T.StructType([drawn.schema["doc_id"], *T.StructType.fromDDL(
-        "y int, t array<int>, n array<int>").fields])).collect()
-    kept.sort(key=lambda r: (r.doc_id, r.t))
-    return Model(names, idf, [r.doc_id for r in kept], np.array([r.y for r in kept], np.int64), shares,
-                 [dict(zip(r.t, r.n)) for r in kept], n1 / max(1, n0 + n1), neighbours)
+    counts = Vocabulary(names).counts([text.as_py() for text in kept["text"]])
+    return Model(names, idf, kept["doc_id"].to_pylist(), kept["y"].to_numpy().astype(np.int64), shares, counts,
+                 n1 / max(1, n0 + n1), neighbours)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3,
@@ -255,7 +291,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                            T.StructField("tox_evidence", T.ArrayType(T.StructType([
                                T.StructField("id", kind), T.StructField("cosine", T.DoubleType()),
                                T.StructField("label", T.IntegerType())])))])
-    # bounded by examples and terms; as bytes, since broadcasts are pickled by reference
+    # bounded by the examples and their words; as bytes, since broadcasts are pickled by reference
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,11 +300,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for part in byte_slices(batch, text_col, batch_bytes):
                 scores, proof = [], []
-                for text in part.column(text_col).to_pylist():
-                    s, near, cosines = own.score(vocabulary.counts(text or ""))
-                    scores.append(s)
-                    proof.append([{"id": own.ids[i], "cosine": float(c), "label": int(own.labels[i])}
-                                  for i, c in zip(near[:evidence].tolist(), cosines[:evidence].tolist())])
+                texts = [text or "" for text in part.column(text_col).to_pylist()]
+                for at in range(0, len(texts), TEXTS):
+                    some = texts[at:at + TEXTS]
+                    for s, near, cosines in own.score(vocabulary.counts(some), len(some)):
+                        scores.append(s)
+                        proof.append([{"id": own.ids[i], "cosine": float(c), "label": int(own.labels[i])}
+                                      for i, c in zip(near[:evidence].tolist(), cosines[:evidence].tolist())])
                 value = np.array(scores)
                 kinds = pa.struct([("id", part.column(id_col).type), ("cosine", pa.float64()), ("label", pa.int32())])
                 yield pa.RecordBatch.from_arrays(

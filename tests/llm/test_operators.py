@@ -275,3 +275,17 @@ def test_toxicity_held_out(spark, none):
     odd = spark.createDataFrame([(1, None, "x"), (2, "", "x")], "doc_id long, text string, tox_score string")
     assert {r.tox_score for r in toxicity.score(odd, empty).collect()} and toxicity.score(none, empty).collect() == []
     assert docs.count() == len(queries.op10_toxicity(spark, d).select("doc_id").collect())
+
+
+def test_toxicity_uses_every_term_of_the_examples(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefgh"), 3)) for _ in range(60)]
+    texts = {i: " ".join(rng.choice(words, 12)) + (" vile" if i % 5 == 0 else "") for i in range(200)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in texts], "doc_id long, toxic int")
+    model = toxicity.fit(d, labels)
+    taught = {i for i in texts if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert set(model.ids) <= taught and set(model.terms) == {w for i in model.ids for w in texts[i].split()}
+    held = [r for r in toxicity.score(d, model).collect() if r.doc_id not in taught]
+    assert len(held) > 20
+    assert all(r.tox_evidence[0].cosine > 0 for r in held)
