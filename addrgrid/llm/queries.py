@@ -64,8 +64,8 @@ def op9_exact_dedup(spark, d):
 
 
 def op10_toxicity(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels")))
+    docs = table(spark, d, "documents")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, d, "labels")))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), F.col("tox_score").alias("score"),
                          F.col("tox_label").alias("predicted"), F.col("tox_evidence").alias("evidence"))

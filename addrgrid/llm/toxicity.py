@@ -188,11 +188,11 @@ def label_weights(counts: tuple[np.ndarray, np.ndarray, np.ndarray], labels: np.
 class Model:
     """Examples, index and calibration."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, ids: list, labels: np.ndarray, shares: tuple[float, float],
+    def __init__(self, terms: list[str], idf: np.ndarray, ids: list, labels: np.ndarray, shares: np.ndarray,
                  counts: tuple[np.ndarray, np.ndarray, np.ndarray], base_rate: float, neighbours: int):
         self.terms, self.ids, self.labels = terms, ids, labels.astype(np.float64)
         self.idf = idf * label_weights(counts, labels, len(terms))
-        self.weights = np.where(labels == 1, 1 / shares[1], 1 / shares[0])
+        self.weights = 1 / shares
         self.weights /= max(self.weights.mean(), 1e-12) if len(ids) else 1
         self.base_rate, self.k = base_rate, neighbours
         vectors = unit_vectors(counts, len(ids), self.idf)
@@ -223,24 +223,51 @@ def _least_shingle(text: Column) -> Column:
         lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))), F.lit(0))
 
 
+def stratum_shares(sizes: list[int], total: int, places: float) -> list[float]:
+    """Share of each stratum to draw: half of the ``places`` in proportion to
+    the ``total`` rows, half level, strata that are too small giving theirs to others."""
+    if total <= places:
+        return [1.0] * len(sizes)
+    level, left = 0.0, places / 2
+    for k, n in enumerate(sorted(sizes)):
+        level = left / (len(sizes) - k)
+        if n > level:
+            break
+        left -= n
+    return [min(1.0, places / 2 / total + level / n) for n in sizes]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        examples: int = 4000, neighbours: int = 25) -> Model:
+        examples: int = 4000, neighbours: int = 25, stratum_col: str = "lang", strata: int = 1000) -> Model:
     """Model from the labelled rows whose crc32(id as text) leaves no 2 by 4.
 
     About ``examples`` documents are drawn, half of either label as far as
-    there are, by a hash of the id. Rows without a label, null ids and labels
-    other than 0 and 1 teach nothing; an id with both labels counts as 1."""
+    there are, by a hash of the id. Half of a label's places go to its strata
+    (values of ``stratum_col``, if ``docs`` has it; the ``strata`` largest) in
+    proportion, half evenly, so the wording of a rare language is present; votes
+    weigh by the inverse share. Rows without a label, null ids and labels other
+    than 0 and 1 teach nothing; an id with both labels counts as 1."""
     own = id_and_text(docs, id_col, text_col)
     known = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
              .where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
              .where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
              .groupBy("doc_id").agg(F.max("y").alias("y")))
-    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    shares = tuple(min(1.0, examples / 2 / n) if n else 1.0 for n in (n0, n1))
+    stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col in docs.columns else F.lit("")
+    known = (known.join(docs.select(F.col(id_col).alias("doc_id"), stratum.alias("stratum")), "doc_id")
+             .groupBy("doc_id").agg(F.max("y").alias("y"), F.min("stratum").alias("stratum")))
+    sizes = known.groupBy("y", "stratum").agg(F.count("*").alias("n"))
+    total = {r.y: r.n for r in sizes.groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    n0, n1 = total.get(0, 0), total.get(1, 0)
+    largest = sizes.orderBy(F.desc("n"), "y", "stratum").limit(2 * strata).collect()
+    shares = []
+    for y, n in ((0, n0), (1, n1)):
+        own_y = [r for r in largest if r.y == y]
+        shares += [(y, r.stratum, s) for r, s in zip(own_y, stratum_shares([r.n for r in own_y], n, examples / 2))]
+    plain = F.when(F.col("y") == 1, min(1.0, examples / 2 / max(1, n1))).otherwise(min(1.0, examples / 2 / max(1, n0)))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    chosen = known.where(place < F.when(F.col("y") == 1, F.lit(int(shares[1] * (1 << 30))))
-                         .otherwise(F.lit(int(shares[0] * (1 << 30)))))
+    chosen = (known.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "y int, stratum string, share double")),
+                         ["y", "stratum"], "left").withColumn("share", F.coalesce("share", plain))
+              .where(place < F.col("share") * (1 << 30)).select("doc_id", "y", "share"))
     # about ``examples`` rows of an id and a label; of near copies (same least
     # shingle) one row is an example, or the words of one text would look typical
     first = Window.partitionBy("y", "sketch").orderBy("doc_id", F.xxhash64("text"))
@@ -250,11 +277,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [" ".join(LETTERS.findall(t.lower())) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(texts, pa.string())],
-                                             names=["doc_id", "y", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("share"), pa.array(texts)],
+                                             names=["doc_id", "y", "share", "text"])
 
     kept = drawn.mapInArrow(words, T.StructType([own.schema["doc_id"], *T.StructType.fromDDL(
-        "y int, text string").fields])).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        "y int, share double, text string").fields])).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     names = sorted({t for text in kept["text"] for w in text.as_py().split() for t in terms_of(w)})
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,14 +294,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         met = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(df[met])], names=["t", "df"])
 
-    total = (own.select("text").mapInArrow(frequencies, "t int, df long").groupBy("t").agg(F.sum("df").alias("df"))
-             .toArrow())
+    met = (own.select("text").mapInArrow(frequencies, "t int, df long").groupBy("t").agg(F.sum("df").alias("df"))
+           .toArrow())
     df = np.zeros(len(names) + 1)
-    df[total["t"].to_numpy()] = total["df"].to_numpy()
+    df[met["t"].to_numpy()] = met["df"].to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
     counts = Vocabulary(names).counts([text.as_py() for text in kept["text"]])
-    return Model(names, idf, kept["doc_id"].to_pylist(), kept["y"].to_numpy().astype(np.int64), shares, counts,
+    return Model(names, idf, kept["doc_id"].to_pylist(), kept["y"].to_numpy().astype(np.int64), kept["share"].to_numpy(), counts,
                  n1 / max(1, n0 + n1), neighbours)
 
 
