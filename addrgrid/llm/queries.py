@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import table
-from . import (byte_bpe, content_sort, decontaminate, language_id, secret_scan, simhash, token_count, token_files,
+from . import (byte_bpe, content_sort, conversation_repair, decontaminate, language_id, secret_scan, simhash, token_count, token_files,
                toxicity, url_filter)
 
 #: The rules of the URL filter (host and path, verdict).
@@ -71,9 +71,13 @@ def op10_toxicity(spark, d):
                          F.col("tox_label").alias("predicted"), F.col("tox_evidence").alias("evidence"))
 
 
+def op11_conversation_repair(spark, d):
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, d, "conversations")), present_col="present")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_byte_bpe, op3_simhash, op4_url_filter, op5_language_id, op6_token_files, op7_decontaminate,
-    op8_secret_scan, op9_exact_dedup, op10_toxicity)}
+    op8_secret_scan, op9_exact_dedup, op10_toxicity, op11_conversation_repair)}
 
 ORACLE = {
     "op9_exact_dedup": r"""
