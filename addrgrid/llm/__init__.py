@@ -1,7 +1,7 @@
 """Training-data operators: token counts, byte-level BPE, SimHash groups, URL
 filter, language identification, token files, benchmark decontamination,
 secret scan, exact dedup by content sort, toxicity, conversation repair,
-spelling variants.
+suffix-array dedup, spelling variants.
 
 Nothing outside this package (and ``corpus_pipeline.py``) imports it. Each
 module holds one operator; ``queries`` registers them.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import table
 from . import (byte_bpe, content_sort, conversation_repair, decontaminate, language_id, secret_scan, simhash,
-               spelling_variants, token_count, token_files, toxicity, url_filter)
+               spelling_variants, suffix_dedup, token_count, token_files, toxicity, url_filter)
 
 #: The rules of the URL filter (host and path, verdict).
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
@@ -75,6 +75,10 @@ def op11_conversation_repair(spark, d):
     return conversation_repair.repair(conversation_repair.damaged(table(spark, d, "conversations")), present_col="present")
 
 
+def op12_suffix_dedup(spark, d):
+    return suffix_dedup.remove_repeats(table(spark, d, "documents"))
+
+
 def op13_spelling_variants(spark, d):
     return spelling_variants.group_variants(table(spark, d, "documents"), drop_every=199)
 
@@ -82,7 +86,7 @@ def op13_spelling_variants(spark, d):
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_byte_bpe, op3_simhash, op4_url_filter, op5_language_id, op6_token_files, op7_decontaminate,
     op8_secret_scan, op9_exact_dedup, op10_toxicity, op11_conversation_repair,
-    op13_spelling_variants)}
+    op12_suffix_dedup, op13_spelling_variants)}
 
 ORACLE = {
     "op9_exact_dedup": r"""
