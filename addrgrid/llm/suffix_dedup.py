@@ -166,7 +166,7 @@ def long_prefixes(data: np.ndarray, order: np.ndarray, length: int, lanes: int =
     ``lanes`` stretches at a time."""
     n = len(order)
     w = words(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     stride = -(-n // lanes)
     start, h = np.arange(0, n, stride), np.zeros(-(-n // stride), np.int64)
@@ -382,7 +382,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200,
-                   shard_bytes: int = 1 << 22, batch_bytes: int = 1 << 20) -> DataFrame:
+                   shard_bytes: int = 1 << 21, batch_bytes: int = 1 << 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes (UTF-8), n_removed, n_spans
     (maximal removed runs) and kept_sha256 (lowercase hex of what is left).
 
@@ -397,7 +397,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     known = stored(_anchor_table(long, length, batch_bytes))
     # 64 bits of the key are enough here: a clash only adds a place to look at
-    shared = known.select(F.explode("hashes").alias("hash")).groupBy("hash").count().where("count > 1").select("hash")
+    # stored, so that both sides of the join are plain shuffles and a hot hash is split
+    shared = stored(known.select(F.explode("hashes").alias("hash")).groupBy("hash").count().where("count > 1").select("hash"))
     places = known.select(F.xxhash64("key").alias("short"), F.explode(F.arrays_zip("hashes", "places")).alias("a")).select(
         "short", F.col("a.hashes").alias("hash"), F.col("a.places").alias("place"))
     near = places.join(shared, "hash").groupBy("short").agg(F.collect_list(F.struct("place", "hash")).alias("near"))
@@ -414,7 +415,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     units = units.join(split, "home").withColumn("shard", F.col("home") * (1 << 24) + F.pmod("unit", "parts"))
     apart = units.select("shard", "unit", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select(
         "shard", "unit", F.col("a.hashes").alias("hash"), F.col("a.places").alias("place"))
-    in_several = apart.groupBy("hash").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a <> b").select("hash")
+    in_several = stored(apart.groupBy("hash").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).where("a <> b").select("hash"))
     cross = stored(apart.join(in_several, "hash").select("shard", "unit", "place"))
     buckets = max(1, math.ceil(cross.count() * (length - gram_of(length)) * 16 / (2 * shard_bytes)))
 
