@@ -29,6 +29,16 @@ def per_worker(key: tuple, make: Callable):
     return kept[key]
 
 
+def latest_per_worker(name: str, version: str, make: Callable):
+    """``make()`` of the last version of ``name`` that this Python worker met;
+    what an earlier version held is let go."""
+    held = per_worker((name,), dict)
+    if version not in held:
+        held.clear()
+        held[version] = make()
+    return held[version]
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that an operator reads, null texts as empty strings."""
     return docs.select(F.col(id_col).alias("doc_id"),

@@ -1,30 +1,34 @@
 """Operator 10: toxicity by the nearest labelled examples.
 
 Fitting. A bounded, class-balanced sample of labelled documents gives the
-examples. Terms are words and word beginnings; every term of an example is in
-the vocabulary, whose document frequencies are counted over the whole corpus.
-A term weighs its IDF times 1 + sqrt(chi2) of how unevenly the examples of the
-two labels hold it: no term is left out or weighs less than its IDF, and words
-that tell the labels apart weigh more than the noise around them. Each example
-is a unit vector of these weights.
-
-Scoring. An inverted index holds the examples of every term; the terms that
-most examples hold lie in a dense table with the largest weight of each block
-of examples. A document's rare terms are added up first; the common ones only
-for the blocks whose bound can still reach the k-th best cosine, so the k
-nearest are exact. Their votes, weighted by cosine and by the inverse of the
-sampling shares, give a raw score, which a monotone fit on the examples (each
-scored without itself) turns into a calibrated one. The nearest examples are
-the evidence.
-
-What the driver holds is bounded by ``examples`` and their texts; scoring is
-map-only.
+examples (equal texts are one example that weighs as many). Terms are words and
+word beginnings, marked by a hyphen; every term that ``min_examples`` examples
+hold is in the vocabulary (one that a single example holds ties it to no
+other), and its document frequency is counted over the whole corpus. Vectors
+are plain TF-IDF of unit length, (1 + ln tf)^2 x (1 + ln((1 + N) / (1 + df))):
+no label takes part in a weight.
+
+Scoring. Block-max inverted index: examples are ordered so that similar ones
+are neighbours, and lie in blocks; each term has postings by block and its
+largest weight in each block. Terms that many examples hold are added up by one
+product of matrices; the others at first only in the blocks that promise most,
+then in each block whose bound can still reach the k-th best cosine, so the k
+nearest are exact. Each votes for its label, weighted by the inverse of its
+sampling share and by its cosine, a shared term counting 1 + sqrt(chi2) times
+by how unevenly the examples of the two labels hold it: what two texts share
+only by chance says less. The votes give a raw score, which a monotone fit on
+the examples (each scored without itself and its near copies) turns into a
+calibrated one. The nearest examples are the evidence.
+
+What the driver holds is bounded by ``examples`` and the terms they share;
+scoring is map-only, with one model per Python worker.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -32,42 +36,78 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_text import byte_slices, id_and_text
+from .arrow_text import byte_slices, id_and_text, latest_per_worker
+from .stored import stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
+WIDE_LETTER = re.compile(r"[^\W\d_\x00-\xff]")
 BEGINNINGS = (4, 5, 6)
-BLOCK = 128
+BLOCK = 256
 TEXTS = 64  # looked up and scored together
+FIRST_BLOCKS = 3
+#: lower case of each Latin-1 letter, a space for what is no letter
+LATIN = bytes(ord(chr(c).lower()) if LETTERS.match(chr(c)) else 32 for c in range(256))
 
 
-def terms_of(word: str) -> list[str]:
-    """The word and its beginnings (marked by a hyphen)."""
-    return [word, *(word[:n] + "-" for n in BEGINNINGS if len(word) > n)]
+def words_of(text: str) -> list[bytes]:
+    """The lower-case words, as Latin-1 where that holds them, else as UTF-8 after a zero byte."""
+    try:
+        return text.encode("latin-1").translate(LATIN).split()
+    except UnicodeEncodeError:
+        if WIDE_LETTER.search(text) is None:
+            return text.encode("latin-1", "replace").translate(LATIN).split()
+    return [as_key(w) for w in LETTERS.findall(text.lower())]
 
 
-def words_of(text: str) -> Counter:
-    return Counter(LETTERS.findall(text.lower()))
+def as_key(word: str) -> bytes:
+    try:
+        return word.encode("latin-1")
+    except UnicodeEncodeError:
+        return b"\0" + word.encode()
+
+
+def as_term(key: bytes) -> str:
+    return key[1:].decode() if key[:1] == b"\0" else key.decode("latin-1")
+
+
+def terms_of(word: bytes) -> list[bytes]:
+    """The word and its beginnings."""
+    if word[:1] == b"\0":
+        whole = as_term(word)
+        return [word, *(as_key(whole[:n] + "-") for n in BEGINNINGS if len(whole) > n)]
+    return [word, *(word[:n] + b"-" for n in BEGINNINGS if len(word) > n)]
+
+
+def profile(text: str) -> str:
+    """The most frequent ASCII letter and the most frequent other letter: what
+    the sample is stratified by, so that rare kinds of text teach too."""
+    of = np.bincount(np.frombuffer(text.encode("latin-1", "ignore").translate(LATIN), np.uint8), minlength=256)
+    plain, other = int(np.argmax(of[97:123])) + 97, int(np.argmax(of[128:])) + 128
+    if not of[plain] and not of[other]:
+        wide = WIDE_LETTER.findall(text)
+        return max(sorted(set(wide)), key=wide.count) if 0 < len(set(wide)) < 50 else "*" if wide else ""
+    return (chr(plain) if of[plain] else "") + (chr(other) if of[other] else "")
 
 
 class Vocabulary:
-    """Term numbers of texts; the terms of a word are looked up once per task
+    """Term numbers of texts; the terms of a word are looked up once per worker
     (the table of words is emptied at ``max_words`` entries)."""
 
-    def __init__(self, terms: list[str], max_words: int = 300_000):
-        self.number = {t: k for k, t in enumerate(terms)}
-        self.max_words = max_words
+    def __init__(self, terms: list[str], max_words: int = 200_000):
+        self.number = {as_key(t): k for k, t in enumerate(terms)}
+        self.size, self.max_words = len(terms), max_words
         self._empty()
 
     def _empty(self) -> None:
-        self.words: dict[str, int] = {}
-        self.terms, self.ends = array("q"), array("q", [0])  # of all words of the table, one after the other
+        self.words: dict[bytes, int] = {}
+        self.terms, self.ends = array("i"), array("i", [0])  # of all words of the table, one after the other
 
-    def _new(self, word: str) -> int:
-        self.terms.extend(self.number[t] for t in terms_of(word) if t in self.number)
+    def _new(self, word: bytes) -> int:
+        self.terms.extend([self.number[t] for t in terms_of(word) if t in self.number])
         self.ends.append(len(self.terms))
         return self.words.setdefault(word, len(self.words))
 
@@ -75,17 +115,22 @@ class Vocabulary:
         """(text, term, times), in this order, of the terms that occur in the texts."""
         if len(self.words) > self.max_words:
             self._empty()
-        known, codes, sizes = self.words, [], []
+        known, codes, times, sizes = self.words, [], [], []
         for text in texts:
-            own = LETTERS.findall(text.lower())
-            codes.extend([known[w] if w in known else self._new(w) for w in own])
+            own = Counter(words_of(text))
+            found = list(map(known.get, own))
+            if None in found:
+                found = [self._new(w) if k is None else k for k, w in zip(found, own)]
+            codes += found
+            times += own.values()
             sizes.append(len(own))
         ends, codes = np.array(self.ends), np.array(codes, np.int64)
         n = ends[codes + 1] - ends[codes]
-        term = np.array(self.terms)[np.repeat(ends[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        cell, times = np.unique(np.repeat(np.repeat(np.arange(len(texts)), sizes), n) * (len(self.number) + 1) + term,
-                                return_counts=True)
-        return cell // (len(self.number) + 1), cell % (len(self.number) + 1), times
+        at = np.repeat(ends[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        cell = np.repeat(np.repeat(np.arange(len(texts)), sizes), n) * (self.size + 1) + np.array(self.terms, np.int64)[at]
+        cell, which = np.unique(cell, return_inverse=True)
+        total = np.bincount(which, np.repeat(np.array(times, np.int64), n), minlength=len(cell)).astype(np.int64)
+        return cell // (self.size + 1), cell % (self.size + 1), total
 
 
 def unit_vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,68 +144,116 @@ def unit_vectors(counts: tuple[np.ndarray, np.ndarray, np.ndarray], n: int,
                  idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """The vector of each of ``n`` texts from their (text, term, times)."""
     text, terms, times = counts
-    weights = (1 + np.log(times)) * idf[terms]
+    weights = (1 + np.log(times)) ** 2 * idf[terms]
     weights = weights / np.sqrt(np.maximum(np.bincount(text, weights ** 2, minlength=n), 1e-300))[text]
     at = np.searchsorted(text, np.arange(n + 1))
     return [(terms[a:b], weights[a:b]) for a, b in zip(at[:-1], at[1:])]
 
 
+def similar_together(rows: np.ndarray, size: int) -> np.ndarray:
+    """Order in which similar rows are neighbours: halved along the direction
+    in which they differ most, until ``size`` are left."""
+    def halves(at: np.ndarray) -> list[np.ndarray]:
+        if len(at) <= size or not rows.shape[1]:
+            return [at]
+        own = rows[at] - rows[at].mean(axis=0)
+        direction = own[int(np.argmax((own ** 2).sum(axis=1)))].copy()
+        for _ in range(8):
+            direction = own.T @ (own @ direction)
+            direction /= max(np.sqrt((direction ** 2).sum()), 1e-300)
+        at = at[np.argsort(own @ direction, kind="stable")]
+        middle = -(-len(at) // (2 * size)) * size
+        return halves(at[:middle]) + halves(at[middle:])
+
+    return np.concatenate(halves(np.arange(len(rows)))) if len(rows) else np.zeros(0, np.int64)
+
+
 class Index:
-    """Inverted index over unit vectors with block maxima for the most common
-    terms; exact nearest neighbours."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, dense: int = 1024):
-        self.n, n_blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
-        of = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])
-        terms = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for t, _ in vectors)])
-        order = np.argsort(terms, kind="stable")
-        self.of, terms = of[order], terms[order]
-        self.weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]
-        self.begin = np.searchsorted(terms, np.arange(n_terms + 1))
-        held = np.diff(self.begin)
-        common = np.argsort(-held, kind="stable")[:dense]
-        common = common[held[common] > self.n / 8]
+    """Block-max inverted index over unit vectors; exact nearest neighbours."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, common: int = 512, block: int = BLOCK):
+        self.n, self.block, self.n_terms = len(vectors), block, n_terms
+        self.n_blocks = max(1, -(-self.n // block))
+        sizes = [len(t) for t, _ in vectors]
+        terms = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
+        weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+        held = np.bincount(terms, minlength=n_terms)
+        often = np.argsort(-held, kind="stable")[:common]
+        often = often[held[often] > self.n / 16]
         self.column = np.full(n_terms, -1, np.int32)
-        self.column[common] = np.arange(len(common))
-        of_common = self.column[terms] >= 0
-        self.dense = np.zeros((n_blocks * BLOCK, len(common)))
-        self.dense[self.of[of_common], self.column[terms[of_common]]] = self.weights[of_common]
-        self.largest = self.dense.reshape(n_blocks, BLOCK, len(common)).max(axis=1)
+        self.column[often] = np.arange(len(often))
+        of, dense = np.repeat(np.arange(self.n), sizes), self.column[terms] >= 0
+        table = np.zeros((self.n, len(often)))
+        table[of[dense], self.column[terms[dense]]] = weights[dense]
+        order = similar_together(table, block)
+        self.example = np.append(order, np.full(self.n_blocks * block - self.n, -1)).astype(np.int64)  # at each place
+        self.place = np.zeros(self.n, np.int64)
+        self.place[order] = np.arange(self.n)
+        self.dense = np.zeros((len(self.example), len(often)))
+        self.dense[:self.n] = table[order]
+        rare = ~dense
+        cell = terms[rare] * len(self.example) + self.place[of[rare]]
+        by = np.argsort(cell)
+        self.posting, self.weight = (cell[by] % len(self.example)).astype(np.int32), weights[rare][by]
+        self.begin = np.searchsorted(cell[by], np.arange(n_terms * self.n_blocks + 1) * block).astype(np.int32)
+        # rounded up: a bound must not be under what it bounds
+        self.largest = np.zeros(n_terms * self.n_blocks, np.float32)
+        np.maximum.at(self.largest, cell[by] // block, np.nextafter(self.weight.astype(np.float32), np.float32(2)))
+        self.largest = self.largest.reshape(n_terms, self.n_blocks)
+
+    def _add(self, sums: np.ndarray, terms: np.ndarray, weights: np.ndarray, first: int, end: int) -> None:
+        """Add the postings of the blocks from ``first`` to ``end``."""
+        lo = self.begin[terms * self.n_blocks + first].astype(np.int64)
+        n = self.begin[terms * self.n_blocks + end] - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        base, stop = first * self.block, end * self.block
+        sums[base:stop] += np.bincount(self.posting[at] - base, self.weight[at] * np.repeat(weights, n), minlength=stop - base)
+
+    def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Cosine of each vector with each example, all blocks added up."""
+        sums, rare = self._common(vectors)
+        for row, (terms, weights) in zip(sums, rare):
+            self._add(row, terms, weights, 0, self.n_blocks)
+        return sums[:, self.place]
+
+    def _common(self, vectors: list) -> tuple[np.ndarray, list]:
+        often, rare = np.zeros((len(vectors), self.dense.shape[1])), []
+        for row, (terms, weights) in zip(often, vectors):
+            column = self.column[terms]
+            dense = column >= 0
+            row[column[dense]] = weights[dense]
+            rare.append((terms[~dense], weights[~dense]))
+        return often @ self.dense.T, rare
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine over 0, nearest
-        first, equal ones in order of number; ``without`` leaves one out."""
-        return self.nearest_of_each([(terms, weights)], k, [without])[0]
+        first, equal ones in order of number."""
+        return self.nearest_of_each([(terms, weights)], k)[0]
 
-    def nearest_of_each(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int,
-                        without: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def nearest_of_each(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """``nearest`` of each vector."""
-        sums = np.zeros((len(vectors), len(self.dense)))
-        often = np.zeros((len(vectors), self.dense.shape[1]))
-        for row, (terms, weights) in enumerate(vectors):
-            column = self.column[terms]
-            rare = column < 0
-            often[row, column[~rare]] = weights[~rare]
-            lo = self.begin[terms[rare]]
-            n = self.begin[terms[rare] + 1] - lo
-            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            sums[row] = np.bincount(self.of[at], self.weights[at] * np.repeat(weights[rare], n), minlength=len(self.dense))
-        left = np.arange(len(self.dense)) < self.n
-        left = left & (np.arange(len(self.dense)) != np.array(without)[:, None])
-        sums[~left] = -1
-        k = min(k, len(self.dense))
-        least = np.partition(sums, -k, axis=1)[:, -k]  # the k-th best cosine is not under it
-        blocks = sums.reshape(len(vectors), -1, BLOCK)
-        reach = blocks.max(axis=2) + often @ self.largest.T >= np.maximum(least, 0)[:, None] - 1e-9
-        for b in np.nonzero(reach.any(axis=0))[0].tolist():
-            rows = np.nonzero(reach[:, b])[0]
-            blocks[rows, b] += often[rows] @ self.dense[b * BLOCK:(b + 1) * BLOCK].T
-        least = np.partition(sums, -k, axis=1)[:, -k]
-        out = []
-        for score, low, own in zip(sums, least, left):
-            found = np.nonzero((score >= low - 1e-9) & (score > 0) & own)[0]
-            top = found[np.lexsort((found, -np.round(score[found], 12)))[:k]]
-            out.append((top, score[top]))
+        all_sums, rare = self._common(vectors)
+        k, out = min(k, len(self.example)), []
+        for sums, (terms, weights) in zip(all_sums, rare):
+            sums[self.n:] = -1
+            reach = sums.reshape(self.n_blocks, self.block).max(axis=1)
+            reach += weights @ self.largest[terms] + 1e-9
+            done = np.zeros(self.n_blocks, bool)
+            todo = np.zeros(self.n_blocks, bool)
+            todo[np.argsort(-reach, kind="stable")[:FIRST_BLOCKS]] = True
+            while todo.any():
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], todo, [False]]).astype(np.int8)))
+                for first, end in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                    self._add(sums, terms, weights, first, end)
+                done |= todo
+                seen = sums.reshape(self.n_blocks, self.block)[done].ravel()
+                # the k-th best of the blocks added up; a block under it holds no neighbour
+                least = np.partition(seen, -k)[-k] if len(seen) >= k else -1.0
+                todo = ~done & (reach >= max(least, 0) - 1e-9)
+            sums = np.where(np.repeat(done, self.block), sums, -1)
+            found = np.flatnonzero((sums >= np.partition(sums, -k)[-k] - 1e-9) & (sums > 1e-12) & (self.example >= 0))
+            top = found[np.lexsort((self.example[found], -np.round(sums[found], 12)))[:k]]
+            out.append((self.example[top], sums[top]))
         return out
 
 
@@ -186,43 +279,62 @@ def label_weights(counts: tuple[np.ndarray, np.ndarray, np.ndarray], labels: np.
 
 
 class Model:
-    """Examples, index and calibration."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, ids: list, labels: np.ndarray, shares: np.ndarray,
-                 counts: tuple[np.ndarray, np.ndarray, np.ndarray], base_rate: float, neighbours: int):
-        self.terms, self.ids, self.labels = terms, ids, labels.astype(np.float64)
-        self.idf = idf * label_weights(counts, labels, len(terms))
-        self.weights = 1 / shares
-        self.weights /= max(self.weights.mean(), 1e-12) if len(ids) else 1
-        self.base_rate, self.k = base_rate, neighbours
-        vectors = unit_vectors(counts, len(ids), self.idf)
-        self.index = Index(vectors, max(1, len(terms)))
-        raw = np.array([self._vote(*near) for at in range(0, len(ids), TEXTS) for near in self.index.nearest_of_each(
-            vectors[at:at + TEXTS], self.k, list(range(at, min(at + TEXTS, len(ids)))))])
-        self.steps, self.values = monotone_fit(raw, self.labels, self.weights) if len(ids) else (
-            np.array([0.0]), np.array([base_rate]))
-
-    def _vote(self, near: np.ndarray, cosines: np.ndarray) -> float:
-        w = self.weights[near] * cosines
-        return float(((w * self.labels[near]).sum() + 0.1 * self.base_rate) / (w.sum() + 0.1))
-
-    def score(self, counts: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """(score, nearest examples, their cosines) of each of ``n`` texts."""
+    """Examples, index and calibration. The index is built where it is used."""
+
+    def __init__(self, terms: list[str], idf: np.ndarray, ids: list, labels: np.ndarray, weights: np.ndarray,
+                 counts: tuple[np.ndarray, np.ndarray, np.ndarray], base_rate: float, neighbours: int, copy_cosine: float):
+        self.version = uuid.uuid4().hex
+        self.terms, self.ids, self.labels, self.idf = terms, ids, labels.astype(np.float64), idf
+        self.weights = weights / max(weights.mean(), 1e-12) if len(ids) else weights
+        self.base_rate, self.k, self.counts = base_rate, neighbours, counts
+        self.steps, self.values = np.array([0.0]), np.array([base_rate])
+        self.telling = label_weights(counts, labels, len(terms))
+        if ids:
+            raw = []
+            self.prepare()
+            for at in range(0, len(ids), TEXTS):
+                some = self.vectors[at:at + TEXTS]
+                cosines = np.round(self.index.cosines(some), 12)
+                cosines[np.arange(len(cosines)), np.arange(at, at + len(cosines))] = -1
+                cosines[cosines >= copy_cosine] = -1  # an example's own copies are no evidence for it
+                for vector, own in zip(some, cosines):
+                    near = np.lexsort((np.arange(len(own)), -own))[:neighbours]
+                    raw.append(self._vote(vector, near[own[near] > 1e-12]))
+            self.steps, self.values = monotone_fit(np.array(raw), self.labels, self.weights)
+            del self.index, self.vocabulary, self.vectors, self.query, self.ends, self.row_terms, self.row_weights
+
+    def prepare(self) -> Model:
+        """Index, vocabulary and tables of the examples, which do not travel."""
+        self.vectors = unit_vectors(self.counts, len(self.ids), self.idf)
+        self.index = Index(self.vectors, max(1, len(self.terms)))
+        self.vocabulary = Vocabulary(self.terms)
+        self.query = np.zeros(len(self.terms) + 1)
+        self.ends = np.cumsum([0, *(len(t) for t, _ in self.vectors)])
+        self.row_terms = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for t, _ in self.vectors)])
+        self.row_weights = np.concatenate([np.zeros(0), *(w for _, w in self.vectors)])
+        return self
+
+    def _vote(self, vector: tuple[np.ndarray, np.ndarray], near: np.ndarray) -> float:
+        """Share of label 1 among the votes of the examples ``near``."""
+        terms, weights = vector
+        self.query[terms] = weights * self.telling[terms]
+        lo, n = self.ends[near], self.ends[near + 1] - self.ends[near]
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = self.row_weights[at] * self.query[self.row_terms[at]]
+        self.query[terms] = 0
+        w = self.weights[near] * np.bincount(np.repeat(np.arange(len(near)), n), shared, minlength=len(near))
+        return round(float(((w * self.labels[near]).sum() + 0.1 * self.base_rate) / (w.sum() + 0.1)), 12)
+
+    def score(self, texts: list[str]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(score, nearest examples, their cosines) of each text."""
         out = []
-        for near, cosines in self.index.nearest_of_each(unit_vectors(counts, n, self.idf), self.k, [-1] * n):
-            step = max(0, int(np.searchsorted(self.steps, self._vote(near, cosines) + 1e-12, side="right")) - 1)
+        vectors = unit_vectors(self.vocabulary.counts(texts), len(texts), self.idf)
+        for vector, (near, cosines) in zip(vectors, self.index.nearest_of_each(vectors, self.k)):
+            step = max(0, int(np.searchsorted(self.steps, self._vote(vector, near), side="right")) - 1)
             out.append((float(min(1.0, max(0.0, self.values[step]))), near, cosines))
         return out
 
 
-def _least_shingle(text: Column) -> Column:
-    """Smallest hash of the three-word shingles of a text."""
-    words = F.array(F.split(F.lower(text), r"[^\p{L}]+"))  # bound once by the outer lambda, not split per place
-    return F.get(F.transform(words, lambda w: F.array_min(F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))),
-        lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))), F.lit(0))
-
-
 def stratum_shares(sizes: list[int], total: int, places: float) -> list[float]:
     """Share of each stratum to draw: half of the ``places`` in proportion to
     the ``total`` rows, half level, strata that are too small giving theirs to others."""
@@ -237,59 +349,93 @@ def stratum_shares(sizes: list[int], total: int, places: float) -> list[float]:
     return [min(1.0, places / 2 / total + level / n) for n in sizes]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        examples: int = 4000, neighbours: int = 25, stratum_col: str = "lang", strata: int = 1000) -> Model:
-    """Model from the labelled rows whose crc32(id as text) leaves no 2 by 4.
-
-    About ``examples`` documents are drawn, half of either label as far as
-    there are, by a hash of the id. Half of a label's places go to its strata
-    (values of ``stratum_col``, if ``docs`` has it; the ``strata`` largest) in
-    proportion, half evenly, so the wording of a rare language is present; votes
-    weigh by the inverse share. Rows without a label, null ids and labels other
-    than 0 and 1 teach nothing; an id with both labels counts as 1."""
-    own = id_and_text(docs, id_col, text_col)
+def _drawn(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, examples: int, strata: int) -> tuple:
+    """(doc_id, y, share) of the sample, and the number of labelled rows of either label."""
     known = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
              .where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
              .where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
              .groupBy("doc_id").agg(F.max("y").alias("y")))
-    stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col in docs.columns else F.lit("")
-    known = (known.join(docs.select(F.col(id_col).alias("doc_id"), stratum.alias("stratum")), "doc_id")
-             .groupBy("doc_id").agg(F.max("y").alias("y"), F.min("stratum").alias("stratum")))
+
+    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(profile, batch.column("text").to_pylist()), pa.string())],
+                                             names=["doc_id", "stratum"])
+
+    kinds = docs.where(F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2)).mapInArrow(
+        profiles, T.StructType([docs.schema["doc_id"], T.StructField("stratum", T.StringType())]))
+    known = stored(known.join(kinds, "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("stratum").alias("stratum")))
     sizes = known.groupBy("y", "stratum").agg(F.count("*").alias("n"))
     total = {r.y: r.n for r in sizes.groupBy("y").agg(F.sum("n").alias("n")).collect()}
-    n0, n1 = total.get(0, 0), total.get(1, 0)
     largest = sizes.orderBy(F.desc("n"), "y", "stratum").limit(2 * strata).collect()
-    shares = []
-    for y, n in ((0, n0), (1, n1)):
-        own_y = [r for r in largest if r.y == y]
-        shares += [(y, r.stratum, s) for r, s in zip(own_y, stratum_shares([r.n for r in own_y], n, examples / 2))]
-    plain = F.when(F.col("y") == 1, min(1.0, examples / 2 / max(1, n1))).otherwise(min(1.0, examples / 2 / max(1, n0)))
+    shares, plain = [], []
+    for y in (0, 1):
+        own, n = [r for r in largest if r.y == y], total.get(y, 0)
+        shares += [(y, r.stratum, s) for r, s in zip(own, stratum_shares([r.n for r in own], n, examples / 2))]
+        plain.append(min(1.0, examples / 2 / max(1, n)))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    chosen = (known.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "y int, stratum string, share double")),
-                         ["y", "stratum"], "left").withColumn("share", F.coalesce("share", plain))
-              .where(place < F.col("share") * (1 << 30)).select("doc_id", "y", "share"))
-    # about ``examples`` rows of an id and a label; of near copies (same least
-    # shingle) one row is an example, or the words of one text would look typical
-    first = Window.partitionBy("y", "sketch").orderBy("doc_id", F.xxhash64("text"))
-    drawn = (own.join(F.broadcast(chosen), "doc_id").withColumn("sketch", _least_shingle(F.col("text")))
-             .withColumn("place", F.row_number().over(first)).where("place = 1").drop("sketch", "place"))
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [" ".join(LETTERS.findall(t.lower())) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("share"), pa.array(texts)],
-                                             names=["doc_id", "y", "share", "text"])
+    drawn = (known.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "y int, stratum string, share double")),
+                        ["y", "stratum"], "left")
+             .withColumn("share", F.coalesce("share", F.when(F.col("y") == 1, plain[1]).otherwise(plain[0])))
+             .where(place < F.col("share") * (1 << 30)).select("doc_id", "y", "share"))
+    return drawn, total.get(0, 0), total.get(1, 0)
 
-    kept = drawn.mapInArrow(words, T.StructType([own.schema["doc_id"], *T.StructType.fromDDL(
-        "y int, share double, text string").fields])).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    names = sorted({t for text in kept["text"] for w in text.as_py().split() for t in terms_of(w)})
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+        examples: int = 4000, neighbours: int = 80, min_examples: int = 2, strata: int = 1000,
+        copy_cosine: float = 0.95) -> Model:
+    """Model from the labelled rows whose crc32(id as text) leaves no 2 by 4.
+
+    About ``examples`` documents are drawn, half of either label as far as
+    there are, by a hash of the id. Half of a label's places go to its strata
+    (the ``strata`` largest, by ``profile`` of the text) in proportion, half
+    evenly, so the wording of a rare kind of text is present; votes weigh by
+    the inverse share. Rows without a label, null ids and labels other than 0
+    and 1 teach nothing; an id with both labels counts as 1; equal texts of one
+    label are one example with the sum of their weights."""
+    own = id_and_text(docs, id_col, text_col)
+    chosen, n0, n1 = _drawn(own, labels, id_col, label_col, examples, strata)
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column("text").to_pylist():
+                count: Counter = Counter()
+                for word, n in Counter(words_of(text)).items():
+                    for t in terms_of(word):
+                        count[as_term(t)] += n
+                found.append(list(count.items()))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "y", "share", "digest")),
+                 pa.array(found, pa.map_(pa.string(), pa.int64()))], names=["doc_id", "y", "share", "digest", "terms"])
+
+    # about ``examples`` rows of an id, a label and a share
+    drawn = own.join(F.broadcast(chosen), "doc_id").withColumn("digest", F.sha2("text", 256))
+    drawn = stored(drawn.select("doc_id", "y", "share", "digest", "text").mapInArrow(terms, T.StructType([
+        own.schema["doc_id"], *T.StructType.fromDDL("y int, share double, digest string, terms map<string, bigint>").fields])))
+    kept = (drawn.groupBy("digest", "y").agg(F.min("doc_id").alias("doc_id"), F.sum(1 / F.col("share")).alias("weight"))
+            .toArrow().sort_by([("doc_id", "ascending"), ("digest", "ascending"), ("y", "ascending")]))
+    single = drawn.select("digest", "y", "terms").dropDuplicates(["digest", "y"])
+    held = single.select("digest", "y", F.explode("terms").alias("term", "times"))
+    often = held.groupBy("term").count().where(F.col("count") >= min_examples).select("term")
+    held = held.join(often, "term").toArrow()
+    spelled = held["term"].combine_chunks().dictionary_encode()
+    names = spelled.dictionary.to_pylist()
+    rank = np.argsort(np.argsort(np.array(names, object), kind="stable"), kind="stable") if names else np.zeros(0, np.int64)
+    names = sorted(names)
+    row = {k: i for i, k in enumerate(zip(kept["digest"].to_pylist(), kept["y"].to_pylist()))}
+    at = np.array([row[k] for k in zip(held["digest"].to_pylist(), held["y"].to_pylist())], np.int64)
+    term, times = rank[spelled.indices.to_numpy()].astype(np.int64), held["times"].to_numpy().astype(np.int64)
+    order = np.lexsort((term, at))
+    # bounded by the examples
+    shared, version = docs.sparkSession.sparkContext.broadcast(pickle.dumps(names)), uuid.uuid4().hex
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, df = Vocabulary(names), np.zeros(len(names) + 1, np.int64)
+        vocabulary = latest_per_worker("toxic words", version, lambda: Vocabulary(pickle.loads(shared.value)))
+        df = np.zeros(vocabulary.size + 1, np.int64)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for at in range(0, len(texts), TEXTS):
-                df[:-1] += np.bincount(vocabulary.counts(texts[at:at + TEXTS])[1], minlength=len(names))
+                df[:-1] += np.bincount(vocabulary.counts(texts[at:at + TEXTS])[1], minlength=vocabulary.size)[:vocabulary.size]
             df[-1] += len(texts)
         met = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(df[met])], names=["t", "df"])
@@ -299,10 +445,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     df = np.zeros(len(names) + 1)
     df[met["t"].to_numpy()] = met["df"].to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-
-    counts = Vocabulary(names).counts([text.as_py() for text in kept["text"]])
-    return Model(names, idf, kept["doc_id"].to_pylist(), kept["y"].to_numpy().astype(np.int64), kept["share"].to_numpy(), counts,
-                 n1 / max(1, n0 + n1), neighbours)
+    return Model(names, idf, kept["doc_id"].to_pylist(), kept["y"].to_numpy().astype(np.int64), kept["weight"].to_numpy(),
+                 (at[order], term[order], times[order]), n1 / max(1, n0 + n1), neighbours, copy_cosine)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3,
@@ -310,7 +454,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """All rows and columns of ``docs`` with tox_score (0 to 1), tox_label (1 if
     tox_score >= threshold) and tox_evidence (the nearest examples: id, cosine,
     label). Null and empty texts have no term and get the calibrated score of
-    examples without one."""
+    examples without one. Input columns of these three names are replaced."""
     kind = docs.schema[id_col].dataType
     own = docs.drop("tox_score", "tox_label", "tox_evidence")
     fields = T.StructType([*own.schema.fields, T.StructField("tox_score", T.DoubleType()),
@@ -318,19 +462,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                            T.StructField("tox_evidence", T.ArrayType(T.StructType([
                                T.StructField("id", kind), T.StructField("cosine", T.DoubleType()),
                                T.StructField("label", T.IntegerType())])))])
-    # bounded by the examples and their words; as bytes, since broadcasts are pickled by reference
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+    # bounded by the examples and their terms; as bytes, since broadcasts are pickled by reference
+    shared, version = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model)), model.version
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pickle.loads(shared.value)
-        vocabulary = Vocabulary(own.terms)
+        own = latest_per_worker("toxicity", version, lambda: pickle.loads(shared.value).prepare())
         for batch in batches:
             for part in byte_slices(batch, text_col, batch_bytes):
                 scores, proof = [], []
                 texts = [text or "" for text in part.column(text_col).to_pylist()]
                 for at in range(0, len(texts), TEXTS):
-                    some = texts[at:at + TEXTS]
-                    for s, near, cosines in own.score(vocabulary.counts(some), len(some)):
+                    for s, near, cosines in own.score(texts[at:at + TEXTS]):
                         scores.append(s)
                         proof.append([{"id": own.ids[i], "cosine": float(c), "label": int(own.labels[i])}
                                       for i, c in zip(near[:evidence].tolist(), cosines[:evidence].tolist())])
