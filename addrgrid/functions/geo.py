@@ -206,6 +206,29 @@ def area(geom: str = "geom") -> Column:
     return F.expr(f"aggregate({geom}, 0D, (acc, p) -> acc + {_part_area_sql('p')})")
 
 
+def _ring_moments_sql(ring: str, sign: str) -> str:
+    """Area and first moments of a ring about its first vertex, whatever its
+    orientation, times ``sign``; the vertex is added back with the area."""
+    e = (f"transform({_edges_sql(ring)}, e -> named_struct("
+         f"'c', (e.ax - {ring}[0].x) * (e.by - {ring}[0].y) - (e.bx - {ring}[0].x) * (e.ay - {ring}[0].y), "
+         f"'x', e.ax + e.bx - 2D * {ring}[0].x, 'y', e.ay + e.by - 2D * {ring}[0].y))")
+    return (f"aggregate({e}, named_struct('a', 0D, 'x', 0D, 'y', 0D), "
+            f"(acc, e) -> named_struct('a', acc.a + e.c / 2D, 'x', acc.x + e.c * e.x / 6D, 'y', acc.y + e.c * e.y / 6D), "
+            f"acc -> named_struct('a', {sign} * abs(acc.a), 'x', {sign} * (sign(acc.a) * acc.x + abs(acc.a) * {ring}[0].x), "
+            f"'y', {sign} * (sign(acc.a) * acc.y + abs(acc.a) * {ring}[0].y)))")
+
+
+def centroid(geom: str = "geom") -> Column:
+    """I16: ST_Centroid -- centre of area of all parts, holes taken out;
+    ``struct<x,y>``, null for a geometry without area."""
+    rings = (f"flatten(transform({geom}, p -> transform(p, (r, i) -> if(i = 0, {_ring_moments_sql('r', '1D')}, "
+             f"{_ring_moments_sql('r', '-1D')}))))")
+    total = (f"aggregate({rings}, named_struct('a', 0D, 'x', 0D, 'y', 0D), (acc, m) -> "
+             f"named_struct('a', acc.a + m.a, 'x', acc.x + m.x, 'y', acc.y + m.y), "
+             f"acc -> if(acc.a > 0D, named_struct('x', acc.x / acc.a, 'y', acc.y / acc.a), null))")
+    return F.expr(total)
+
+
 def largest_part(geom: str = "geom") -> Column:
     """ST_Dump + keep the part of largest area (ties: first part)."""
     return F.expr(

@@ -168,26 +168,33 @@ def format_id(prefix: str, width: int, n) -> Column:
     return F.format_string(f"{prefix}%0{width}d", _c(n).cast("int"))
 
 
-def expand_abbreviations(c, abbreviations: DataFrame, categories=("prefix", "location"),
-                         max_entries: int = 10000) -> Column:
-    """H4: word-bounded, case-sensitive replacement, longest short form first.
+# H4: word-bounded, case-sensitive replacement, longest short form first, each
+# entry once and in this order, so a later entry also sees what earlier ones wrote.
+ABBREVIATION_CATEGORIES = ("prefix", "location")
 
-    The dictionary is a small reference table; it is read once (size checked)
-    and folded into one chain of ``regexp_replace`` column expressions.
-    """
-    d = (abbreviations.where(F.col("category").isin(*categories))
-         .select("short_form", "long_form"))
-    rows = d.limit(max_entries + 1).collect()
-    if len(rows) > max_entries:
-        raise ValueError("abbreviation dictionary larger than %d entries" % max_entries)
-    rows = sorted(rows, key=lambda r: (-len(r.short_form), r.short_form))
-    out = _c(c)
-    for r in rows:
-        pat = r"\b" + _re_escape(r.short_form) + r"\b"
-        out = F.regexp_replace(out, pat, r.long_form.replace("\\", "\\\\").replace("$", "\\$"))
-    return out
+
+def abbreviation_entries(abbreviations: DataFrame, categories=ABBREVIATION_CATEGORIES) -> DataFrame:
+    """Distinct entries as a struct ``e`` that sorts in order of application,
+    with the pattern and replacement ready, and ``short``, ``long``."""
+    short, long = F.col("short_form"), F.col("long_form")
+    quoted = F.concat(F.lit(r"\b\Q"), F.replace(short, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
+    plain = F.replace(F.replace(long, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    return (abbreviations.where(F.col("category").isin(*categories) & (F.length(short) > 0) & long.isNotNull())
+            .select(F.struct((-F.length(short)).alias("order"), short.alias("short"), quoted.alias("pattern"),
+                             plain.alias("by")).alias("e"), short.alias("short"), long.alias("long")).distinct())
 
 
-def _re_escape(s: str) -> str:
-    import re
-    return re.escape(s)
+def apply_entries(c, entries: Column) -> Column:
+    """Apply a sorted array of entries one after the other."""
+    return F.aggregate(entries, _c(c), lambda acc, e: F.regexp_replace(acc, e["pattern"], e["by"]))
+
+
+def expand_abbreviations(c, abbreviations: DataFrame, categories=ABBREVIATION_CATEGORIES) -> Column:
+    """H4 as a column for a handful of entries, read once and tried on every
+    row. ``operators.abbreviations.with_expanded`` does the same by joins, for
+    a dictionary of any size; the queries use that."""
+    rows = sorted(r.e for r in abbreviation_entries(abbreviations, categories).collect())
+    out = _c(c)
+    for e in rows:
+        out = F.regexp_replace(out, F.lit(e.pattern), F.lit(e.by))
+    return out

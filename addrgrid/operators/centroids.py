@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
+from .abbreviations import with_expanded
 
 # Legacy districts searched under the metropolitan name, and
 # that name.
@@ -57,14 +58,16 @@ def query_variants(s: DataFrame) -> DataFrame:
 
 
 def fill_centroids(suburbs: DataFrame, districts: DataFrame, regions: DataFrame, addresses: DataFrame,
-                   abbreviations: DataFrame, gazetteer: DataFrame) -> DataFrame:
+                   abbreviations: DataFrame, gazetteer: DataFrame, polygon: bool = False) -> DataFrame:
     """Per suburb without a centroid: (suburb_id, source, query_text,
-    centroid_x, centroid_y) in NZTM; source is null when nothing was found."""
+    centroid_x, centroid_y) in NZTM; source is null when nothing was found.
+    With ``polygon``, the centre of the suburb's own area (I16) is the last
+    resort (source ``polygon``)."""
     todo = suburbs.where(F.col("centroid").isNull()) if "centroid" in suburbs.columns else suburbs
     s = (todo.select("suburb_id", "name", "district_id")
          .join(districts.select("district_id", F.col("name").alias("district_name"), "region_id"), "district_id")
          .join(regions.select("region_id", F.col("name").alias("region_name")), "region_id", "left"))
-    s = s.withColumn("expanded", text.expand_abbreviations("name", abbreviations))
+    s = with_expanded(s, "name", abbreviations)
     by_name = (addresses.where(F.col("gx").isNotNull() & F.col("gy").isNotNull())
                .groupBy(text.norm_key("suburb_locality").alias("k"))
                .agg(F.min_by("gx", "address_id").alias("ax"), F.min_by("gy", "address_id").alias("ay")))
@@ -81,7 +84,10 @@ def fill_centroids(suburbs: DataFrame, districts: DataFrame, regions: DataFrame,
                        F.col("h.p.lon").alias("g_lon"))
     hits = geo.with_nztm(hits, "g_lon", "g_lat", "x3", "y3")
     out = s.join(hits, "suburb_id", "left")
+    own = todo.select("suburb_id", geo.centroid("geom").alias("p")) if polygon else None
+    out = (out.join(own.select("suburb_id", F.col("p.x").alias("x4"), F.col("p.y").alias("y4")), "suburb_id", "left")
+           if polygon else out.withColumn("x4", F.lit(None).cast("double")).withColumn("y4", F.lit(None).cast("double")))
     source = (F.when(F.col("x1").isNotNull(), "address").when(F.col("x2").isNotNull(), "address_expanded")
-              .when(F.col("x3").isNotNull(), "gazetteer"))
+              .when(F.col("x3").isNotNull(), "gazetteer").when(F.col("x4").isNotNull(), "polygon"))
     return out.select("suburb_id", source.alias("source"), F.col("g_query").alias("query_text"),
-                      F.coalesce("x1", "x2", "x3").alias("centroid_x"), F.coalesce("y1", "y2", "y3").alias("centroid_y"))
+                      F.coalesce("x1", "x2", "x3", "x4").alias("centroid_x"), F.coalesce("y1", "y2", "y3", "y4").alias("centroid_y"))

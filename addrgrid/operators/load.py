@@ -117,6 +117,41 @@ def load_districts_by_point(stage: DataFrame, regions: DataFrame, id_col: str =
                     "name", "geom"))
 
 
+def _first_per_id(stage: DataFrame, key: str) -> DataFrame:
+    """ON CONFLICT DO NOTHING within a feed: of rows with one id, the one with
+    the smallest name stays; rows without id or geometry are not loaded."""
+    first = (stage.where(F.col(key).isNotNull() & F.col("geom").isNotNull())
+             .withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(F.col("name").asc_nulls_last()))))
+    return first.where("_rn = 1").drop("_rn")
+
+
+def load_districts_by_overlap(stage: DataFrame, regions: DataFrame, id_col: str = "id", name_col: str = "name") -> DataFrame:
+    """J3 mode 'overlap': districts(district_id, region_id, name, geom), the
+    region being the one that shares the largest area (C8); null if a district
+    meets none. The whole geometry is kept and compared."""
+    s = stage.select(F.substring(F.col(id_col).cast("string"), 1, 10).alias("district_id"),
+                     F.substring(F.col(name_col), 1, 200).alias("name"), "geom")
+    s = cut_lineage(_first_per_id(s, "district_id"))
+    parent = parent_by_overlap(s, regions.where(F.col("geom").isNotNull()), "district_id", "region_id")
+    return s.join(parent.select("district_id", "region_id"), "district_id", "left").select(
+        "district_id", "region_id", "name", "geom")
+
+
+def load_suburbs_by_overlap(stage: DataFrame, districts: DataFrame, id_col: str = "id", name_col: str = "name",
+                            ascii_col: str = "name_ascii", major_col: str = "major_name") -> DataFrame:
+    """J4 mode 'overlap': suburbs(suburb_id, district_id, name, name_ascii,
+    major_name, geom) with the district that shares the largest area, null if
+    there is none. ``name_ascii`` is the feed's or else the transliterated name (H3)."""
+    s = stage.select(F.substring(F.col(id_col).cast("string"), 1, 50).alias("suburb_id"),
+                     F.substring(F.col(name_col), 1, 200).alias("name"),
+                     F.substring(F.coalesce(ascii_col, text.to_ascii(name_col)), 1, 200).alias("name_ascii"),
+                     F.substring(F.col(major_col), 1, 200).alias("major_name"), "geom")
+    s = cut_lineage(_first_per_id(s, "suburb_id"))
+    parent = parent_by_overlap(s, districts.where(F.col("geom").isNotNull()), "suburb_id", "district_id")
+    return s.join(parent.select("suburb_id", "district_id"), "suburb_id", "left").select(
+        "suburb_id", "district_id", "name", "name_ascii", "major_name", "geom")
+
+
 def parent_by_overlap(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str,
                       cell: float | None = None, strips_per_cell: int = 16) -> DataFrame:
     """Parent with the largest overlap area (ties: smallest parent key);

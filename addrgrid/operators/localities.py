@@ -46,3 +46,19 @@ def hierarchy_from_documents(docs: DataFrame, region_map: DataFrame, doc_col: st
                        F.col("s.Name").alias("name"), F.lit(True).alias("is_major_suburb"),
                        F.lit("high").alias("population_category"))
     return districts, suburbs, unknown
+
+
+def hierarchy_report(docs: DataFrame, region_map: DataFrame, doc_col: str = "doc") -> DataFrame:
+    """One row per region name of the documents, known or not, in one pass
+    over them: region_name, region_id (null: absent from the mapping, nothing
+    of it is loaded), the documents' districts and suburbs below it."""
+    r = docs.select(F.explode_outer(doc_col).alias("region")).where(
+        F.col("region").isNotNull() & (F.col("region.Name") != AGGREGATE_NAME))
+    districts = F.coalesce("region.Districts", F.array().cast(r.schema["region"].dataType["Districts"].dataType))
+    counted = r.select(F.col("region.Name").alias("region_name"), F.size(districts).alias("districts"),
+                       F.aggregate(districts, F.lit(0), lambda n, d: n + F.coalesce(F.size(d["Suburbs"]), F.lit(0)) * (
+                           d["Suburbs"].isNotNull().cast("int"))).alias("suburbs"))
+    total = counted.groupBy("region_name").agg(F.sum("districts").alias("districts"), F.sum("suburbs").alias("suburbs"))
+    m = region_map.select(F.col("name").alias("region_name"), "region_id")
+    return total.join(m, "region_name", "left").select("region_name", "region_id", "districts", "suburbs",
+                                                       F.col("region_id").isNotNull().alias("known"))

@@ -144,3 +144,19 @@ def addresses_per_suburb(resolved: DataFrame, suburbs: DataFrame, k: int = 10) -
         F.count(F.lit(1)).alias("address_count"))
     return (cnt.join(suburbs.select("suburb_id", F.col("name").alias("suburb_name")), "suburb_id")
             .orderBy(F.desc("address_count"), "suburb_id").limit(k))
+
+
+def locality_samples(listings: DataFrame, suburbs: DataFrame, k: int = 30) -> DataFrame:
+    """The first ``k`` names by the alphabet that only the
+    listings have, that only the reference has, and that both have: (section,
+    ord, name). Names are compared as in ``compare_localities``; the samples
+    are the report's own, and each is a top-k by partial sorts."""
+    lk = listings.select(text.norm_key(text.initcap_key("suburb")).alias("k")).where("k is not null").distinct()
+    sk = suburbs.select(text.norm_key("name").alias("k")).where("k is not null").distinct()
+    sides = (lk.select("k", F.lit(1).alias("l"), F.lit(0).alias("s")).union(sk.select("k", F.lit(0), F.lit(1)))
+             .groupBy("k").agg(F.max("l").alias("l"), F.max("s").alias("s")))
+    section = (F.when((F.col("l") == 1) & (F.col("s") == 1), "in both").when(F.col("l") == 1, "only in listings")
+               .otherwise("only in reference"))
+    ranked = sides.select(section.alias("section"), F.col("k").alias("name")).withColumn(
+        "ord", F.row_number().over(Window.partitionBy("section").orderBy("name")))
+    return ranked.where(F.col("ord") <= k).select("section", "ord", "name")

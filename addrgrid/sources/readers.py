@@ -21,12 +21,15 @@ def read_address_feed(spark: SparkSession, path: str, multi_line: bool = False)
 GEOMETRY_CANDIDATES = ("Shape", "shape", "WKT", "wkt", "geometry")
 
 
-def read_boundaries(spark: SparkSession, path: str, schema=None) -> DataFrame:
+def read_boundaries(spark: SparkSession, path: str, schema=None, multi_line: bool = False) -> DataFrame:
     """A2: boundary CSV with a WKT column under one of several names.
 
     Adds ``geom`` (parsed once at load) and ``geom_type`` (for assertions).
+    Files are split among tasks; ``multi_line`` as in ``read_address_feed``.
+    A malformed row aborts.
     """
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    r = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+         .option("mode", "FAILFAST").option("maxCharsPerColumn", -1))
     df = (r.schema(schema) if schema is not None else r).csv(path)
     cands = [c for c in GEOMETRY_CANDIDATES if c in df.columns]
     if not cands:
@@ -43,13 +46,14 @@ def read_locality_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
-    """Listing CSV (region, district, suburb) with a header."""
-    return spark.read.schema(schemas.LISTINGS).option("header", True).csv(path)
+    """Listing CSV (region, district, suburb) with a header; a malformed row aborts."""
+    return (spark.read.schema(schemas.LISTINGS).option("header", True).option("escape", '"').option("mode", "FAILFAST")
+            .csv(path))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A5: CSV sink with header row and quoting."""
-    df.write.mode(mode).option("header", True).option("quoteAll", False).csv(path)
+    df.write.mode(mode).option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by=None) -> None:
