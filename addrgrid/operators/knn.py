@@ -1,23 +1,24 @@
 """Exact nearest neighbour for a whole table of requests.
 
-A quadtree descent written as a fixed number of DataFrame joins (no loop
-over rows, no cross join):
-
-* points are bucketed into fine cells; one representative point per
-  non-empty cell is kept at every level (cells of level k+1 group
-  ``fanout x fanout`` cells of level k);
-* each request starts with the non-empty cells of the coarsest level and
-  walks down: at every level it expands its candidate cells into their
-  children, takes the distance to the nearest child representative as an
-  upper bound (a representative is a real point) and drops every child whose
-  rectangle is farther than that bound;
-* at the finest level the surviving cells are joined to their points and
-  the minimum ``(distance, point key)`` wins (ties -> smallest key).
+A tree that follows the density of the points, descended by a fixed number of
+joins (no loop over rows, no cross join):
+
+* cells are split into ``fanout x fanout`` children until each holds at most
+  ``leaf_points`` points (or the finest level is reached), so a dense town is
+  divided further than empty land and no cell gathers many points; each node
+  keeps its count and one representative point;
+* each request starts with the occupied cells of the coarsest level and walks
+  down: a cell that is split is replaced by its occupied children (joined by
+  their parent), a leaf stays. The distance to the nearest representative is an
+  upper bound (a representative is a real point), and every cell whose
+  rectangle is farther than that bound is dropped;
+* the surviving leaves are joined to their points and the minimum
+  ``(distance, point key)`` wins (ties -> smallest key).
 
 A cell holding the true nearest point is never dropped, so the result is
-exact. The bound is at most d* + one cell diagonal at each level, so a
-request only keeps the cells around it; the work per request does not grow
-with the table.
+exact. The bound is at most d* + one cell diagonal at each level, so a request
+only keeps the cells around it; the work per request does not grow with the
+table.
 """
 
 from __future__ import annotations
@@ -48,13 +49,36 @@ def _extent(points: DataFrame, px, py):
     return a.x0, a.y0, max(a.x1 - a.x0, a.y1 - a.y0, 1e-6) * 1.000001
 
 
+def density_tree(points: DataFrame, ox: float, oy: float, top: float, levels: int, fanout: int,
+                 leaf_points: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, placed points) of points (_pid, _px, _py) with distinct coordinates.
+
+    nodes: lvl, cx, cy, pcx, pcy (the parent's cell), leaf, n and the
+    representative. placed: the points with the lvl, cx, cy of their leaf."""
+    f, size = F.lit(fanout), top / float(fanout) ** levels
+    own = points.select("_pid", "_px", "_py", F.floor((F.col("_px") - ox) / size).alias("fx"),
+                        F.floor((F.col("_py") - oy) / size).alias("fy"),
+                        F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("lvl"))
+    div = F.pow(f, F.col("lvl")).cast("long")
+    own = own.select("_pid", "_px", "_py", "lvl", F.floor(F.col("fx") / div).alias("cx"), F.floor(F.col("fy") / div).alias("cy"))
+    # min_by on primitives keeps the aggregate hash based with map-side partial aggregation
+    cells = cut_lineage(own.groupBy("lvl", "cx", "cy").agg(
+        F.count("*").alias("n"), F.min("_pid").alias("_pid"), F.min_by("_px", "_pid").alias("_px"), F.min_by("_py", "_pid").alias("_py"))
+        .withColumn("pcx", F.floor(F.col("cx") / f)).withColumn("pcy", F.floor(F.col("cy") / f)))
+    split = cells.where(F.col("n") > leaf_points).select((F.col("lvl") - 1).alias("lvl"), F.col("cx").alias("pcx"), F.col("cy").alias("pcy"))
+    nodes = cells.join(split, ["lvl", "pcx", "pcy"], "left_semi").unionByName(cells.where(F.col("lvl") == levels - 1))
+    nodes = cut_lineage(nodes.withColumn("leaf", (F.col("n") <= leaf_points) | (F.col("lvl") == 0)))
+    return nodes, own.join(nodes.where("leaf").select("lvl", "cx", "cy"), ["lvl", "cx", "cy"])
+
+
 def nearest_points(requests: DataFrame, points: DataFrame, req_key: str, pt_key: str,
                    qx: str = "qx", qy: str = "qy", px: str = "x", py: str = "y",
-                   levels: int = 4, fanout: int = 8, dedupe_coordinates: bool = True) -> DataFrame:
+                   levels: int = 6, fanout: int = 8, dedupe_coordinates: bool = True, leaf_points: int = 64) -> DataFrame:
     """For each request, the nearest point: (req_key, pt_key, distance).
 
     Requests without finite coordinates or with an empty point table get no
     row (left-join the result to keep them); they do not touch the others.
+    Points of one coordinate count once, for their smallest key.
     """
     P = points.where(_on_grid(px, py)).select(
         F.col(pt_key).alias("_pid"), F.col(px).cast("double").alias("_px"), F.col(py).cast("double").alias("_py"))
@@ -62,60 +86,37 @@ def nearest_points(requests: DataFrame, points: DataFrame, req_key: str, pt_key:
         # identical coordinates: only the smallest key can win
         P = P.groupBy("_px", "_py").agg(F.min("_pid").alias("_pid"))
     P = cut_lineage(P)
-    R = requests.where(_on_grid(qx, qy)).select(
-        F.col(req_key).alias("_rid"), F.col(qx).cast("double").alias("_qx"), F.col(qy).cast("double").alias("_qy"))
+    # stored before the filter, which would repeat the whole projection of the coordinates in its code
+    R = cut_lineage(requests.select(F.col(req_key).alias("_rid"), F.col(qx).cast("double").alias("_qx"),
+                                    F.col(qy).cast("double").alias("_qy"))).where(_on_grid("_qx", "_qy"))
     ox, oy, top = _extent(P, "_px", "_py")
-    size = {k: top / float(fanout) ** (levels - k) for k in range(levels + 1)}
-    f = F.lit(fanout)
-
-    P0 = P.select("_pid", "_px", "_py",
-                  F.floor((F.col("_px") - ox) / size[0]).alias("cx"),
-                  F.floor((F.col("_py") - oy) / size[0]).alias("cy"))
-    # one representative per non-empty cell and level (the point with the
-    # smallest key), all levels in one aggregation; min_by on primitives keeps
-    # it hash based with map-side partial aggregation.
-    lv = P0.select("_pid", "_px", "_py", "cx", "cy",
-                   F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("lvl"))
-    div = F.pow(f, F.col("lvl")).cast("long")
-    lv = lv.select("_pid", "_px", "_py", "lvl", F.floor(F.col("cx") / div).alias("cx"),
-                   F.floor(F.col("cy") / div).alias("cy"))
-    cells = cut_lineage(lv.groupBy("lvl", "cx", "cy").agg(
-        F.min("_pid").alias("_pid"), F.min_by("_px", "_pid").alias("_px"), F.min_by("_py", "_pid").alias("_py")))
-    C = {k: cells.where(F.col("lvl") == k).drop("lvl") for k in range(levels)}
-
-    def children(cand: DataFrame, k: int) -> DataFrame:
-        """Expand candidates of level k+1 into non-empty cells of level k."""
-        offs = F.explode(F.sequence(F.lit(0), F.lit(fanout * fanout - 1)))
-        kids = cand.select("_rid", "_qx", "_qy", offs.alias("_o"), F.col("cx").alias("_pcx"),
-                           F.col("cy").alias("_pcy"))
-        kids = kids.select("_rid", "_qx", "_qy",
-                           (F.col("_pcx") * f + F.col("_o") % f).alias("cx"),
-                           (F.col("_pcy") * f + F.floor(F.col("_o") / f)).alias("cy"))
-        return _score(kids.join(C[k], ["cx", "cy"]), k)
-
-    def _score(df: DataFrame, k: int) -> DataFrame:
-        s = size[k]
-        x0 = F.lit(ox) + F.col("cx") * s
-        y0 = F.lit(oy) + F.col("cy") * s
+    nodes, placed = density_tree(P, ox, oy, top, levels, fanout, leaf_points)
+    deepest = nodes.agg(F.min("lvl")).first()[0]
+
+    def scored(df: DataFrame) -> DataFrame:
+        """Least distance to the cell (less what rounding may take), distance to its representative, pruned."""
+        s = F.lit(top) / F.pow(F.lit(float(fanout)), F.lit(levels) - F.col("lvl"))
+        x0, y0 = F.lit(ox) + F.col("cx") * s, F.lit(oy) + F.col("cy") * s
         dx = F.greatest(x0 - F.col("_qx"), F.lit(0.0), F.col("_qx") - (x0 + s))
         dy = F.greatest(y0 - F.col("_qy"), F.lit(0.0), F.col("_qy") - (y0 + s))
-        return df.select("_rid", "_qx", "_qy", "cx", "cy",
-                         F.hypot(dx, dy).alias("_mind"),
-                         F.hypot(F.col("_px") - F.col("_qx"), F.col("_py") - F.col("_qy")).alias("_repd"))
-
-    def prune(df: DataFrame) -> DataFrame:
-        ub = F.min("_repd").over(Window.partitionBy("_rid"))
-        return df.withColumn("_ub", ub).where(F.col("_mind") <= F.col("_ub")).select("_rid", "_qx", "_qy", "cx", "cy")
+        df = df.select("_rid", "_qx", "_qy", "lvl", "cx", "cy", "leaf", (F.hypot(dx, dy) - F.lit(top * 1e-12)).alias("_mind"),
+                       F.hypot(F.col("_px") - F.col("_qx"), F.col("_py") - F.col("_qy")).alias("_repd"), "_px", "_py")
+        df = df.withColumn("_ub", F.min("_repd").over(Window.partitionBy("_rid")))
+        return df.where(F.col("_mind") <= F.col("_ub")).select("_rid", "_qx", "_qy", "lvl", "cx", "cy", "leaf", "_px", "_py")
 
     # coarsest level: at most fanout^2 cells cover the whole extent
-    start = levels - 1
     offs = F.explode(F.sequence(F.lit(0), F.lit(fanout * fanout - 1)))
-    cand = R.select("_rid", "_qx", "_qy", offs.alias("_o")).select(
-        "_rid", "_qx", "_qy", (F.col("_o") % f).alias("cx"), F.floor(F.col("_o") / f).alias("cy"))
-    cand = prune(_score(cand.join(C[start], ["cx", "cy"]), start))
-    for k in range(start - 1, -1, -1):
-        cand = prune(children(cand, k))
-    hits = cand.join(P0, ["cx", "cy"]).select(
+    start = R.select("_rid", "_qx", "_qy", offs.alias("_o")).select(
+        "_rid", "_qx", "_qy", (F.col("_o") % F.lit(fanout)).alias("cx"), F.floor(F.col("_o") / F.lit(fanout)).alias("cy"))
+    cand = scored(start.join(nodes.where(F.col("lvl") == levels - 1).select("lvl", "cx", "cy", "leaf", "_px", "_py"), ["cx", "cy"]))
+    for k in range(levels - 2, (levels if deepest is None else deepest) - 1, -1):
+        kids = nodes.where(F.col("lvl") == k).select(
+            F.col("pcx").alias("k_px"), F.col("pcy").alias("k_py"), *[F.col(c).alias(f"k_{c}") for c in ("lvl", "cx", "cy", "leaf")],
+            F.col("_px").alias("k_x"), F.col("_py").alias("k_y"))
+        both = cand.join(kids, ~F.col("leaf") & (F.col("cx") == F.col("k_px")) & (F.col("cy") == F.col("k_py")), "left")
+        cand = scored(both.select("_rid", "_qx", "_qy", *[F.coalesce(f"k_{c}", c).alias(c) for c in ("lvl", "cx", "cy", "leaf")],
+                                  F.coalesce("k_x", "_px").alias("_px"), F.coalesce("k_y", "_py").alias("_py")))
+    hits = cand.select("_rid", "_qx", "_qy", "lvl", "cx", "cy").join(placed, ["lvl", "cx", "cy"]).select(
         "_rid", F.struct(F.hypot(F.col("_px") - F.col("_qx"), F.col("_py") - F.col("_qy")).alias("d"),
                          F.col("_pid").alias("p")).alias("_h"))
     best = hits.groupBy("_rid").agg(F.min("_h").alias("_b"))
