@@ -55,7 +55,9 @@ def _joined(spans: str):
 def op8_secret_scan(spark, d):
     found = secret_scan.scan(table(spark, d, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined("base_spans"), 256).alias("base_sha256"),
-                        _joined("spans").alias("spans"), "n_guess")
+                        _joined("spans").alias("spans"), "n_guess",
+                        F.array_join(F.transform("spans", lambda s: F.format_string("%.1f", s["cost"])), ",").alias("guess_costs"),
+                        F.array_join(F.transform("spans", lambda s: s["segments"]), ",").alias("segments"))
 
 
 def op9_exact_dedup(spark, d):
