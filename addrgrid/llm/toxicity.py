@@ -29,6 +29,7 @@ from __future__ import annotations
 import pickle
 import re
 import uuid
+import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -107,7 +108,9 @@ class Vocabulary:
         self.terms, self.ends = array("i"), array("i", [0])  # of all words of the table, one after the other
 
     def _new(self, word: bytes) -> int:
-        self.terms.extend([self.number[t] for t in terms_of(word) if t in self.number])
+        # who holds a word or a longer beginning holds its first beginning too
+        if len(word) <= BEGINNINGS[0] or word[:1] == b"\0" or word[:BEGINNINGS[0]] + b"-" in self.number:
+            self.terms.extend([self.number[t] for t in terms_of(word) if t in self.number])
         self.ends.append(len(self.terms))
         return self.words.setdefault(word, len(self.words))
 
@@ -192,7 +195,7 @@ class Index:
         self.dense = np.zeros((len(self.example), len(often)))
         self.dense[:self.n] = table[order]
         rare = ~dense
-        cell = terms[rare] * len(self.example) + self.place[of[rare]]
+        cell = terms[rare].astype(np.int64) * len(self.example) + self.place[of[rare]]
         by = np.argsort(cell)
         self.posting, self.weight = (cell[by] % len(self.example)).astype(np.int32), weights[rare][by]
         self.begin = np.searchsorted(cell[by], np.arange(n_terms * self.n_blocks + 1) * block).astype(np.int32)
@@ -201,24 +204,29 @@ class Index:
         np.maximum.at(self.largest, cell[by] // block, np.nextafter(self.weight.astype(np.float32), np.float32(2)))
         self.largest = self.largest.reshape(n_terms, self.n_blocks)
 
-    def _add(self, sums: np.ndarray, terms: np.ndarray, weights: np.ndarray, first: int, end: int) -> None:
-        """Add the postings of the blocks from ``first`` to ``end``."""
+    def _add(self, sums: list[np.ndarray], terms: np.ndarray, weights: list[np.ndarray], first: int, end: int) -> None:
+        """Add the postings of the blocks from ``first`` to ``end``, once for
+        each of some weightings of the terms."""
         lo = self.begin[terms * self.n_blocks + first].astype(np.int64)
         n = self.begin[terms * self.n_blocks + end] - lo
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         base, stop = first * self.block, end * self.block
-        sums[base:stop] += np.bincount(self.posting[at] - base, self.weight[at] * np.repeat(weights, n), minlength=stop - base)
-
-    def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Cosine of each vector with each example, all blocks added up."""
-        sums, rare = self._common(vectors)
+        place, own = self.posting[at] - base, self.weight[at]
+        for total, w in zip(sums, weights):
+            total[base:stop] += np.bincount(place, own * np.repeat(w, n), minlength=stop - base)
+
+    def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]], telling: np.ndarray | None = None) -> np.ndarray:
+        """Cosine of each vector with each example, all blocks added up (with
+        ``telling``, a shared term counts as many times)."""
+        sums, rare = self._common(vectors, telling)
         for row, (terms, weights) in zip(sums, rare):
-            self._add(row, terms, weights, 0, self.n_blocks)
+            self._add([row], terms, [weights], 0, self.n_blocks)
         return sums[:, self.place]
 
-    def _common(self, vectors: list) -> tuple[np.ndarray, list]:
+    def _common(self, vectors: list, telling: np.ndarray | None = None) -> tuple[np.ndarray, list]:
         often, rare = np.zeros((len(vectors), self.dense.shape[1])), []
         for row, (terms, weights) in zip(often, vectors):
+            weights = weights if telling is None else weights * telling[terms]
             column = self.column[terms]
             dense = column >= 0
             row[column[dense]] = weights[dense]
@@ -228,13 +236,16 @@ class Index:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine over 0, nearest
         first, equal ones in order of number."""
-        return self.nearest_of_each([(terms, weights)], k)[0]
+        return self.nearest_of_each([(terms, weights)], k, np.ones(self.n_terms))[0][:2]
 
-    def nearest_of_each(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``nearest`` of each vector."""
+    def nearest_of_each(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int,
+                        telling: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``nearest`` of each vector, with the cosines in which a shared term
+        counts ``telling`` times."""
         all_sums, rare = self._common(vectors)
+        all_told, rare_told = self._common(vectors, telling)
         k, out = min(k, len(self.example)), []
-        for sums, (terms, weights) in zip(all_sums, rare):
+        for sums, told, (terms, weights), (_, told_weights) in zip(all_sums, all_told, rare, rare_told):
             sums[self.n:] = -1
             reach = sums.reshape(self.n_blocks, self.block).max(axis=1)
             reach += weights @ self.largest[terms] + 1e-9
@@ -244,7 +255,7 @@ class Index:
             while todo.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], todo, [False]]).astype(np.int8)))
                 for first, end in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    self._add(sums, terms, weights, first, end)
+                    self._add([sums, told], terms, [weights, told_weights], first, end)
                 done |= todo
                 seen = sums.reshape(self.n_blocks, self.block)[done].ravel()
                 # the k-th best of the blocks added up; a block under it holds no neighbour
@@ -253,7 +264,7 @@ class Index:
             sums = np.where(np.repeat(done, self.block), sums, -1)
             found = np.flatnonzero((sums >= np.partition(sums, -k)[-k] - 1e-9) & (sums > 1e-12) & (self.example >= 0))
             top = found[np.lexsort((self.example[found], -np.round(sums[found], 12)))[:k]]
-            out.append((self.example[top], sums[top]))
+            out.append((self.example[top], sums[top], told[top]))
         return out
 
 
@@ -286,51 +297,46 @@ class Model:
         self.version = uuid.uuid4().hex
         self.terms, self.ids, self.labels, self.idf = terms, ids, labels.astype(np.float64), idf
         self.weights = weights / max(weights.mean(), 1e-12) if len(ids) else weights
-        self.base_rate, self.k, self.counts = base_rate, neighbours, counts
+        self.base_rate, self.k = base_rate, neighbours
+        # the rows in order: their lengths, terms and times
+        self.rows = np.bincount(counts[0], minlength=len(ids)), counts[1].astype(np.int32), counts[2].astype(np.int32)
         self.steps, self.values = np.array([0.0]), np.array([base_rate])
-        self.telling = label_weights(counts, labels, len(terms))
+        self.telling = label_weights(counts, labels, max(1, len(terms)))
         if ids:
             raw = []
+            vectors = unit_vectors(counts, len(ids), idf)
             self.prepare()
             for at in range(0, len(ids), TEXTS):
-                some = self.vectors[at:at + TEXTS]
-                cosines = np.round(self.index.cosines(some), 12)
+                some = vectors[at:at + TEXTS]
+                cosines, told = np.round(self.index.cosines(some), 12), self.index.cosines(some, self.telling)
                 cosines[np.arange(len(cosines)), np.arange(at, at + len(cosines))] = -1
                 cosines[cosines >= copy_cosine] = -1  # an example's own copies are no evidence for it
-                for vector, own in zip(some, cosines):
+                for own, votes in zip(cosines, told):
                     near = np.lexsort((np.arange(len(own)), -own))[:neighbours]
-                    raw.append(self._vote(vector, near[own[near] > 1e-12]))
+                    near = near[own[near] > 1e-12]
+                    raw.append(self._vote(near, votes[near]))
             self.steps, self.values = monotone_fit(np.array(raw), self.labels, self.weights)
-            del self.index, self.vocabulary, self.vectors, self.query, self.ends, self.row_terms, self.row_weights
+            del self.index, self.vocabulary
 
     def prepare(self) -> Model:
-        """Index, vocabulary and tables of the examples, which do not travel."""
-        self.vectors = unit_vectors(self.counts, len(self.ids), self.idf)
-        self.index = Index(self.vectors, max(1, len(self.terms)))
+        """Index and vocabulary, which do not travel."""
+        lengths, terms, times = self.rows
+        vectors = unit_vectors((np.repeat(np.arange(len(self.ids)), lengths), terms, times), len(self.ids), self.idf)
+        self.index = Index(vectors, max(1, len(self.terms)))
         self.vocabulary = Vocabulary(self.terms)
-        self.query = np.zeros(len(self.terms) + 1)
-        self.ends = np.cumsum([0, *(len(t) for t, _ in self.vectors)])
-        self.row_terms = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for t, _ in self.vectors)])
-        self.row_weights = np.concatenate([np.zeros(0), *(w for _, w in self.vectors)])
         return self
 
-    def _vote(self, vector: tuple[np.ndarray, np.ndarray], near: np.ndarray) -> float:
+    def _vote(self, near: np.ndarray, told: np.ndarray) -> float:
         """Share of label 1 among the votes of the examples ``near``."""
-        terms, weights = vector
-        self.query[terms] = weights * self.telling[terms]
-        lo, n = self.ends[near], self.ends[near + 1] - self.ends[near]
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        shared = self.row_weights[at] * self.query[self.row_terms[at]]
-        self.query[terms] = 0
-        w = self.weights[near] * np.bincount(np.repeat(np.arange(len(near)), n), shared, minlength=len(near))
-        return round(float(((w * self.labels[near]).sum() + 0.1 * self.base_rate) / (w.sum() + 0.1)), 12)
+        w = self.weights[near] * told
+        return round(float(((w * self.labels[near]).sum() + 0.1 * self.base_rate) / (w.sum() + 0.1)), 9)
 
     def score(self, texts: list[str]) -> list[tuple[float, np.ndarray, np.ndarray]]:
         """(score, nearest examples, their cosines) of each text."""
         out = []
         vectors = unit_vectors(self.vocabulary.counts(texts), len(texts), self.idf)
-        for vector, (near, cosines) in zip(vectors, self.index.nearest_of_each(vectors, self.k)):
-            step = max(0, int(np.searchsorted(self.steps, self._vote(vector, near), side="right")) - 1)
+        for near, cosines, told in self.index.nearest_of_each(vectors, self.k, self.telling):
+            step = max(0, int(np.searchsorted(self.steps, self._vote(near, told), side="right")) - 1)
             out.append((float(min(1.0, max(0.0, self.values[step]))), near, cosines))
         return out
 
@@ -381,7 +387,7 @@ def _drawn(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, exam
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        examples: int = 4000, neighbours: int = 80, min_examples: int = 2, strata: int = 1000,
+        examples: int = 3000, neighbours: int = 80, min_examples: int = 2, strata: int = 1000,
         copy_cosine: float = 0.95) -> Model:
     """Model from the labelled rows whose crc32(id as text) leaves no 2 by 4.
 
@@ -415,20 +421,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kept = (drawn.groupBy("digest", "y").agg(F.min("doc_id").alias("doc_id"), F.sum(1 / F.col("share")).alias("weight"))
             .toArrow().sort_by([("doc_id", "ascending"), ("digest", "ascending"), ("y", "ascending")]))
     single = drawn.select("digest", "y", "terms").dropDuplicates(["digest", "y"])
-    held = single.select("digest", "y", F.explode("terms").alias("term", "times"))
-    often = held.groupBy("term").count().where(F.col("count") >= min_examples).select("term")
-    held = held.join(often, "term").toArrow()
-    spelled = held["term"].combine_chunks().dictionary_encode()
-    names = spelled.dictionary.to_pylist()
-    rank = np.argsort(np.argsort(np.array(names, object), kind="stable"), kind="stable") if names else np.zeros(0, np.int64)
-    names = sorted(names)
-    row = {k: i for i, k in enumerate(zip(kept["digest"].to_pylist(), kept["y"].to_pylist()))}
-    at = np.array([row[k] for k in zip(held["digest"].to_pylist(), held["y"].to_pylist())], np.int64)
-    term, times = rank[spelled.indices.to_numpy()].astype(np.int64), held["times"].to_numpy().astype(np.int64)
-    order = np.lexsort((term, at))
+    names = (single.select(F.explode(F.map_keys("terms")).alias("term")).groupBy("term").count()
+             .where(F.col("count") >= min_examples).select("term").toArrow()["term"])
+    names = sorted(names.to_pylist())
     # bounded by the examples
     shared, version = docs.sparkSession.sparkContext.broadcast(pickle.dumps(names)), uuid.uuid4().hex
 
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {t: k for k, t in enumerate(pickle.loads(shared.value))}
+        for batch in batches:
+            own = [sorted((number[t], n) for t, n in row if t in number) for row in batch.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("digest"), batch.column("y"),
+                 *(pa.array([[x[k] for x in row] for row in own], pa.list_(pa.int32())) for k in (0, 1))],
+                names=["digest", "y", "term", "times"])
+
+    held = single.mapInArrow(numbered, "digest string, y int, term array<int>, times array<int>").toArrow()
+    row = {k: i for i, k in enumerate(zip(held["digest"].to_pylist(), held["y"].to_pylist()))}
+    held = held.take(pa.array([row[k] for k in zip(kept["digest"].to_pylist(), kept["y"].to_pylist())], pa.int64())).combine_chunks()
+    term, times = (held[c].combine_chunks().flatten().to_numpy() if held.num_rows else np.zeros(0, np.int32) for c in ("term", "times"))
+    at = np.repeat(np.arange(held.num_rows, dtype=np.int32), [len(x) for x in held["term"]])
+
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = latest_per_worker("toxic words", version, lambda: Vocabulary(pickle.loads(shared.value)))
         df = np.zeros(vocabulary.size + 1, np.int64)
@@ -446,7 +459,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     df[met["t"].to_numpy()] = met["df"].to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     return Model(names, idf, kept["doc_id"].to_pylist(), kept["y"].to_numpy().astype(np.int64), kept["weight"].to_numpy(),
-                 (at[order], term[order], times[order]), n1 / max(1, n0 + n1), neighbours, copy_cosine)
+                 (at, term, times), n1 / max(1, n0 + n1), neighbours, copy_cosine)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3,
@@ -463,10 +476,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                                T.StructField("id", kind), T.StructField("cosine", T.DoubleType()),
                                T.StructField("label", T.IntegerType())])))])
     # bounded by the examples and their terms; as bytes, since broadcasts are pickled by reference
-    shared, version = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model)), model.version
+    shared, version = docs.sparkSession.sparkContext.broadcast(
+        zlib.compress(cloudpickle.dumps(model), 1)), model.version
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = latest_per_worker("toxicity", version, lambda: pickle.loads(shared.value).prepare())
+        own = latest_per_worker("toxicity", version, lambda: pickle.loads(zlib.decompress(shared.value)).prepare())
         for batch in batches:
             for part in byte_slices(batch, text_col, batch_bytes):
                 scores, proof = [], []
