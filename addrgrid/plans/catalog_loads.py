@@ -5,16 +5,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..operators import load, localities, quality, reports
+from ..operators import hierarchy, load, localities, quality, reports
 from ..operators.abbreviations import with_expanded
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources import readers, schemas, versions
 from ..sources.tables import table
+from . import catalog
+from .oracle import ORACLE as VIEWS
 from .oracle import with_fx
 
 # ---------------------------------------------------------------------------
@@ -235,7 +237,41 @@ def locality_samples(spark, d):
     return reports.locality_samples(listed, fx.suburbs(spark, d).select("name"))
 
 
+# ---------------------------------------------------------------------------
+# request-shaped browse calls: the children of many requested parents, each
+# row with its place in the answer to its parent
+# ---------------------------------------------------------------------------
+def _placed_rows(df: DataFrame, parent: list[str], order: list[str]) -> DataFrame:
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*parent).orderBy(*order)))
+
+
+def browse_regions_call(spark, d):
+    """J7 regions(): by name."""
+    return _placed_rows(hierarchy.browse_regions(catalog.regions_browse(spark, d)).withColumn("_all", F.lit(1)), ["_all"],
+                        ["name", "region_id"]).drop("_all")
+
+
+def browse_districts_call(spark, d):
+    """J7 districts(region): by display name, for every second region."""
+    asked = fx.regions(spark, d).where("region_id % 2 = 1").select("region_id")
+    return _placed_rows(hierarchy.browse_districts(catalog.districts_browse(spark, d), asked), ["region_id"], ["name", "district_id"])
+
+
+def browse_suburbs_call(spark, d):
+    """J7 suburbs(district): by priority and name, for every fifth district."""
+    asked = fx.districts(spark, d).where("district_id % 5 = 2").select("district_id")
+    rows = hierarchy.browse_suburbs(catalog.suburbs_browse(spark, d), asked)
+    return _placed_rows(rows, ["district_id"], ["sort_priority", "name", "suburb_id"]).drop("name_ascii")
+
+
+def browse_streets_call(spark, d):
+    """J7 streets(suburb): by name, for every third suburb."""
+    asked = fx.suburbs(spark, d).where("suburb_id % 3 = 1").select("suburb_id")
+    return _placed_rows(hierarchy.browse_streets(catalog.streets_by_suburb(spark, d), asked), ["suburb_id"], ["street_name"])
+
+
 QUERIES = {f.__name__: f for f in (
+    browse_regions_call, browse_districts_call, browse_suburbs_call, browse_streets_call,
     load_suburbs_overlap, load_districts_overlap, polygon_centroid, abbreviation_expansion, scan_address_feed, scan_boundaries,
     scan_locality_json, scan_listings, extract_hierarchy_report, safe_repopulate, update_centroids, constraint_violations,
     geometry_quarantine, locality_samples)}
@@ -348,3 +384,18 @@ select case when l.k is not null and s.k is not null then 'in both' when l.k is
   coalesce(l.k, s.k) as name from (select distinct case when s_suppkey % 3 = 0 then 'listed ' || s_suppkey
   else 'locality ' || ((s_suppkey * 7) % 97) end k from supplier) l full join (select distinct lower(trim(name)) k from fx_suburb) s on l.k = s.k)) where ord <= 30"""),
 }
+ORACLE |= {
+    "browse_regions_call": f"""
+select region_id, name, district_count, row_number() over (order by name, region_id) place from ({VIEWS["regions_browse"]}) v""",
+    "browse_districts_call": f"""
+select district_id, region_id, display_name as name, suburb_count,
+  row_number() over (partition by region_id order by display_name, district_id) place
+from ({VIEWS["districts_browse"]}) v where cast(region_id as bigint) % 2 = 1""",
+    "browse_suburbs_call": f"""
+select suburb_id, district_id, name, name major_name, street_count, is_major_suburb, population_category, sort_priority,
+  row_number() over (partition by district_id order by sort_priority, name, suburb_id) place
+from ({VIEWS["suburbs_browse"]}) v where cast(district_id as bigint) % 5 = 2""",
+    "browse_streets_call": f"""
+select suburb_id, street_name, row_number() over (partition by suburb_id order by street_name) place
+from ({VIEWS["streets_by_suburb"]}) v where cast(suburb_id as bigint) % 3 = 1""",
+}
