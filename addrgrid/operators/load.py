@@ -44,12 +44,16 @@ def stage_to_addresses(stage: DataFrame) -> DataFrame:
 
 def assert_unique(df: DataFrame, key: str, what: str = "key") -> DataFrame:
     """C11 guard: a key twice in one batch fails the job (as the database
-    does for an upsert touching a row twice). Lazy: raises when evaluated."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    check = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"duplicate {what} in batch: "),
-                                                           F.col(key).cast("string")))).otherwise(F.lit(True))
+    does for an upsert touching a row twice). Lazy: raises when evaluated.
+
+    Only the keys are shuffled, to be counted; one offending key is enough to
+    fail, so what the rows are compared with has one row at most."""
+    twice = df.groupBy(F.col(key).alias("_twice")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1)
+    check = F.when(F.col("_n").isNotNull(), F.raise_error(F.concat(
+        F.lit(f"duplicate {what} in batch: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))).otherwise(F.lit(True))
     # a filter (not a projection) so the optimizer cannot prune the check away
-    return df.withColumn("_n", n).where(check).drop("_n")
+    return (df.join(F.broadcast(twice), F.col(key).eqNullSafe(F.col("_twice")), "left").where(check)
+            .drop("_twice", "_n"))
 
 
 def upsert(existing: DataFrame | None, incoming: DataFrame, key: str, check_unique: bool = True) -> DataFrame:

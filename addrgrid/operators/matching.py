@@ -143,14 +143,23 @@ def salted_join(small: DataFrame, big: DataFrame, key, big_id: str, salts: int =
 
 
 def _ranked(df: DataFrame, key: str, grams_col: str, freq: DataFrame) -> DataFrame:
-    """Grams of each set with df and 1-based position in the global
-    (frequency, gram) order, plus the set size."""
+    """Grams of each set with df, their place ``ord`` in the global order
+    (frequency, then a checksum, so that it fits a number; equal ones by the
+    gram itself), their 1-based position in the set, and the set size."""
     e = df.select(key, F.size(grams_col).alias("_n"), F.explode(grams_col).alias("gram"))
     e = e.join(freq, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    w = Window.partitionBy(key).orderBy("df", "gram")
+    e = e.withColumn("ord", F.shiftleft(F.col("df").cast("long"), 24) + F.shiftright(F.crc32("gram"), 8))
+    w = Window.partitionBy(key).orderBy("ord", "gram")
     return e.withColumn("_pos", F.row_number().over(w))
 
 
+def _prefix(ranked: DataFrame, key: str, t) -> DataFrame:
+    """Prefix of each ranked set at threshold t (grams that occur at all), each
+    row with ``last``, the place of the prefix's last gram."""
+    p = ranked.where(F.col("_pos") <= prefix_len(F.col("_n"), t))
+    return p.withColumn("last", F.max("ord").over(Window.partitionBy(key))).where("df > 0")
+
+
 def similarity_join(requests: DataFrame, addresses: DataFrame, req_key: str = "rid",
                     req_text: str = "norm", threshold: float = 0.6,
                     levels: tuple[float, ...] = (0.9, 0.75)) -> DataFrame:
@@ -162,27 +171,30 @@ def similarity_join(requests: DataFrame, addresses: DataFrame, req_key: str = "r
     ``threshold``). At level t only the requests still unresolved take part:
     prefix filter (request prefix of |x| - ceil(t|x|) + 1 grams in the global
     (frequency, gram) order; address prefix at the base threshold, computed
-    once), length filter t|x| <= |y| <= |x|/t and positional filter (the first
-    shared prefix gram at positions i, j caps the overlap at
-    min(|x|-i, |y|-j) + 1, which must reach t/(1+t)*(|x|+|y|)). A request with
+    once), length filter t|x| <= |y| <= |x|/t and overlap filter: of the two
+    prefixes the one that ends first in the global order was compared in full,
+    so the overlap is at most the shared prefix grams plus what that set has
+    beyond its prefix, and must reach t/(1+t)*(|x|+|y|). A request with
     a verified pair >= t is resolved: every better pair was a candidate. High
     levels use tiny prefixes of rare grams, so hot grams are join keys only
-    for the few requests whose best match is weak. Gram joins are salted.
+    for the few requests whose best match is weak. Gram joins are salted, and
+    no level runs for nobody.
 
     Output: (req_key, address_id, sim float).
     """
     eps = 1e-6
-    R = requests.select(F.col(req_key).alias("_rid"), trigram.trigrams(req_text).alias("g"))
-    R = cut_lineage(R.where(F.size("g") > 0))
+    R = requests.select(F.col(req_key).alias("_key"), trigram.trigrams(req_text).alias("g"))
+    # numbers, stored here, so that pairs are narrow
+    R = cut_lineage(R.where(F.size("g") > 0).withColumn("_rid", F.monotonically_increasing_id()))
+    names, R = R.select("_rid", "_key"), R.drop("_key")
     # gram sets are read several times (index, prefixes, verification)
     A = cut_lineage(addresses.where(F.col("full_address_ascii").isNotNull())
                     .select("address_id", trigram.trigrams("full_address_ascii").alias("g")).where(F.size("g") > 0))
     freq = (A.select(F.explode("g").alias("gram")).groupBy("gram")
             .agg(F.count(F.lit(1)).alias("df")))  # bounded by the alphabet
     rr = cut_lineage(_ranked(R, "_rid", "g", freq))
-    ap = cut_lineage(_ranked(A, "address_id", "g", freq)
-                     .where((F.col("df") > 0) & (F.col("_pos") <= prefix_len(F.col("_n"), threshold - eps)))
-                     .select("address_id", "gram", F.col("_pos").alias("j"), F.col("_n").alias("na")))
+    ap = cut_lineage(_prefix(_ranked(A, "address_id", "g", freq), "address_id", threshold - eps)
+                     .select("address_id", "gram", F.col("_n").alias("na"), F.col("last").alias("a_last")))
 
     def verify_pairs(pairs: DataFrame) -> DataFrame:
         c = pairs.join(R.withColumnRenamed("g", "rg"), "_rid").join(A.withColumnRenamed("g", "ag"), "address_id")
@@ -193,14 +205,19 @@ def similarity_join(requests: DataFrame, addresses: DataFrame, req_key: str = "r
     todo = rr
     found = None
     for lvl in [*[x for x in levels if x > threshold], threshold]:
+        if found is not None and todo.isEmpty():
+            break
         t = lvl - eps
-        rp = (todo.where((F.col("df") > 0) & (F.col("_pos") <= prefix_len(F.col("_n"), t)))
-              .select("_rid", "gram", F.col("_pos").alias("i"), F.col("_n").alias("nr")))
+        rp = _prefix(todo, "_rid", t).select("_rid", "gram", F.col("_n").alias("nr"), F.col("last").alias("r_last"))
         nr, na = F.col("nr"), F.col("na")
+        r_rest, a_rest = nr - prefix_len(nr, t), na - prefix_len(na, threshold - eps)
+        rest = (F.when(F.col("r_last") < F.col("a_last"), r_rest).when(F.col("r_last") > F.col("a_last"), a_rest)
+                .otherwise(F.greatest(r_rest, a_rest)))
+        need = F.ceil(F.lit(t / (1.0 + t)) * (nr + na))  # shared prefix grams asked for: need - rest
         cand = (salted_join(rp, ap, "gram", "address_id", salts=SALTS).where((na >= F.lit(t) * nr) & (na * F.lit(t) <= nr))
-                .groupBy("_rid", "address_id", "nr", "na").agg(F.min("i").alias("i"), F.min("j").alias("j")))
-        need = F.ceil(F.lit(t / (1.0 + t)) * (nr + na))
-        cand = cand.where(F.least(nr - F.col("i"), na - F.col("j")) + 1 >= need).select("_rid", "address_id")
+                .select("_rid", "address_id", (need - rest).alias("least"))
+                .groupBy("_rid", "address_id", "least").agg(F.count(F.lit(1)).alias("shared")))
+        cand = cand.where("shared >= least").select("_rid", "address_id")
         hits = cut_lineage(verify_pairs(cand).where(F.col("sim").cast("double") >= F.lit(t)))
         found = hits if found is None else found.unionByName(hits)
         if lvl > threshold:
@@ -208,4 +225,4 @@ def similarity_join(requests: DataFrame, addresses: DataFrame, req_key: str = "r
     c = found.where(trigram.above_threshold("sim", threshold))
     best = c.groupBy("_rid").agg(F.max("sim").alias("sim"))
     win = c.join(best, ["_rid", "sim"]).groupBy("_rid", "sim").agg(F.min("address_id").alias("address_id"))
-    return win.select(F.col("_rid").alias(req_key), "address_id", "sim")
+    return win.join(names, "_rid").select(F.col("_key").alias(req_key), "address_id", "sim")

@@ -37,16 +37,16 @@ select cast(n_nationkey as varchar) district_id, v.seq,
        4750000.0e0+290000.0e0*(floor(n_nationkey/5)+v.oy) y
 from nation cross join (values (0,0,0),(1,1,0),(2,1,1),(3,0,1)) v(seq,ox,oy)"""
 FX["fx_suburb"] = f"""
-select cast(k as varchar) suburb_id, cast(nk as varchar) district_id, nk, gx, gy,
+select cast(k as varchar) suburb_id, cast(nk as varchar) district_id, nk, k % grid gx, k // grid gy, grid,
        case when k % 4 = 3 then ({_sql_list(SUBURB_NAMES)})[cast(floor(k/4) as bigint) % 6 + 1]
             else 'Locality ' || cast(k % 97 as varchar) end name,
        case when k % 5 = 0 then 'Northport' when k % 5 = 1 then '' end major_name
-from (select min(s_suppkey) k, s_nationkey nk, s_suppkey%10 gx, cast(floor(s_suppkey/10) as bigint)%10 gy
-      from supplier group by s_nationkey, s_suppkey%10, cast(floor(s_suppkey/10) as bigint)%10)"""
+from (select s_suppkey k, s_nationkey nk, greatest(10, cast(floor(sqrt(max(s_suppkey) over ())) as bigint) + 1) grid
+      from supplier)"""
 FX["fx_suburb_vertex"] = """
 select suburb_id, v.seq,
-       1100000.0e0+200000.0e0*(nk%5)+20000.0e0*(gx+v.ox/100.0e0) x,
-       4750000.0e0+290000.0e0*floor(nk/5)+29000.0e0*(gy+v.oy/100.0e0) y
+       1100000.0e0+200000.0e0*(nk%5)+200000.0e0/grid*(gx+v.ox/100.0e0) x,
+       4750000.0e0+290000.0e0*floor(nk/5)+290000.0e0/grid*(gy+v.oy/100.0e0) y
 from fx_suburb cross join
  (values (0,5,50),(1,30,5),(2,75,10),(3,95,55),(4,60,95),(5,45,60),(6,15,90)) v(seq,ox,oy)"""
 FX["fx_point"] = """
@@ -556,8 +556,7 @@ ORACLE["entity_report"] = with_fx([], """
 select 'Regions' entity, count(*) count, string_agg(r_name, ', ' order by r_name) filter (where regexp_matches(r_name, '^[A-Z]')) sample_names from region
 union all select 'Districts', count(*), null from nation
 union all select 'District Aliases', count(*), null from aliases
-union all select 'Suburbs', (select count(*) from (select 1 from supplier group by s_nationkey, s_suppkey%10,
-  cast(floor(s_suppkey/10) as bigint)%10)), null""", [ALIASES])
+union all select 'Suburbs', (select count(*) from supplier), null""", [ALIASES])
 
 ORACLE["coverage_summary"] = with_fx(["fx_address", "addr"] + RESOLVE_DEPS, """
 select (select count(*) from fx_address) feed_rows, (select count(*) from addr) loaded,

@@ -9,6 +9,8 @@ grows with the scale factor. Vertex offsets are generated per row with
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,27 +54,34 @@ def district_vertices(spark: SparkSession, d: str) -> DataFrame:
                     (F.lit(4750000.0) + F.lit(290000.0) * (F.floor(k / 5) + F.col("v.oy"))).alias("y"))
 
 
+def suburb_grid(spark: SparkSession, d: str) -> int:
+    """Cells on a side of a district: the smallest square that gives every
+    supplier key a cell of its own, 10 at least."""
+    top = table(spark, d, "supplier").agg(F.max("s_suppkey")).first()[0] or 0
+    return max(10, math.isqrt(top) + 1)
+
+
 def suburb_cells(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier")
-    gx = F.col("s_suppkey") % 10
-    gy = F.floor(F.col("s_suppkey") / 10).cast("long") % 10
-    g = (s.groupBy(F.col("s_nationkey").alias("nk"), gx.alias("gx"), gy.alias("gy"))
-         .agg(F.min("s_suppkey").alias("k")))
+    """One suburb per supplier, in the cell of its key within its nation."""
+    n = suburb_grid(spark, d)
+    k = F.col("s_suppkey")
+    g = table(spark, d, "supplier").select(k.alias("k"), F.col("s_nationkey").alias("nk"), (k % n).alias("gx"),
+                                           F.floor(k / n).cast("long").alias("gy"), F.lit(n).alias("grid"))
     k = F.col("k")
     name = F.when(k % 4 == 3, _pick(SUBURB_NAMES, F.floor(k / 4) % 6)).otherwise(
         F.concat(F.lit("Locality "), (k % 97).cast("string")))
     major = F.when(k % 5 == 0, F.lit("Northport")).when(k % 5 == 1, F.lit(""))
     return g.select(k.cast("string").alias("suburb_id"), F.col("nk").cast("string").alias("district_id"),
-                    "nk", "gx", "gy", name.alias("name"), major.alias("major_name"))
+                    "nk", "gx", "gy", "grid", name.alias("name"), major.alias("major_name"))
 
 
 def suburb_vertices(spark: SparkSession, d: str) -> DataFrame:
-    c = suburb_cells(spark, d).select("suburb_id", "nk", "gx", "gy", _offsets(SUBURB_OFFSETS).alias("v"))
+    c = suburb_cells(spark, d).select("suburb_id", "nk", "gx", "gy", "grid", _offsets(SUBURB_OFFSETS).alias("v"))
     return c.select("suburb_id", F.col("v.seq").alias("seq"),
                     (F.lit(1100000.0) + F.lit(200000.0) * (F.col("nk") % 5)
-                     + F.lit(20000.0) * (F.col("gx") + F.col("v.ox") / F.lit(100.0))).alias("x"),
+                     + F.lit(200000.0) / F.col("grid") * (F.col("gx") + F.col("v.ox") / F.lit(100.0))).alias("x"),
                     (F.lit(4750000.0) + F.lit(290000.0) * F.floor(F.col("nk") / 5)
-                     + F.lit(29000.0) * (F.col("gy") + F.col("v.oy") / F.lit(100.0))).alias("y"))
+                     + F.lit(290000.0) / F.col("grid") * (F.col("gy") + F.col("v.oy") / F.lit(100.0))).alias("y"))
 
 
 def regions(spark: SparkSession, d: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from addrgrid.operators import load, localities
+from addrgrid.sources import fixtures as fx
 from addrgrid.sources import readers, schemas
 
 
@@ -60,3 +62,12 @@ def test_listing_csv(spark, tmp_path):
     p.write_text("region,district,suburb\nwellington,wellington-city,te-aro\n")
     l = readers.read_listings(spark, str(p))
     assert l.select(F.initcap(F.replace("suburb", F.lit("-"), F.lit(" ")))).first()[0] == "Te Aro"
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.1"])
+def test_every_supplier_is_a_suburb_in_a_cell_of_its_own(spark, sf):
+    d = f"/root/testdata/sf{sf}"
+    rows = fx.suburb_cells(spark, d).collect()
+    assert len(rows) == spark.read.parquet(f"{d}/supplier.parquet").count()
+    assert len({(r.nk, r.gx, r.gy) for r in rows}) == len(rows)
+    assert all(0 <= r.gx < r.grid and 0 <= r.gy < r.grid for r in rows)
