@@ -45,7 +45,7 @@ def op6_token_files(spark, d):
 
 
 def op7_decontaminate(spark, d):
-    return decontaminate.find_overlaps(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return decontaminate.find_overlaps(table(spark, d, "documents"), table(spark, d, "benchmark"), tolerant_words=5)
 
 
 def _joined(spans: str):
