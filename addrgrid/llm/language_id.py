@@ -6,10 +6,11 @@ bundles (adds) its trigrams' vectors, and a language's prototype bundles the
 texts of that language, each with the same weight. A text is given the language
 whose prototype has the largest cosine with it.
 
-Prototypes are learned from at most about ``train_rows`` labelled rows, chosen
-by a hash of the id; each task returns one partial sum per language, so what is
-gathered has one row per language and task. Scoring is map-only: a batch is one
-matrix product of trigram counts with the vectors of the trigrams that occur.
+Prototypes are learned from at most about ``train_rows`` labelled rows of each
+language, chosen by a hash of the id (all rows of a rarer one); each task returns one partial sum per language, so what is
+gathered has one row per language and task. Scoring is map-only: trigram counts
+of TEXTS texts at a time are multiplied with the vectors of GRAMS trigrams at a
+time, so memory follows neither the number of texts nor that of trigrams.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from .arrow_text import byte_slices, id_and_text, per_worker, schema_with
 
 CLASSES = 64  # 0: between words, 1-26: a-z, the rest: other letters by code point
 DIMENSIONS = 512
+TEXTS, GRAMS = 256, 4096
 
 
 def _letter_classes() -> np.ndarray:
@@ -42,6 +44,9 @@ def letter_vectors(dimensions: int = DIMENSIONS, seed: int = 11) -> np.ndarray:
 
 def text_vectors(texts: list[str], letters: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bundled vector, has a letter) of each text."""
+    if len(texts) > TEXTS:
+        some = [text_vectors(texts[at:at + TEXTS], letters, classes) for at in range(0, len(texts), TEXTS)]
+        return np.concatenate([v for v, _ in some]), np.concatenate([k for _, k in some])
     codes, owner, any_letter = [], [], np.zeros(len(texts), bool)
     for k, text in enumerate(texts):
         c = classes[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)]
@@ -51,16 +56,22 @@ def text_vectors(texts: list[str], letters: np.ndarray, classes: np.ndarray) ->
             c = c[np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))]  # one gap between words
             codes.append((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:])
             owner.append(np.full(len(c) - 2, k, np.int64))
+    vectors = np.zeros((len(texts), letters.shape[1]), np.float32)
     if not codes:
-        return np.zeros((len(texts), letters.shape[1]), np.float32), any_letter
+        return vectors, any_letter
     codes, owner = np.concatenate(codes), np.concatenate(owner)
     seen = np.nonzero(np.bincount(codes, minlength=CLASSES ** 3))[0]
     column = np.zeros(CLASSES ** 3, np.int64)
     column[seen] = np.arange(len(seen))
-    counts = np.bincount(owner * len(seen) + column[codes], minlength=len(texts) * len(seen))
-    grams = (letters[seen // CLASSES ** 2] * np.roll(letters, 1, axis=1)[seen // CLASSES % CLASSES]
-             * np.roll(letters, 2, axis=1)[seen % CLASSES])
-    return counts.reshape(len(texts), len(seen)).astype(np.float32) @ grams.astype(np.float32), any_letter
+    columns = column[codes]
+    second, third = np.roll(letters, 1, axis=1), np.roll(letters, 2, axis=1)
+    for at in range(0, len(seen), GRAMS):  # sums of whole numbers: the same for any cut
+        some = seen[at:at + GRAMS]
+        here = (columns >= at) & (columns < at + GRAMS) if len(seen) > GRAMS else slice(None)
+        counts = np.bincount(owner[here] * len(some) + columns[here] - at, minlength=len(texts) * len(some))
+        grams = letters[some // CLASSES ** 2] * second[some // CLASSES % CLASSES] * third[some % CLASSES]
+        vectors += counts.reshape(len(texts), len(some)).astype(np.float32) @ grams.astype(np.float32)
+    return vectors, any_letter
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -90,7 +101,7 @@ def learn_prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS, batch_by
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             train_rows: int = 20_000, dimensions: int = DIMENSIONS, batch_bytes: int = 1 << 19) -> DataFrame:
+             train_rows: int = 5_000, dimensions: int = DIMENSIONS, batch_bytes: int = 1 << 19) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out (crc32 of the id as text
     leaves 2 by 4; such rows are never learned from), lang_pred, score (cosine
     with the prototype, 0 to 1).
@@ -102,9 +113,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                       F.col(lang_col).cast("string").alias("lang"))
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     labelled = own.where(~held & F.col("lang").isNotNull())
-    share = min(1.0, train_rows / max(1, labelled.count()))
-    prototypes = learn_prototypes(labelled.where(
-        F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))), dimensions, batch_bytes)
+    known = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    shares = [F.lit(x) for lang, n in known.items() for x in (lang, int(min(1.0, train_rows / n) * (1 << 30)))]
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.create_map(*shares)[F.col("lang")] if shares else F.lit(False)
+    prototypes = learn_prototypes(labelled.where(chosen), dimensions, batch_bytes)
     names = sorted(prototypes)
     targets = _unit(np.array([prototypes[n] for n in names]).reshape(len(names), dimensions)).astype(np.float32)
 
