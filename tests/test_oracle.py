@@ -12,12 +12,6 @@ from tools.oracle_check import rows_duck, rows_spark
 
 from conftest import SF
 
-FAST = ["regions_browse", "districts_browse", "normalize_documents", "to_ascii_documents", "parse_requests",
-        "request_similarity", "load_addresses", "upsert_addresses", "insert_absent_aliases", "classify_suburbs",
-        "population_breakdown", "project_nztm", "unproject", "polygon_area", "pip_join", "resolve_hierarchy",
-        "region_by_overlap", "autocomplete", "extract_listings", "compare_localities", "orphan_checks",
-        "entity_report", "verify"]
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -32,7 +26,7 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     sc, sr = rows_spark(E.queries()[name](spark, SF))
     dc, dr = rows_duck(con, E.oracle_sql()[name])
