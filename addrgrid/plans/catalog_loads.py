@@ -133,12 +133,18 @@ def _locality_texts(spark, d) -> DataFrame:
     return j.select(F.to_json(F.concat(F.array_repeat(every, (F.col("s_suppkey") % 3 + 1).cast("int")), own)).alias("value"))
 
 
+#: files that one task writes, about
+FILES_A_TASK = 250
+
+
 def scan_locality_json(spark, d):
     """Documents as files, regions numbered by their place."""
     path = _folder(spark, "localities")
     texts = _locality_texts(spark, d)
-    # a file holds one document: as many files as documents
-    texts.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    # a file holds one document: as many files as documents, written and committed by as many tasks as they need
+    tasks = texts.count() // FILES_A_TASK + 1
+    (texts.select("value").repartition(tasks).write.option("maxRecordsPerFile", 1)
+     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path))
     return localities.regions_from_documents(readers.read_locality_json(spark, path)).groupBy("region_id", "name").agg(
         F.count("*").alias("documents"))
 
