@@ -59,6 +59,25 @@ def test_pieces_of_random_texts_add_up():
     assert got == [tk.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_new_pieces_go_to_the_library_together():
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.texts = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.texts += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **how)
+
+    tk, rng = Tokenizer.from_file(JSON), np.random.default_rng(5)
+    parts = ["th", "ing", "\u00e9", "\u00df", "Wh", "12", "\u6f22", ".\n", "\u0120", "%", "'s", "\u00a0", "<|endoftext|>", "\u3000"]
+    words = sorted({"".join(rng.choice(parts, rng.integers(1, 9), p=[.2, .2, .1, .1, .1, *[.3 / 9] * 9])) for _ in range(3000)})
+    table = token_count.PieceTable(JSON, list, lambda v: list(itertools.chain(*v)))
+    table.tokenizer = Counting(table.tokenizer)
+    texts = [" ".join(words), "  ".join(words[:50]) + " \n ", " "]
+    assert table.batch(texts) == [tk.encode(t, add_special_tokens=False).ids for t in texts]
+    assert table.tokenizer.texts < len(words) / 4
+
+
 def test_byte_bpe_round_trip(docs, none):
     ranks = {__import__("base64").b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
