@@ -30,7 +30,6 @@ import pickle
 import re
 import uuid
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -48,20 +47,27 @@ LETTERS = re.compile(r"[^\W\d_]+")
 WIDE_LETTER = re.compile(r"[^\W\d_\x00-\xff]")
 BEGINNINGS = (4, 5, 6)
 BLOCK = 256
-TEXTS = 64  # looked up and scored together
+TEXTS = 128  # looked up and scored together
+STEP_BYTES = 1 << 20  # looked up at a time
+#: what leaves the first so many bytes of a little-endian integer
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 FIRST_BLOCKS = 3
 #: lower case of each Latin-1 letter, a space for what is no letter
 LATIN = bytes(ord(chr(c).lower()) if LETTERS.match(chr(c)) else 32 for c in range(256))
 
 
-def words_of(text: str) -> list[bytes]:
-    """The lower-case words, as Latin-1 where that holds them, else as UTF-8 after a zero byte."""
+def latin(text: str) -> bytes | None:
+    """The lower-case words as Latin-1 between spaces, None if that does not hold them."""
     try:
-        return text.encode("latin-1").translate(LATIN).split()
+        return text.encode("latin-1").translate(LATIN)
     except UnicodeEncodeError:
-        if WIDE_LETTER.search(text) is None:
-            return text.encode("latin-1", "replace").translate(LATIN).split()
-    return [as_key(w) for w in LETTERS.findall(text.lower())]
+        return None if WIDE_LETTER.search(text) else text.encode("latin-1", "replace").translate(LATIN)
+
+
+def words_of(text: str) -> list[bytes]:
+    """The lower-case words, as Latin-1 where that holds them, else as UTF-8 after a zero byte."""
+    plain = latin(text)
+    return [as_key(w) for w in LETTERS.findall(text.lower())] if plain is None else plain.split()
 
 
 def as_key(word: str) -> bytes:
@@ -95,45 +101,107 @@ def profile(text: str) -> str:
 
 
 class Vocabulary:
-    """Term numbers of texts; the terms of a word are looked up once per worker
-    (the table of words is emptied at ``max_words`` entries)."""
+    """Term numbers of texts. Words of Latin-1 texts are read as integers of
+    their first and next eight bytes and looked up all at once; longer words,
+    and those of other texts, one by one (the table that keeps the latter is
+    emptied at ``max_words`` entries)."""
 
     def __init__(self, terms: list[str], max_words: int = 200_000):
-        self.number = {as_key(t): k for k, t in enumerate(terms)}
-        self.size, self.max_words = len(terms), max_words
-        self._empty()
-
-    def _empty(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.terms, self.ends = array("i"), array("i", [0])  # of all words of the table, one after the other
+        keys = [as_key(t) for t in terms]
+        self.number = {key: k for k, key in enumerate(keys)}
+        self.max_words, self.words = max_words, {}
+        self.size = len(terms)
+        short = [k for k, key in enumerate(keys) if len(key) <= 16 and key[:1] != b"\0"]
+        packed = np.frombuffer(b"".join(keys[k].ljust(16, b"\0") for k in short), "<u8").reshape(-1, 2)
+        self.low, self.high, self.short = packed[:, 0].copy(), packed[:, 1].copy(), np.array(short, np.int64)
+        self.slot_bits = max(4, (4 * len(short)).bit_length())
+        self.slots = np.full(1 << self.slot_bits, -1, np.int32)
+        left, slot = np.arange(len(short)), self._slot(self.low, self.high)
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]
+            late = self.slots[slot] != left
+            left, slot = left[late], (slot[late] + 1) & (len(self.slots) - 1)
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        mixed = low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed ^= mixed >> np.uint64(32)
+        return (mixed * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Numbers of terms by their bytes, -1 for what is none."""
+        out, left, slot = np.full(len(low), -1, np.int64), np.arange(len(low)), self._slot(low, high)
+        while len(left):
+            at = self.slots[slot]
+            held = at >= 0
+            left, slot, at = left[held], slot[held], at[held]
+            same = (self.low[at] == low[left]) & (self.high[at] == high[left])
+            out[left[same]] = self.short[at[same]]
+            left, slot = left[~same], (slot[~same] + 1) & (len(self.slots) - 1)
+        return out
 
-    def _new(self, word: bytes) -> int:
+    def _cells(self, plain: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text x 2^32 + term, times), in order, of the words between spaces;
+        ``ends`` holds where each text ends."""
+        padded = b" " + plain + b" " * 16
+        letter = np.frombuffer(padded, np.uint8) != 32
+        edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        start, length = edge[::2], edge[1::2] - edge[::2]
+        text = np.searchsorted(ends, start - 1, side="right") << 32
+        eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+        low = eight[start] & FIRST_BYTES[np.minimum(length, 8)]
         # who holds a word or a longer beginning holds its first beginning too
-        if len(word) <= BEGINNINGS[0] or word[:1] == b"\0" or word[:BEGINNINGS[0]] + b"-" in self.number:
-            self.terms.extend([self.number[t] for t in terms_of(word) if t in self.number])
-        self.ends.append(len(self.terms))
-        return self.words.setdefault(word, len(self.words))
+        cells, whole, rest = [], [], np.arange(len(start))
+        for n in BEGINNINGS:
+            longer = length[rest] > n
+            whole.append(rest[~longer])
+            rest = rest[longer]
+            term = self._find(low[rest] & FIRST_BYTES[n] | np.uint64(ord("-") << 8 * n), np.zeros(len(rest), np.uint64))
+            rest, term = rest[term >= 0], term[term >= 0]
+            cells.append(text[rest] + term)
+        whole = np.concatenate([*whole, rest])
+        fits = length[whole] <= 16
+        beyond, whole = whole[~fits], whole[fits]
+        high = eight[start[whole] + 8] & FIRST_BYTES[np.maximum(length[whole] - 8, 0)]
+        term = self._find(low[whole], high)
+        cells.append(text[whole[term >= 0]] + term[term >= 0])
+        long = [(t, self.number.get(padded[a:a + n])) for t, a, n in
+                zip(text[beyond].tolist(), start[beyond].tolist(), length[beyond].tolist())]
+        cells.append(np.array([t + k for t, k in long if k is not None], np.int64))
+        cell = np.sort(np.concatenate(cells))
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])[:len(cell)])
+        return cell[first], np.diff(np.append(first, len(cell)))
+
+    def _wide_cells(self, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same of the one text numbered ``k``."""
+        if len(self.words) > self.max_words:
+            self.words = {}
+        total: Counter = Counter()
+        for word, times in Counter(words_of(text)).items():
+            if word not in self.words:
+                self.words[word] = [self.number[t] for t in terms_of(word) if t in self.number]
+            for term in self.words[word]:
+                total[term] += times
+        return np.array([(k << 32) + t for t in total], np.int64), np.array(list(total.values()), np.int64)
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, times), in this order, of the terms that occur in the texts."""
-        if len(self.words) > self.max_words:
-            self._empty()
-        known, codes, times, sizes = self.words, [], [], []
-        for text in texts:
-            own = Counter(words_of(text))
-            found = list(map(known.get, own))
-            if None in found:
-                found = [self._new(w) if k is None else k for k, w in zip(found, own)]
-            codes += found
-            times += own.values()
-            sizes.append(len(own))
-        ends, codes = np.array(self.ends), np.array(codes, np.int64)
-        n = ends[codes + 1] - ends[codes]
-        at = np.repeat(ends[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        cell = np.repeat(np.repeat(np.arange(len(texts)), sizes), n) * (self.size + 1) + np.array(self.terms, np.int64)[at]
-        cell, which = np.unique(cell, return_inverse=True)
-        total = np.bincount(which, np.repeat(np.array(times, np.int64), n), minlength=len(cell)).astype(np.int64)
-        return cell // (self.size + 1), cell % (self.size + 1), total
+        plain = [latin(t) for t in texts]
+        found = [self._wide_cells(texts[k], k) for k, own in enumerate(plain) if own is None]
+        ends = np.cumsum([len(own or b"") + 1 for own in plain])
+        joined, at = b" ".join(own or b"" for own in plain), 0
+        while at < len(joined):  # memory follows the step, not a long text
+            end = len(joined) if len(joined) - at <= STEP_BYTES else joined.find(b" ", at + STEP_BYTES)
+            end = len(joined) if end < 0 else end
+            found.append(self._cells(joined[at:end], ends - at))
+            at = end
+        cell, times = (np.concatenate([np.zeros(0, np.int64), *(f[c] for f in found)]) for c in (0, 1))
+        if len(found) > 1:
+            by = np.argsort(cell, kind="stable")
+            cell, times = cell[by], times[by]
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])[:len(cell)])
+            cell, times = cell[first], np.add.reduceat(times, first) if len(first) else times
+        return cell >> 32, cell & 0xFFFFFFFF, times
 
 
 def unit_vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,35 +266,39 @@ class Index:
         cell = terms[rare].astype(np.int64) * len(self.example) + self.place[of[rare]]
         by = np.argsort(cell)
         self.posting, self.weight = (cell[by] % len(self.example)).astype(np.int32), weights[rare][by]
-        self.begin = np.searchsorted(cell[by], np.arange(n_terms * self.n_blocks + 1) * block).astype(np.int32)
+        begin = np.searchsorted(cell[by], np.arange(n_terms * self.n_blocks + 1) * block).astype(np.int32)
+        self.begin = np.concatenate([begin[:-1].reshape(n_terms, -1), begin[self.n_blocks::self.n_blocks, None]], axis=1)
         # rounded up: a bound must not be under what it bounds
         self.largest = np.zeros(n_terms * self.n_blocks, np.float32)
         np.maximum.at(self.largest, cell[by] // block, np.nextafter(self.weight.astype(np.float32), np.float32(2)))
         self.largest = self.largest.reshape(n_terms, self.n_blocks)
 
-    def _add(self, sums: list[np.ndarray], terms: np.ndarray, weights: list[np.ndarray], first: int, end: int) -> None:
-        """Add the postings of the blocks from ``first`` to ``end``, once for
-        each of some weightings of the terms."""
-        lo = self.begin[terms * self.n_blocks + first].astype(np.int64)
-        n = self.begin[terms * self.n_blocks + end] - lo
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        base, stop = first * self.block, end * self.block
-        place, own = self.posting[at] - base, self.weight[at]
+    def _add(self, sums: list[np.ndarray], begin: np.ndarray, weights: list[np.ndarray], blocks: np.ndarray) -> None:
+        """Add the postings of some blocks (a flag each), once for each of some
+        weightings of the terms; ``begin`` has where the blocks of each term begin."""
+        flags = np.concatenate([[False], blocks, [False]])
+        at = begin[:, np.flatnonzero(flags[1:] != flags[:-1])].astype(np.int64)
+        first, n = at[:, ::2], at[:, 1::2] - at[:, ::2]
+        at = np.repeat((first - (np.cumsum(n) - n.ravel()).reshape(n.shape)).ravel(), n.ravel())
+        at += np.arange(len(at))
+        place, own = self.posting.take(at, mode="clip").astype(np.int64), self.weight.take(at, mode="clip")
+        n = n.sum(axis=1)
         for total, w in zip(sums, weights):
-            total[base:stop] += np.bincount(place, own * np.repeat(w, n), minlength=stop - base)
+            total += np.bincount(place, own * np.repeat(w, n), minlength=len(total))
 
     def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]], telling: np.ndarray | None = None) -> np.ndarray:
         """Cosine of each vector with each example, all blocks added up (with
         ``telling``, a shared term counts as many times)."""
-        sums, rare = self._common(vectors, telling)
+        if telling is not None:
+            vectors = [(terms, weights * telling[terms]) for terms, weights in vectors]
+        sums, rare = self._common(vectors)
         for row, (terms, weights) in zip(sums, rare):
-            self._add([row], terms, [weights], 0, self.n_blocks)
+            self._add([row], self.begin[terms], [weights], np.ones(self.n_blocks, bool))
         return sums[:, self.place]
 
-    def _common(self, vectors: list, telling: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+    def _common(self, vectors: list) -> tuple[np.ndarray, list]:
         often, rare = np.zeros((len(vectors), self.dense.shape[1])), []
         for row, (terms, weights) in zip(often, vectors):
-            weights = weights if telling is None else weights * telling[terms]
             column = self.column[terms]
             dense = column >= 0
             row[column[dense]] = weights[dense]
@@ -243,28 +315,29 @@ class Index:
         """``nearest`` of each vector, with the cosines in which a shared term
         counts ``telling`` times."""
         all_sums, rare = self._common(vectors)
-        all_told, rare_told = self._common(vectors, telling)
         k, out = min(k, len(self.example)), []
-        for sums, told, (terms, weights), (_, told_weights) in zip(all_sums, all_told, rare, rare_told):
+        for sums, (every, shares), (terms, weights) in zip(all_sums, vectors, rare):
             sums[self.n:] = -1
             reach = sums.reshape(self.n_blocks, self.block).max(axis=1)
             reach += weights @ self.largest[terms] + 1e-9
+            told, begin, both = np.zeros(len(sums)), self.begin[terms], [weights, weights * telling[terms]]
             done = np.zeros(self.n_blocks, bool)
             todo = np.zeros(self.n_blocks, bool)
             todo[np.argsort(-reach, kind="stable")[:FIRST_BLOCKS]] = True
             while todo.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], todo, [False]]).astype(np.int8)))
-                for first, end in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    self._add([sums, told], terms, [weights, told_weights], first, end)
+                self._add([sums, told], begin, both, todo)
                 done |= todo
                 seen = sums.reshape(self.n_blocks, self.block)[done].ravel()
                 # the k-th best of the blocks added up; a block under it holds no neighbour
                 least = np.partition(seen, -k)[-k] if len(seen) >= k else -1.0
                 todo = ~done & (reach >= max(least, 0) - 1e-9)
             sums = np.where(np.repeat(done, self.block), sums, -1)
-            found = np.flatnonzero((sums >= np.partition(sums, -k)[-k] - 1e-9) & (sums > 1e-12) & (self.example >= 0))
+            found = np.flatnonzero((sums >= max(least, 0) - 1e-9) & (sums > 1e-12) & (self.example >= 0))
             top = found[np.lexsort((self.example[found], -np.round(sums[found], 12)))[:k]]
-            out.append((self.example[top], sums[top], told[top]))
+            column = self.column[every]  # the common terms count for the neighbours alone
+            row, common = np.zeros(self.dense.shape[1]), column >= 0
+            row[column[common]] = (shares * telling[every])[common]
+            out.append((self.example[top], sums[top], told[top] + self.dense[top] @ row))
         return out
 
 

@@ -281,6 +281,40 @@ def test_block_max_neighbours_are_exact():
         assert near.tolist() == order and np.allclose(found, cosines[order])
 
 
+def test_toxicity_terms_of_many_texts_at_once(monkeypatch):
+    texts = ["Vile words, VILE Wordsmith\u2019s \u00c9tude \u00e9tude", "", "abcdefghijklmnop abcdefghijklmnopq abcdefghijklmnopq",
+             "\u041f\u0440\u0438\u0432\u0435\u0442 vile \u041f\u0440\u0438\u0432\u0435\u0442 wordsmith", "vil vile\0vile vilest", " 12 -- "]
+
+    def plain(text):
+        return collections.Counter(toxicity.as_term(t) for w in toxicity.words_of(text) for t in toxicity.terms_of(w))
+
+    terms = sorted(set().union(*map(plain, texts)) - {"vilest", "vil"})
+    vocabulary = toxicity.Vocabulary(terms)
+    many = [*texts, *(" ".join(rng.choice(terms, 40)) for rng in map(np.random.default_rng, range(60))), " ".join(texts) * 20]
+    for step in (toxicity.STEP_BYTES, 7):  # a text can be looked up in steps
+        monkeypatch.setattr(toxicity, "STEP_BYTES", step)
+        found = vocabulary.counts(many)
+        want = [(k, terms.index(t), n) for k, text in enumerate(many) for t, n in plain(text).items() if t in terms]
+        assert list(zip(*(x.tolist() for x in found))) == sorted(want)
+    vocabulary = toxicity.Vocabulary(terms)
+    vocabulary.counts(texts[:3])
+    assert not vocabulary.words  # no word of a Latin-1 text is looked up alone
+
+
+def test_votes_count_what_the_neighbours_share():
+    rng = np.random.default_rng(9)
+    idf, telling = np.linspace(1, 3, 60), rng.random(60) + 1
+    vectors = [toxicity.unit_vector({int(t): int(rng.integers(1, 4)) for t in rng.choice(60, rng.integers(0, 9), replace=False)},
+                                    idf) for _ in range(700)]
+    dense = np.zeros((700, 60))
+    for k, (t, w) in enumerate(vectors):
+        dense[k, t] = w
+    index = toxicity.Index(vectors, 60, common=20, block=64)
+    for k, (near, cosines, told) in enumerate(index.nearest_of_each(vectors[:90], 11, telling)):
+        assert np.array_equal(near, index.nearest(*vectors[k], 11)[0]) and np.allclose(cosines, dense[near] @ dense[k])
+        assert np.allclose(told, dense[near] @ (dense[k] * telling))
+
+
 def test_toxicity_held_out(spark, none):
     d = "/root/testdata/sf0.1"
     docs = queries.table(spark, d, "documents")
