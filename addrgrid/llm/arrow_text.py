@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import sys
 import types
@@ -30,13 +32,30 @@ def per_worker(key: tuple, make: Callable):
 
 
 def latest_per_worker(name: str, version: str, make: Callable):
-    """``make()`` of the last version of ``name`` that this Python worker met;
-    what an earlier version held is let go."""
-    held = per_worker((name,), dict)
-    if version not in held:
+    """``make()`` of the last (name, version) that this Python worker met. A
+    worker outlives its stage, so it holds one such object at a time: what an
+    earlier version or another operator made is let go first."""
+    held = per_worker(("latest",), dict)
+    if (name, version) not in held:
         held.clear()
-        held[version] = make()
-    return held[version]
+        held[name, version] = make()
+        give_back()
+    return held[name, version]
+
+
+def let_go() -> None:
+    """What ``latest_per_worker`` holds is let go, for an operator that needs none of it."""
+    held = per_worker(("latest",), dict)
+    if held:
+        held.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Memory that Arrow and the C library keep for later goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc, nothing to trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .arrow_text import byte_slices, id_and_text, schema_with
+from .arrow_text import byte_slices, id_and_text, let_go, schema_with
 from .components import components
 
 FAN_OUT = 8
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id and fp (the fingerprint's 64 bits as a signed long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in byte_slices(batch, "text", batch_bytes):
                 fp = [fingerprint(t, shingle, seed) for t in part.column("text").to_pylist()]

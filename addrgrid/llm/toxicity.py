@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_text import byte_slices, id_and_text, latest_per_worker
+from .arrow_text import byte_slices, give_back, id_and_text, latest_per_worker
 from .stored import stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -104,14 +104,15 @@ class Vocabulary:
     """Term numbers of texts. Words of Latin-1 texts are read as integers of
     their first and next eight bytes and looked up all at once; longer words,
     and those of other texts, one by one (the table that keeps the latter is
-    emptied at ``max_words`` entries)."""
+    emptied at ``max_words`` entries). Terms that such integers hold are kept
+    as integers only."""
 
     def __init__(self, terms: list[str], max_words: int = 200_000):
         keys = [as_key(t) for t in terms]
-        self.number = {key: k for k, key in enumerate(keys)}
         self.max_words, self.words = max_words, {}
         self.size = len(terms)
-        short = [k for k, key in enumerate(keys) if len(key) <= 16 and key[:1] != b"\0"]
+        short = [k for k, key in enumerate(keys) if self._is_short(key)]
+        self.number = {key: k for k, key in enumerate(keys) if not self._is_short(key)}
         packed = np.frombuffer(b"".join(keys[k].ljust(16, b"\0") for k in short), "<u8").reshape(-1, 2)
         self.low, self.high, self.short = packed[:, 0].copy(), packed[:, 1].copy(), np.array(short, np.int64)
         self.slot_bits = max(4, (4 * len(short)).bit_length())
@@ -123,6 +124,10 @@ class Vocabulary:
             late = self.slots[slot] != left
             left, slot = left[late], (slot[late] + 1) & (len(self.slots) - 1)
 
+    @staticmethod
+    def _is_short(key: bytes) -> bool:
+        return len(key) <= 16 and key[:1] != b"\0"
+
     def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         mixed = low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)
         mixed ^= mixed >> np.uint64(32)
@@ -172,14 +177,24 @@ class Vocabulary:
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])[:len(cell)])
         return cell[first], np.diff(np.append(first, len(cell)))
 
+    def _numbers(self, keys: set[bytes]) -> dict[bytes, int]:
+        """Numbers of the keys that are terms."""
+        found = {key: self.number[key] for key in keys if key in self.number}
+        short = [key for key in keys if self._is_short(key)]
+        packed = np.frombuffer(b"".join(key.ljust(16, b"\0") for key in short), "<u8").reshape(-1, 2)
+        term = self._find(packed[:, 0], packed[:, 1]).tolist()
+        return found | {key: t for key, t in zip(short, term) if t >= 0}
+
     def _wide_cells(self, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The same of the one text numbered ``k``."""
         if len(self.words) > self.max_words:
             self.words = {}
         total: Counter = Counter()
-        for word, times in Counter(words_of(text)).items():
-            if word not in self.words:
-                self.words[word] = [self.number[t] for t in terms_of(word) if t in self.number]
+        words = Counter(words_of(text))
+        new = {word: terms_of(word) for word in words if word not in self.words}
+        number = self._numbers({key for keys in new.values() for key in keys})
+        self.words.update((word, [number[key] for key in keys if key in number]) for word, keys in new.items())
+        for word, times in words.items():
             for term in self.words[word]:
                 total[term] += times
         return np.array([(k << 32) + t for t in total], np.int64), np.array(list(total.values()), np.int64)
@@ -262,15 +277,18 @@ class Index:
         self.place[order] = np.arange(self.n)
         self.dense = np.zeros((len(self.example), len(often)))
         self.dense[:self.n] = table[order]
-        rare = ~dense
+        rare = np.flatnonzero(~dense)
         cell = terms[rare].astype(np.int64) * len(self.example) + self.place[of[rare]]
+        del of, table, terms, dense  # each as large as the index, or half of it
         by = np.argsort(cell)
-        self.posting, self.weight = (cell[by] % len(self.example)).astype(np.int32), weights[rare][by]
-        begin = np.searchsorted(cell[by], np.arange(n_terms * self.n_blocks + 1) * block).astype(np.int32)
+        cell = cell[by]
+        self.posting, self.weight = (cell % len(self.example)).astype(np.int32), weights[rare[by]]
+        del rare, weights, by
+        begin = np.searchsorted(cell, np.arange(0, (n_terms * self.n_blocks + 1) * block, block)).astype(np.int32)
         self.begin = np.concatenate([begin[:-1].reshape(n_terms, -1), begin[self.n_blocks::self.n_blocks, None]], axis=1)
         # rounded up: a bound must not be under what it bounds
         self.largest = np.zeros(n_terms * self.n_blocks, np.float32)
-        np.maximum.at(self.largest, cell[by] // block, np.nextafter(self.weight.astype(np.float32), np.float32(2)))
+        np.maximum.at(self.largest, cell // block, np.nextafter(self.weight.astype(np.float32), np.float32(2)))
         self.largest = self.largest.reshape(n_terms, self.n_blocks)
 
     def _add(self, sums: list[np.ndarray], begin: np.ndarray, weights: list[np.ndarray], blocks: np.ndarray) -> None:
@@ -389,7 +407,7 @@ class Model:
                     near = near[own[near] > 1e-12]
                     raw.append(self._vote(near, votes[near]))
             self.steps, self.values = monotone_fit(np.array(raw), self.labels, self.weights)
-            del self.index, self.vocabulary
+            del self.index, self.vocabulary, vectors
 
     def prepare(self) -> Model:
         """Index and vocabulary, which do not travel."""
@@ -399,6 +417,12 @@ class Model:
         self.vocabulary = Vocabulary(self.terms)
         return self
 
+    def on_worker(self) -> Model:
+        """``prepare`` for a copy that only scores: without what index and vocabulary were made from."""
+        self.prepare()
+        del self.rows, self.terms
+        return self
+
     def _vote(self, near: np.ndarray, told: np.ndarray) -> float:
         """Share of label 1 among the votes of the examples ``near``."""
         w = self.weights[near] * told
@@ -437,8 +461,9 @@ def _drawn(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, exam
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(profile, batch.column("text").to_pylist()), pa.string())],
-                                             names=["doc_id", "stratum"])
+            for part in byte_slices(batch, "text", STEP_BYTES):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(profile, part.column("text").to_pylist()), pa.string())],
+                                                 names=["doc_id", "stratum"])
 
     kinds = docs.where(F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2)).mapInArrow(
         profiles, T.StructType([docs.schema["doc_id"], T.StructField("stratum", T.StringType())]))
@@ -519,10 +544,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         vocabulary = latest_per_worker("toxic words", version, lambda: Vocabulary(pickle.loads(shared.value)))
         df = np.zeros(vocabulary.size + 1, np.int64)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for at in range(0, len(texts), TEXTS):
-                df[:-1] += np.bincount(vocabulary.counts(texts[at:at + TEXTS])[1], minlength=vocabulary.size)[:vocabulary.size]
-            df[-1] += len(texts)
+            for part in byte_slices(batch, "text", STEP_BYTES):
+                texts = part.column("text").to_pylist()
+                for at in range(0, len(texts), TEXTS):
+                    df[:-1] += np.bincount(vocabulary.counts(texts[at:at + TEXTS])[1], minlength=vocabulary.size)[:vocabulary.size]
+                df[-1] += len(texts)
         met = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(df[met])], names=["t", "df"])
 
@@ -531,8 +557,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     df = np.zeros(len(names) + 1)
     df[met["t"].to_numpy()] = met["df"].to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    return Model(names, idf, kept["doc_id"].to_pylist(), kept["y"].to_numpy().astype(np.int64), kept["weight"].to_numpy(),
-                 (at, term, times), n1 / max(1, n0 + n1), neighbours, copy_cosine)
+    model = Model(names, idf, kept["doc_id"].to_pylist(), kept["y"].to_numpy().astype(np.int64), kept["weight"].to_numpy(),
+                  (at, term, times), n1 / max(1, n0 + n1), neighbours, copy_cosine)
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3,
@@ -553,7 +581,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         zlib.compress(cloudpickle.dumps(model), 1)), model.version
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = latest_per_worker("toxicity", version, lambda: pickle.loads(zlib.decompress(shared.value)).prepare())
+        own = latest_per_worker("toxicity", version, lambda: pickle.loads(zlib.decompress(shared.value)).on_worker())
         for batch in batches:
             for part in byte_slices(batch, text_col, batch_bytes):
                 scores, proof = [], []
@@ -568,5 +596,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32)),
                      pa.array(proof, pa.list_(kinds))], names=[*part.schema.names, "tox_score", "tox_label", "tox_evidence"])
+        give_back()
 
     return own.mapInArrow(run, fields)
